@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ EMBEDDING = HashedTerms()
 TEXT = TemplateText()
 
 
-# --- intermediate tables, as lazy frames -------------------------------------
+# --- intermediate tables -------------------------------------------------------
 def _raw(spark, d):
     return ingest.ingest_events(views.events_feed(spark, d), AS_OF)
 
@@ -50,40 +52,53 @@ def _entities(spark, d):
     return entities.top_entities_from_feeds(_raw(spark, d), views.gkg_feed(spark, d), AS_OF)
 
 
-def _embeddings(spark, d):
-    return vectors.embed_topics(_topics(spark, d), EMBEDDING)
+class _Tables:
+    """The tables of one daily run; those that are read more than once are stored."""
 
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+        self.store = TableStore(spark, root=scratch_folder(spark, "tables"))
 
-def _analogs_flat(spark, d):
-    today = topics.today_for_analogs(_topics(spark, d))
-    return vectors.find_analogs(_embeddings(spark, d), today)
+    @cached_property
+    def topics(self) -> DataFrame:
+        return self.store.overwrite("daily_country_topics", _topics(self.spark, self.d))
 
+    @cached_property
+    def embeddings(self) -> DataFrame:
+        made = vectors.embed_topics(self.topics, EMBEDDING)
+        return self.store.overwrite("news_embeddings", made)
 
-def _analogs(spark, d):
-    return vectors.nest_analogs(_analogs_flat(spark, d))
+    @cached_property
+    def entities(self) -> DataFrame:
+        return self.store.overwrite("daily_top_entities", _entities(self.spark, self.d))
 
+    @cached_property
+    def analogs_flat(self) -> DataFrame:
+        return vectors.find_analogs(self.embeddings, topics.today_for_analogs(self.topics))
 
-def _dated_analogs(spark, d, **options):
-    base = views.dated_vectors(spark, d)
-    today = topics.today_for_analogs(base)
-    return vectors.find_analogs(base, today, keep_past_country=True, **options)
+    @cached_property
+    def analogs(self) -> DataFrame:
+        return vectors.nest_analogs(self.analogs_flat)
 
+    @cached_property
+    def context(self) -> DataFrame:
+        return briefings.briefing_context(self.topics, self.entities, self.analogs)
 
-def _context(spark, d):
-    return briefings.briefing_context(_topics(spark, d), _entities(spark, d), _analogs(spark, d))
+    @cached_property
+    def briefings(self) -> DataFrame:
+        made = briefings.daily_briefings(self.topics, self.entities, self.analogs, TEXT)
+        return self.store.overwrite("daily_briefings", made)
 
+    @cached_property
+    def mood(self) -> DataFrame:
+        made = mood.daily_mood(self.briefings, self.topics, self.entities, TEXT)
+        return self.store.overwrite("daily_mood", made)
 
-def _briefings(spark, d):
-    return briefings.daily_briefings(
-        _topics(spark, d), _entities(spark, d), _analogs(spark, d), TEXT
-    )
 
-
-def _mood(spark, d):
-    """Briefings are used twice (newest day, rows); the store writes them once."""
-    store = TableStore(spark, root=scratch_folder(spark, "mood"))
-    made = store.overwrite("daily_briefings", _briefings(spark, d))
-    return mood.daily_mood(made, _topics(spark, d), _entities(spark, d), TEXT)
+def _dated_analogs(spark, d, **options):
+    base = views.dated_vectors(spark, d)
+    today = topics.today_for_analogs(base)
+    return vectors.find_analogs(base, today, keep_past_country=True, **options)
 
 
 # --- flat, comparable shapes ---------------------------------------------------
@@ -154,7 +169,8 @@ def today_for_analogs(spark, d):
 
 def news_embeddings(spark, d):
     text = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
-    return _embeddings(spark, d).withColumn("embedding", F.array_join(text.cast("array<string>"), ","))
+    made = vectors.embed_topics(_topics(spark, d), EMBEDDING)
+    return made.withColumn("embedding", F.array_join(text.cast("array<string>"), ","))
 
 
 def top_entities(spark, d):
@@ -200,7 +216,7 @@ def _similar_to_day(spark, d, mode):
 
 
 def similar_to_text(spark, d):
-    found = vectors.similar_to_text(_embeddings(spark, d), QUERY_TEXT, EMBEDDING)
+    found = vectors.similar_to_text(_Tables(spark, d).embeddings, QUERY_TEXT, EMBEDDING)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -220,7 +236,7 @@ def analogs_nested(spark, d):
 
 
 def topic_analogs(spark, d):
-    return _analogs_flat(spark, d).withColumn("distance", F.round("distance", 6))
+    return _Tables(spark, d).analogs_flat.withColumn("distance", F.round("distance", 6))
 
 
 def theme_clean(spark, d):
@@ -250,11 +266,11 @@ def number_text(spark, d):
 
 
 def briefing_context(spark, d):
-    return _context(spark, d)
+    return _Tables(spark, d).context
 
 
 def briefing_prompt(spark, d):
-    return _context(spark, d).select(
+    return _Tables(spark, d).context.select(
         "event_date", "country", briefings.briefing_prompt().alias("prompt")
     )
 
@@ -315,29 +331,27 @@ def mood_blend(spark, d):
 
 
 def daily_briefings(spark, d):
-    return _briefings(spark, d)
+    return _Tables(spark, d).briefings
 
 
 def sentiment_prompt(spark, d):
-    return _briefings(spark, d).select(
+    return _Tables(spark, d).briefings.select(
         "event_date", "country", mood.sentiment_prompt().alias("prompt")
     )
 
 
 def summary_prompt(spark, d):
-    return _briefings(spark, d).select(
+    return _Tables(spark, d).briefings.select(
         "event_date", "country", mood.summary_prompt().alias("prompt")
     )
 
 
 def daily_mood(spark, d):
-    return _pairs(_mood(spark, d), top_themes="theme")
+    return _pairs(_Tables(spark, d).mood, top_themes="theme")
 
 
 def mood_map_feed(spark, d):
-    store = TableStore(spark, root=scratch_folder(spark, "feed"))
-    made = store.overwrite("daily_mood", _mood(spark, d))
-    feed = mood.mood_map_feed(made, views.country_dim(spark, d))
+    feed = mood.mood_map_feed(_Tables(spark, d).mood, views.country_dim(spark, d))
     return _pairs(feed, top_themes="theme")
 
 
@@ -366,7 +380,7 @@ def retention(spark, d):
 def country_day_stream(spark, d):
     """Tone per country-day from a stream that has read the whole events table."""
     schema = views.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
     root = scratch_folder(spark, "stream")
     path = f"{root}/country_day"
     feed = views.as_feed(stream, spark, d)
