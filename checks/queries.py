@@ -379,8 +379,7 @@ def retention(spark, d):
 
 def country_day_stream(spark, d):
     """Tone per country-day from a stream that has read the whole events table."""
-    schema = views.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet")
+    stream = spark.readStream.schema(views.SCHEMAS["events"]).parquet(f"{d}/events*.parquet")
     root = scratch_folder(spark, "stream")
     path = f"{root}/country_day"
     feed = views.as_feed(stream, spark, d)

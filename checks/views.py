@@ -7,11 +7,28 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulse.functions.binding import bind
+
 AS_OF = dt.date(2024, 1, 30)
 
 
+# declared, so that no job has to read a footer to plan a query
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _unless(condition: Column, value: Column) -> Column:
@@ -63,12 +80,17 @@ def gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as knowledge-graph rows; entities are the words of the whole text."""
     docs = table(spark, sf_dir, "documents")
     id = F.col("doc_id")
-    words = F.split("text", " ")
 
     def entries(step: int, first: int, name, separator: str) -> Column:
-        numbered = F.transform(words, lambda w, i: F.concat(name(w, i), F.lit(","), i))
-        kept = F.filter(numbered, lambda _, i: i % step == first)
-        return F.array_join(kept, separator)
+        """Every ``step``-th word as ``name,position``; only those words are touched."""
+
+        def numbered(words: Column) -> Column:
+            last = F.greatest(F.size(words) - 1, F.lit(first))
+            entry = lambda i: F.concat(name(F.get(words, i), i), F.lit(","), i.cast("string"))
+            places = F.sequence(F.lit(first), last, F.lit(step))
+            return F.array_join(F.transform(places, entry), separator)
+
+        return bind(F.split("text", " "), numbered)
 
     def theme(w: Column, i: Column) -> Column:
         kind = i % 16

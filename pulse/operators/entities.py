@@ -1,7 +1,7 @@
 """Top themes and people per country-day.
 
-The reference semantics pair every theme of an event with every person of it
-and count pairs. A theme's count is therefore multiplied by the number of
+A pair is a theme and a person of the same event, and counts are counts of
+pairs. A theme's count is therefore multiplied by the number of
 persons on its row, and a row that lacks either side counts for nothing. The
 same numbers come from weights: a theme counts ``size(persons)``, a person
 ``size(themes)``. No pair is ever built.
@@ -34,12 +34,14 @@ def _entries(weighted: bool) -> Column:
             ),
         )
 
-    return F.concat(side(THEME, "themes", "persons"), side(PERSON, "persons", "themes"))
+    both = F.concat(side(THEME, "themes", "persons"), side(PERSON, "persons", "themes"))
+    # a NULL array explodes to no row. As a filter on the row this condition would be
+    # pushed below the columns it needs and split every field a second time.
+    paired = (F.size("themes") > 0) & (F.size("persons") > 0)
+    return F.when(paired, both) if weighted else both
 
 
 def _exploded(df: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
-    if weighted:
-        df = df.where((F.size("themes") > 0) & (F.size("persons") > 0))
     entries = df.select(*keys, F.explode(_entries(weighted)).alias("e"))
     rows = entries.select(*keys, "e.kind", "e.name", "e.w")
     return rows.where((F.col("kind") == THEME) | is_person(F.col("name")))

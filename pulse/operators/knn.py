@@ -191,8 +191,9 @@ def _blockwise(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType) -
     anchor_blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
 
     def placed(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
         return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("bigint")
+            other, F.explode(numbers)
         )
 
     left = placed(base, "bb", base_blocks, "ab", anchor_blocks)
