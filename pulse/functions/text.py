@@ -78,7 +78,7 @@ def entity_list(field: Column, limit: int) -> Column:
 
 def entity_name(entry: Column) -> Column:
     """``'NAME,offset'`` -> ``'name'``."""
-    return F.lower(F.split_part(entry, F.lit(","), F.lit(1)))
+    return F.lower(F.substring_index(entry, ",", 1))
 
 
 def is_person(name: Column) -> Column:

@@ -14,33 +14,15 @@ from pulse.operators.ranking import distinct_values, latest_day
 DAY_COUNTRY = ["event_date", "country"]
 
 
-def tone_by(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Mergeable tone statistics per key."""
-    return events.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum("tone").alias("tone_sum"),
-        F.count("tone").alias("tone_n"),
-        F.min("tone").alias("tone_min"),
-        F.max("tone").alias("tone_max"),
-    )
-
-
-def merge_tone(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Statistics of coarser keys from those of finer ones."""
-    return parts.groupBy(*keys).agg(
-        F.sum("n").alias("headline_count"),
-        F.try_divide(F.sum("tone_sum"), F.sum("tone_n")).alias("avg_tone"),
-        F.min("tone_min").alias("min_tone"),
-        F.max("tone_max").alias("max_tone"),
-    )
-
-
 def country_topics(events: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS) -> DataFrame:
     """Count, tone, event codes, sample urls and a text document per country-day.
 
-    Two narrow passes over the events: (tone, code) is reduced to one row per
-    code before anything is shuffled, and urls are made distinct and cut by rank.
-    The last joins run on rows already partitioned by country-day.
+    Three passes over disjoint columns (tone, code, url) next to the two keys, which
+    read about as much as one pass over all of them. Each is reduced on the map side:
+    tone to one row per country-day, codes and urls to distinct values cut by rank.
+    So a country-day with a third of all events shuffles no more than any other, and
+    the last joins run on rows that are already partitioned by country-day.
+
     Arrays hold the smallest values, so the text is the same on every run. If a
     country-day has no url, no code or no tone, its ``topic_doc`` is NULL.
     """
@@ -48,11 +30,15 @@ def country_topics(events: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEF
         F.col("country").isNotNull()
         & (F.col("event_date") >= first_day(as_of, cfg.recent_days))
     )
-    by_code = tone_by(recent, [*DAY_COUNTRY, "EventRootCode"])
-    stats = merge_tone(by_code, DAY_COUNTRY)
-    codes = distinct_values(by_code, DAY_COUNTRY, "EventRootCode", cfg.max_codes, "top_event_types")
+    tone = recent.groupBy(*DAY_COUNTRY).agg(
+        F.count("*").alias("headline_count"),
+        F.avg("tone").alias("avg_tone"),
+        F.min("tone").alias("min_tone"),
+        F.max("tone").alias("max_tone"),
+    )
+    codes = distinct_values(recent, DAY_COUNTRY, "EventRootCode", cfg.max_codes, "top_event_types")
     urls = distinct_values(recent, DAY_COUNTRY, "url", cfg.max_urls, "sample_urls")
-    joined = stats.join(codes, DAY_COUNTRY, "left").join(urls, DAY_COUNTRY, "left")
+    joined = tone.join(codes, DAY_COUNTRY, "left").join(urls, DAY_COUNTRY, "left")
     return joined.withColumn("topic_doc", topic_doc())
 
 

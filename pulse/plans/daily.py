@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 
 from pulse.config import DEFAULTS, PulseConfig
@@ -35,7 +37,9 @@ def run_daily(
     Each step writes its table and the next one reads it, so that a lost executor
     costs a task and a failed run can be resumed from the tables. Top entities
     are counted from the feeds, not from the enriched table, whose event x graph-row
-    fan-out they do not need; ``with_enriched=False`` skips that table.
+    fan-out they do not need; ``with_enriched=False`` skips that table. Tables that
+    do not need each other are written side by side, so that the last tasks of one
+    do not leave the cluster idle.
     """
     embedding = embedding or HashedTerms()
     text = text or TemplateText()
@@ -48,11 +52,23 @@ def run_daily(
         return made[name]
 
     raw = save("events_raw", ingest_events(events_feed, as_of, cfg))
-    if with_enriched:
-        save("events_enriched", enrich_events(raw, gkg_feed, as_of, cfg))
-    topics = save("daily_country_topics", country_topics(raw, as_of, cfg))
-    vectors = save("news_embeddings", embed_topics(topics, embedding, cfg))
-    entities = save("daily_top_entities", top_entities_from_feeds(raw, gkg_feed, as_of, cfg))
+
+    def enriched() -> None:
+        if with_enriched:
+            save("events_enriched", enrich_events(raw, gkg_feed, as_of, cfg))
+
+    def documents() -> tuple[DataFrame, DataFrame]:
+        topics = save("daily_country_topics", country_topics(raw, as_of, cfg))
+        return topics, save("news_embeddings", embed_topics(topics, embedding, cfg))
+
+    def top_lists() -> DataFrame:
+        lists = top_entities_from_feeds(raw, gkg_feed, as_of, cfg)
+        return save("daily_top_entities", lists)
+
+    with ThreadPoolExecutor(3) as pool:
+        steps = [pool.submit(step) for step in (enriched, documents, top_lists)]
+    _, (topics, vectors), entities = (step.result() for step in steps)
+
     today = save("today_for_analogs", today_for_analogs(topics, cfg.top_n))
     flat = save("daily_analogs_flat", find_analogs(vectors, today, cfg, analog_mode))
     analogs = save("daily_analogs", nest_analogs(flat, cfg.analog_topk))

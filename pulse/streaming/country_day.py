@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pulse.config import DEFAULTS, PulseConfig
 from pulse.functions.dates import AsOf
 from pulse.operators.ingest import ingest_events
-from pulse.operators.topics import DAY_COUNTRY, merge_tone, tone_by
+from pulse.operators.topics import DAY_COUNTRY
 
 DAY_TIME = "event_time"
 PART = "batch"
@@ -48,7 +48,12 @@ def stream_country_day(
     timed = located.withColumn(DAY_TIME, F.col("event_date").cast("timestamp")).withWatermark(
         DAY_TIME, f"{cfg.raw_days} days"
     )
-    changed = tone_by(timed, [DAY_TIME, "country"])
+    changed = timed.groupBy(DAY_TIME, "country").agg(
+        F.count("*").alias("headline_count"),
+        F.avg("tone").alias("avg_tone"),
+        F.min("tone").alias("min_tone"),
+        F.max("tone").alias("max_tone"),
+    )
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{PART}={batch_id}")
@@ -64,11 +69,11 @@ def stream_country_day(
 
 def read_country_day(spark, path: str) -> DataFrame:
     """Current statistics: of each country-day the row of its last batch."""
-    parts = spark.read.parquet(path)
-    fields = ["n", "tone_sum", "tone_n", "tone_min", "tone_max"]
-    last = (
-        parts.withColumn("event_date", F.to_date(DAY_TIME))
+    row = F.struct("headline_count", "avg_tone", "min_tone", "max_tone")
+    return (
+        spark.read.parquet(path)
+        .withColumn("event_date", F.to_date(DAY_TIME))
         .groupBy(*DAY_COUNTRY)
-        .agg(F.max_by(F.struct(*fields), PART).alias("last"))
+        .agg(F.max_by(row, PART).alias("last"))
+        .select(*DAY_COUNTRY, "last.*")
     )
-    return merge_tone(last.select(*DAY_COUNTRY, "last.*"), DAY_COUNTRY)

@@ -3,6 +3,7 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from frames import AS_OF, DAY, events_feed, feed_event, frame, gkg_feed
 from pulse.operators.ingest import ingest_events
@@ -55,6 +56,28 @@ def test_files_are_partitioned_and_sorted(spark, tmp_path):
     assert not list(Path(tmp_path, "today_for_analogs").glob("event_date=*"))
 
 
+def test_a_heavy_day_is_written_by_several_tasks(spark, tmp_path):
+    n = 20000
+    heavy = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 10 == 0, F.lit(dt.date(2024, 1, 28))).otherwise(F.lit(DAY)).alias(
+            "event_date"
+        ),
+        F.concat(F.lit("C"), F.col("id") % 50).alias("country"),
+        F.sha2(F.col("id").cast("string"), 256).alias("url"),
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["events_raw"]
+          if f.name not in ("event_date", "country", "url")),
+    )
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "200000")
+    try:
+        made = TableStore(spark, root=str(tmp_path)).overwrite("events_raw", heavy)
+    finally:
+        spark.conf.unset(key)
+    files = list(Path(tmp_path, "events_raw", "event_date=2024-01-29").glob("*.parquet"))
+    assert len(files) > 2
+    assert made.count() == n
+
+
 def test_a_store_needs_one_place_and_the_right_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         TableStore(spark)
