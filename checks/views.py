@@ -86,7 +86,10 @@ def gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         def numbered(words: Column) -> Column:
             last = F.greatest(F.size(words) - 1, F.lit(first))
-            entry = lambda i: F.concat(name(F.get(words, i), i), F.lit(","), i.cast("string"))
+            # a text with too few words has no such place: NULL, which the join skips
+            entry = lambda i: F.when(
+                i < F.size(words), F.concat(name(words[i], i), F.lit(","), i.cast("string"))
+            )
             places = F.sequence(F.lit(first), last, F.lit(step))
             return F.array_join(F.transform(places, entry), separator)
 
