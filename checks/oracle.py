@@ -615,6 +615,21 @@ ORACLE: dict[str, str] = {
         "where event_date >= date '2024-01-30' - 20",
         "raw",
     ),
+    "stored_topics": with_tables(
+        "select event_date, country, headline_count, topic_doc from topics", "topics"
+    ),
+    "expired_partitions": with_tables(
+        "select event_date, count(*) as events from raw "
+        "where event_date >= date '2024-01-30' - 20 group by event_date",
+        "raw",
+    ),
+    "exported_topics": with_tables(
+        "select event_date, country, headline_count, "
+        "array_to_string(top_event_types, '|') as top_event_types, "
+        "array_to_string(sample_urls, '|') as sample_urls, topic_doc from topics",
+        "topics",
+    ),
+    "delimited_feed": with_tables(f"select {_EVENT}, round(tone, 10) as tone from raw", "raw"),
     "country_day_stream": with_tables(
         f"select event_date, country, headline_count, {_TONES} from ("
         "select event_date, country, count(*) as headline_count, avg(tone) as avg_tone, "

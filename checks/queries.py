@@ -23,8 +23,10 @@ from pulse.models.local import HashedTerms, TemplateText
 from pulse.operators import briefings, entities, ingest, mood, topics, vectors
 from pulse.operators.knn import topk_cosine
 from pulse.plans.daily import run_daily
+from pulse.schemas import TABLES
 from pulse.sinks.scratch import scratch_folder
-from pulse.sinks.tables import TableStore, unexpired
+from pulse.sinks.tables import TableStore, export, unexpired
+from pulse.sources.feeds import read_events_feed
 from pulse.streaming.country_day import read_country_day, stream_country_day
 
 QUERY_TEXT = "Headlines about error and purchase in NATION_7"
@@ -377,6 +379,36 @@ def retention(spark, d):
     )
 
 
+def stored_topics(spark, d):
+    """Topics as the partitioned, sorted table gives them back."""
+    return _Tables(spark, d).topics.select("event_date", "country", "headline_count", "topic_doc")
+
+
+def expired_partitions(spark, d):
+    """Raw events left in the store once days older than 20 are dropped."""
+    store = TableStore(spark, root=scratch_folder(spark, "expire"))
+    store.overwrite("events_raw", _raw(spark, d))
+    store.expire("events_raw", AS_OF, 20)
+    left = store.read("events_raw")
+    return left.groupBy("event_date").agg(F.count("*").alias("events"))
+
+
+def exported_topics(spark, d):
+    """Topics exported as JSON lines and read again."""
+    path = scratch_folder(spark, "export")
+    export(_topics(spark, d).drop("avg_tone", "min_tone", "max_tone"), path)
+    back = spark.read.schema(TABLES["daily_country_topics"]).json(path)
+    return _joined(back, "top_event_types", "sample_urls").drop("avg_tone", "min_tone", "max_tone")
+
+
+def delimited_feed(spark, d):
+    """Raw events from the feed written as tab-separated text."""
+    path = scratch_folder(spark, "feed")
+    views.events_feed(spark, d).write.option("header", True).option("sep", "\t").csv(path)
+    raw = ingest.ingest_events(read_events_feed(spark, path, "tsv"), AS_OF)
+    return raw.select(*(c for c in ingest.EVENT_COLUMNS if c != "tone"), _fine("tone"))
+
+
 def country_day_stream(spark, d):
     """Tone per country-day from a stream that has read the whole events table."""
     stream = spark.readStream.schema(views.SCHEMAS["events"]).parquet(f"{d}/events*.parquet")
@@ -400,6 +432,7 @@ QUERIES = {
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
         mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
-        full_run, retention, country_day_stream,
+        full_run, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
+        country_day_stream,
     )
 }

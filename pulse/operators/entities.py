@@ -22,29 +22,25 @@ from pulse.operators.topics import DAY_COUNTRY
 THEME, PERSON = "theme", "person"
 
 
-def _entries(weighted: bool) -> Column:
-    """One array of (kind, name, weight) per row, from its two entity arrays."""
+def _exploded(df: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
+    """One row (kind, name, w) per entity of a row, from its two arrays.
+
+    The two arrays become two rows with their weight, then their entries become rows;
+    names are cut and lower-cased as columns, in generated code, not by a lambda per
+    entry. A side without the other weighs 0 and goes before its entries are unrolled.
+    """
 
     def side(kind: str, array: str, other: str) -> Column:
-        weight = F.size(other).cast("bigint") if weighted else F.lit(1).cast("bigint")
-        return F.transform(
-            array,
-            lambda entry: F.struct(
-                F.lit(kind).alias("kind"), entity_name(entry).alias("name"), weight.alias("w")
-            ),
+        weight = F.size(other) if weighted else F.lit(1)
+        return F.struct(
+            F.lit(kind).alias("kind"), F.col(array).alias("entries"), weight.cast("bigint").alias("w")
         )
 
-    both = F.concat(side(THEME, "themes", "persons"), side(PERSON, "persons", "themes"))
-    # a NULL array explodes to no row. As a filter on the row this condition would be
-    # pushed below the columns it needs and split every field a second time.
-    paired = (F.size("themes") > 0) & (F.size("persons") > 0)
-    return F.when(paired, both) if weighted else both
-
-
-def _exploded(df: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
-    entries = df.select(*keys, F.explode(_entries(weighted)).alias("e"))
-    rows = entries.select(*keys, "e.kind", "e.name", "e.w")
-    return rows.where((F.col("kind") == THEME) | is_person(F.col("name")))
+    sides = F.array(side(THEME, "themes", "persons"), side(PERSON, "persons", "themes"))
+    weighed = df.select(*keys, F.inline(sides)).where(F.col("w") > 0)
+    entries = weighed.select(*keys, "kind", "w", F.explode("entries").alias("entry"))
+    named = entries.select(*keys, "kind", entity_name(F.col("entry")).alias("name"), "w")
+    return named.where((F.col("kind") == THEME) | is_person(F.col("name")))
 
 
 def _top_lists(counts: DataFrame, n: int) -> DataFrame:
