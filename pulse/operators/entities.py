@@ -17,9 +17,12 @@ from pulse.functions.dates import AsOf, first_day
 from pulse.functions.text import entity_name, is_person
 from pulse.operators.ingest import graph_entities, recent_located
 from pulse.operators.ranking import first_n_per_group
+from pulse.operators.skew import heavy_keys, spread_join
 from pulse.operators.topics import DAY_COUNTRY
 
 THEME, PERSON = "theme", "person"
+# names of one url that one join task takes; each meets every country-day of the url
+NAMES_PER_TASK = 50_000
 
 
 def _exploded(df: DataFrame, keys: list[str], weighted: bool) -> DataFrame:
@@ -89,7 +92,8 @@ def top_entities_from_feeds(
     Both sides are reduced before they meet: events to a count per (url, day,
     country), graph rows to a weight per (url, kind, name). The count of a name is
     the sum over urls of the product, so the event x graph-row fan-out of the
-    enriched table is never built, however often a url repeats on either side.
+    enriched table is never built, however often a url repeats on either side. A url
+    with very many names is joined in several tasks, split by name.
     """
     per_url = (
         recent_located(events, as_of, cfg)
@@ -101,8 +105,9 @@ def top_entities_from_feeds(
         .groupBy("url", "kind", "name")
         .agg(F.sum("w").alias("w"))
     )
+    heavy = heavy_keys(weights, "url", "w", NAMES_PER_TASK)
     counts = (
-        per_url.join(weights, "url")
+        spread_join(per_url, weights, "url", "name", heavy)
         .groupBy(*DAY_COUNTRY, "kind", "name")
         .agg(F.sum(F.col("n") * F.col("w")).alias("c"))
     )

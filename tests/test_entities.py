@@ -3,9 +3,11 @@ from collections import Counter
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from frames import AS_OF, DAY, frame, gkg_feed, plan_of
+from frames import AS_OF, DAY, final_plan_of, frame, gkg_feed, plan_of
+from pulse.operators import entities
 from pulse.operators.entities import top_entities, top_entities_from_feeds
 from pulse.operators.ingest import enrich_events
+from pulse.operators.skew import heavy_keys
 from pulse.schemas import TABLES
 
 
@@ -97,6 +99,30 @@ def test_feeds_and_enriched_table_agree(spark, events, graph):
     assert lists(top_entities_from_feeds(raw, feed, AS_OF)) == literal_way
 
 
+def test_a_url_with_many_names_is_split(spark, monkeypatch):
+    monkeypatch.setattr(entities, "NAMES_PER_TASK", 7)
+    raw = frame(
+        spark, "events_raw",
+        *({"event_date": DAY, "country": c, "url": u} for c in "AB" for u in ("hot", "u1", "none")),
+    )
+    rows = [("hot", [f"t{i},1"], [f"person {i % 13},1", "ann,2"]) for i in range(40)]
+    rows += [("u1", ["t1,1"], ["ann,1"]), ("other", ["t1,1"], ["ann,1"])]
+    feed = gkg_feed(
+        spark,
+        *(
+            {"DocumentIdentifier": u, "V2Themes": ";".join(t), "V2Persons": ";".join(p)}
+            for u, t, p in rows
+        ),
+    )
+    enriched_way = lists(top_entities(enrich_events(raw, feed, AS_OF), AS_OF))
+    assert lists(top_entities_from_feeds(raw, feed, AS_OF)) == enriched_way
+    assert enriched_way["A"][1][0] == ("ann", 41)
+    weights = spark.createDataFrame([("a", i, f"n{i}") for i in range(20)] + [("b", 1, "n")], "url string, w int, name string")
+    assert heavy_keys(weights, "url", "w", 7).collect() == [("a", 3)]
+    plan = final_plan_of(top_entities_from_feeds(raw, feed, AS_OF))
+    assert "Reused" in plan  # the count per url shares the shuffle of the weights
+
+
 def test_plan(spark):
     rows = enriched(spark, ("A", ["x,1"], ["ann,1"]))
     made = top_entities(rows, AS_OF)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames import AS_OF, DAY, events_feed, feed_event, frame, gkg_feed
+from pulse import __main__ as command_line
 from pulse.operators.ingest import ingest_events
 from pulse.operators.mood import mood_map_feed
 from pulse.plans.daily import run_daily
@@ -153,3 +154,19 @@ def test_gkg_feed_from_files(spark, tmp_path):
     gkg_feed(spark, {"V2Themes": "a,1"}).write.parquet(str(tmp_path / "g"))
     assert read_gkg_feed(spark, str(tmp_path / "g")).count() == 1
     assert feed_event(AvgTone=2.0)["AvgTone"] == 2.0
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    day = {"SQLDATE": 20240130, "ActionGeo_CountryCode": "US", "SOURCEURL": "http://n.e/1"}
+    old = {**day, "SQLDATE": 20231201}
+    events_feed(spark, day, old).write.parquet(str(tmp_path / "e"))
+    graph = {"DocumentIdentifier": "http://n.e/1", "V2Themes": "A,1", "V2Persons": "Ann,1"}
+    gkg_feed(spark, graph).write.parquet(str(tmp_path / "g"))
+    argv = ["pulse", "--events", str(tmp_path / "e"), "--gkg", str(tmp_path / "g")]
+    argv += ["--root", str(tmp_path / "t"), "--as-of", "2024-01-30", "--feed", str(tmp_path / "f")]
+    monkeypatch.setattr("sys.argv", argv)
+    command_line.main()
+    feed = spark.read.json(str(tmp_path / "f")).collect()
+    assert [(r.country, r.iso3) for r in feed] == [("US", "USA")]
+    store = TableStore(spark, root=str(tmp_path / "t"))
+    assert store.read("events_raw").count() == 2
