@@ -8,17 +8,24 @@ inferred once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulse.models import contracts
 from pulse.models.contracts import GenerationOptions
 
+# executors need what the model needs, not this package: its task code travels by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(contracts)
+
 Infer = Callable[[list[str]], Sequence]
 
 
