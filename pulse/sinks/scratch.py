@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    Only a session without that setting (a test, a laptop) gets a local folder.
+    It is ``spark.checkpoint.dir``, else the warehouse. A warehouse on a local disk counts
+    only where the session runs in one process; on a cluster it raises.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="pulse-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if shared:
+        return shared
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    local_disk = warehouse.startswith(("file:", "/")) or ":" not in warehouse
+    if local_disk and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is on a local disk")
+    return f"{warehouse.rstrip('/')}/_scratch"
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under the shared root."""
+    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
