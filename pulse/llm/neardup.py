@@ -110,7 +110,8 @@ def bag_signatures(h: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int,
             np.minimum.at(first, at, t)
             won = t == first[at]
             label[at[won]] = p[won]
-            worst = first.reshape(n, places).max(1)
+            seen = slice(None) if len(state) > n // 8 else np.unique(of)
+            worst[seen] = first.reshape(n, places)[seen].max(1)
         low, k = low + width, k + 1
     return label.reshape(n, places)
 
