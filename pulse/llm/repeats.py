@@ -63,18 +63,19 @@ class _Anchors:
         if n < SPAN:
             return
         grams = SpanHashes(self.data).grams(GRAM)
-        place = np.arange(len(grams), dtype=np.uint64) & np.uint64(63)
-        grams = (grams & ~np.uint64(63)) | place  # the place breaks ties between equal grams
+        lengths = np.diff(self.starts)
+        # the place in the row, whatever the order of rows, breaks ties between equal grams
+        place = np.arange(n) - np.repeat(self.starts[:-1], lengths)
+        grams = (grams & ~np.uint64(63)) | (place[: len(grams)].astype(np.uint64) & np.uint64(63))
         least = _sliding_min(grams, SPAN - GRAM + 1)
         del grams
-        lengths = np.diff(self.starts)
         whole = np.repeat(self.starts[1:], lengths)[: len(least)] - np.arange(len(least)) >= SPAN
         whole &= np.repeat(self.known, lengths)[: len(least)]
         s = np.flatnonzero(whole)
         if not len(s):
             return
         least = least[s]
-        at = s + (((least & np.uint64(63)).astype(np.int64) - s) & 63)
+        at = s + (((least & np.uint64(63)).astype(np.int64) - place[s]) & 63)
         new = np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
         begin = np.flatnonzero(new)
         self.first = s[begin]
