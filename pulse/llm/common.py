@@ -77,7 +77,7 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**i modulo 2**64 for i < n, kept for the next call in this process."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        factors = np.full(max(n, 1 << 20), base, np.uint64)
+        factors = np.full(max(n, 1 << 21), base, np.uint64)
         factors[0] = 1
         have = _powers[base] = np.cumprod(factors, dtype=np.uint64)
     return have[:n]
@@ -145,7 +145,7 @@ def words(data: np.ndarray, starts: np.ndarray, is_word: np.ndarray):
     return begin, end, np.searchsorted(starts, begin, side="right") - 1
 
 
-def slices(table: pa.Table | pa.RecordBatch, text_col: str, limit: int = 4 << 20):
+def slices(table: pa.Table | pa.RecordBatch, text_col: str, limit: int = 2 << 20):
     """Consecutive slices of a table whose texts hold about ``limit`` bytes at most."""
     sizes = np.asarray(
         pa.compute.fill_null(pa.compute.binary_length(table.column(text_col)), 0)

@@ -34,8 +34,8 @@ from pulse.llm.common import BATCH, SpanHashes, in_batches, runs, text_bytes, ut
 
 SPAN = 50
 GRAM = 24
-BATCH_BYTES = 4 << 20
-BLOCK_BYTES = 1 << 19
+BATCH_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18
 #: Batches that an anchor may stand in before its windows are sent one by one.
 WIDE = 64
 _WIDTH = 2 * SPAN - GRAM  # the longest text around one anchor
