@@ -8,8 +8,9 @@ smaller id. The steps, each a Spark shuffle of packed arrays:
    are equal meet under one anchor. A batch sends each anchor once.
 2. Anchors are counted by hash bucket; those of two documents or more go back to the batches.
 3. A batch sends the texts around its shared anchors to shards, equal texts once, with the
-   smallest id. Anchors that stand in very many batches would gather unlimited contexts in
-   a shard; their windows are sent one by one, dealt by the hash of the whole window.
+   smallest id. Anchors that stand in very many batches would gather many contexts in one
+   shard; their windows are dealt by a second anchor of FINE_GRAM bytes, which leaves
+   hardly any context.
 4. A shard builds suffix arrays of blocks of bounded size by Larsson-Sadakane refinement and
    common prefixes by Kasai's rule; suffixes that share SPAN bytes are a class. The sorted
    classes of the blocks are merged by binary search, and the least id of each class is
@@ -34,10 +35,11 @@ from pulse.llm.common import BATCH, SpanHashes, in_batches, runs, text_bytes, ut
 
 SPAN = 50
 GRAM = 24
+#: Of the second anchor, for windows whose first anchor stands in more than WIDE batches.
+FINE_GRAM = 44
 BATCH_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 18
-#: Batches that an anchor may stand in before its windows are sent one by one.
-WIDE = 64
+WIDE = 256
 _WIDTH = 2 * SPAN - GRAM  # the longest text around one anchor
 
 
@@ -57,37 +59,37 @@ class _Anchors:
         ids = table.column(id_col).combine_chunks()
         self.known = ~np.asarray(ids.is_null())
         self.ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-        n = len(self.data)
         self.hash = np.zeros(0, np.uint64)
         self.first = self.last = self.row = np.zeros(0, np.int64)
-        if n < SPAN:
-            return
-        grams = SpanHashes(self.data).grams(GRAM)
         lengths = np.diff(self.starts)
-        # the place in the row, whatever the order of rows, breaks ties between equal grams
-        place = np.arange(n) - np.repeat(self.starts[:-1], lengths)
+        n = len(self.data)
+        if n >= SPAN:
+            whole = np.repeat(self.starts[1:], lengths) - np.arange(n) >= SPAN
+            windows = np.flatnonzero(whole & np.repeat(self.known, lengths))
+            self.hash, self.first, self.last = self.grouped(windows, GRAM)
+            self.row = np.searchsorted(self.starts, self.first, side="right") - 1
+
+    def grouped(self, windows: np.ndarray, gram: int, apart: np.ndarray | None = None):
+        """Runs of windows with one anchor of ``gram`` bytes: hash, first and last start.
+
+        The place in the row breaks ties between equal grams, whatever the order of rows.
+        """
+        if not len(windows):
+            return self.hash[:0], windows, windows
+        grams = SpanHashes(self.data).grams(gram)
+        place = np.arange(len(self.data)) - np.repeat(self.starts[:-1], np.diff(self.starts))
         grams = (grams & ~np.uint64(63)) | (place[: len(grams)].astype(np.uint64) & np.uint64(63))
-        least = _sliding_min(grams, SPAN - GRAM + 1)
-        del grams
-        whole = np.repeat(self.starts[1:], lengths)[: len(least)] - np.arange(len(least)) >= SPAN
-        whole &= np.repeat(self.known, lengths)[: len(least)]
-        s = np.flatnonzero(whole)
-        if not len(s):
-            return
-        least = least[s]
-        at = s + (((least & np.uint64(63)).astype(np.int64) - place[s]) & 63)
-        new = np.concatenate([[True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)])
+        least = _sliding_min(grams, SPAN - gram + 1)[windows]
+        at = windows + (((least & np.uint64(63)).astype(np.int64) - place[windows]) & 63)
+        new = np.ones(len(windows), bool)
+        new[1:] = (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)
+        if apart is not None:
+            new[1:] |= apart[1:] != apart[:-1]
         begin = np.flatnonzero(new)
-        self.first = s[begin]
-        self.last = s[np.concatenate([begin[1:], [len(s)]]) - 1]
-        self.hash = least[begin] >> np.uint64(6)
-        self.row = np.searchsorted(self.starts, self.first, side="right") - 1
-
-    def texts(self, which: np.ndarray) -> np.ndarray:
-        """Rows of a byte matrix: text around each anchor, zeros, length in the last column."""
-        return self._cut(self.first[which], self.last[which] + SPAN)
+        end = np.concatenate([begin[1:], [len(windows)]]) - 1
+        return least[begin] >> np.uint64(6), windows[begin], windows[end]
 
-    def _cut(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def cut(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = np.zeros((len(start), _WIDTH + 1), np.uint8)
         length = end - start
         padded = np.concatenate([self.data, np.zeros(_WIDTH, np.uint8)])
@@ -335,14 +337,12 @@ def repeated_bytes(
         plain, spread = np.flatnonzero(hit & ~wide[at]), np.flatnonzero(hit & wide[at])
         n = own.last[spread] - own.first[spread] + 1
         one = np.repeat(own.first[spread], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hashed = (own.hash[plain] >> np.uint64(3)).astype(np.int64)
-        if len(one):
-            spans = SpanHashes(own.data).spans(one, one + SPAN)
-            hashed = np.concatenate([hashed, (spans >> np.uint64(3)).astype(np.int64)])
-        first = np.concatenate([own.first[plain], one])
-        last = np.concatenate([own.last[plain], one])
-        rows = np.concatenate([own.row[plain], np.repeat(own.row[spread], n)])
-        return hashed % shards, own._cut(first, last + SPAN), rows, first
+        fine, begin, end = own.grouped(one, FINE_GRAM, np.repeat(spread, n))
+        hashed = np.concatenate([own.hash[plain], fine]).astype(np.int64)
+        first = np.concatenate([own.first[plain], begin])
+        last = np.concatenate([own.last[plain], end])
+        rows = np.searchsorted(own.starts, first, side="right") - 1
+        return hashed % shards, own.cut(first, last + SPAN), rows, first
 
     def by_shard(own: _Anchors, notes: pa.Table):
         """For each shard: the distinct texts, the class of each text, least id, texts."""
