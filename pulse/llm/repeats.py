@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -278,7 +279,7 @@ def repeated_bytes(
     total = text_bytes(docs, text_col)
     keyed = in_batches(docs, batch_bytes, id_col, text_col)
     buckets = max(1, total // (27 << 20))
-    shards = max(1, -(-total // (4 * batch_bytes)))
+    shards = max(1, -(-total // (3 * batch_bytes)))
 
     def sends_anchors(key, table):
         own = _Anchors(table, id_col, text_col)
@@ -364,8 +365,9 @@ def repeated_bytes(
             return _notes([])
         batch = table.column(BATCH)[0].as_py()
         own = _Anchors(table, id_col, text_col)
+        pack = zstandard.ZstdCompressor(level=1)
         out = [
-            (shard, batch, _bytes(matrix[which[head]]), _bytes(least))
+            (shard, batch, pack.compress(_bytes(matrix[which[head]])), _bytes(least))
             for shard, which, head, _, least, matrix, *_ in by_shard(own, notes)
         ]
         # what this batch was told comes back to it with the answers of the shards
@@ -375,15 +377,21 @@ def repeated_bytes(
     def settles(key, table):
         if key[0].as_py() < 0:
             return table.select(_ARROW_NOTES.names).cast(_ARROW_NOTES)
-        parts = [np.frombuffer(x, np.uint8).reshape(-1, _WIDTH + 1) for x in table.column("a").to_pylist()]
+        unpack = zstandard.ZstdDecompressor()
+        parts = [
+            np.frombuffer(unpack.decompress(x), np.uint8).reshape(-1, _WIDTH + 1)
+            for x in table.column("a").to_pylist()
+        ]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("b").to_pylist()])
         matrix = np.concatenate(parts)
         head, cls = _distinct(matrix)
+        matrix = matrix[head]
         least = np.full(len(head), np.iinfo(np.int64).max)
         np.minimum.at(least, cls, ids)
-        settled = _settle(matrix[head], least)
-        gone = settled[cls] < ids[:, None]
-        masks = (gone.astype(np.uint32) << np.arange(gone.shape[1], dtype=np.uint32)).sum(1, dtype=np.uint32)
+        settled = _settle(matrix, least)
+        masks = np.zeros(len(ids), np.uint32)
+        for k in range(settled.shape[1]):
+            masks |= (settled[cls, k] < ids).astype(np.uint32) << np.uint32(k)
         ends = np.cumsum([len(p) for p in parts])
         return _notes(
             [
