@@ -14,8 +14,9 @@ more; a class is a connected component of that relation, named by its least id.
 * Equal word sequences (64-bit hash and length) are one text from then on; copies join
   again by that key at the end.
 * Every band of ``ROWS`` places is a key. All members of a key are compared with the least
-  of them, and where members of a key are then in different components, these are compared
-  with each other, without those whose distance to the least member rules a link out. A
+  of them. Where members of a key are then in different components, those outside the
+  largest meet further members of it for some rounds. What is apart after that is compared
+  where rare shingles meet: texts of the wanted overlap share one of their rarest fifth. A
   key's members are pre-aggregated, never collected; joins read written tables on both
   sides, so that Spark splits hot keys.
 * Verification computes the weighted Jaccard of the whole multisets.
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulse.llm.common import LETTERED, LOWER, SpanHashes, mixed, slices, stored, utf8, without, words
@@ -38,6 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS = 6
 BANDS = 32
+#: Times that members apart from the largest component of a key meet one more of it.
+ROUNDS = 3
 _PLACES = ROWS * BANDS
 
 
@@ -159,6 +162,24 @@ def _bags(batches):
             )
 
 
+def _elements(batches):
+    """The members of a bag, equal ones numbered: 32 bits of hash, 31 of number."""
+    for batch in batches:
+        copies, members = [], []
+        for h, n in zip(batch.column("h").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            h, n = _bag(h, n)
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            members.append((np.repeat(h, n).astype(np.int64) << 31) | number)
+            copies.append(len(number))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("copy").take(pa.array(np.repeat(np.arange(len(copies)), copies))),
+                pa.array(np.concatenate(members) if members else np.zeros(0, np.int64)),
+            ],
+            names=["copy", "e"],
+        )
+
+
 def overlap(ha: np.ndarray, na: np.ndarray, hb: np.ndarray, nb: np.ndarray) -> float:
     """Weighted Jaccard of two bags with hashes in order."""
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
@@ -253,28 +274,59 @@ def near_classes(
     links = tested.filter(F.col("sim") >= similarity).select("a", "b")
     labels = components(links)
 
-    # members of a key that are still in different components
-    own = members.join(labels.withColumnRenamed("id", "copy"), "copy", "left").select(
-        "key", "copy", "size", F.col("pivot.copy").alias("pivot"), F.coalesce("class_id", "copy").alias("class_id")
+    def still_apart(labels: DataFrame) -> DataFrame:
+        """Members, with their components, of the keys that hold more than one."""
+        own = members.join(labels.withColumnRenamed("id", "copy"), "copy", "left").select(
+            "key", "copy", "size", F.col("pivot.copy").alias("pivot"), F.coalesce("class_id", "copy").alias("class_id")
+        )
+        own = stored(own, "own")
+        split = own.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
+        split = stored(split.filter("lo < hi").select("key"), "split")
+        return stored(own.join(split, "key"), "apart")
+
+    def untested(found: DataFrame) -> DataFrame:
+        ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return stored(ordered.join(seen, ["a", "b"], "left_anti"), "pairs")
+
+    seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for again in range(ROUNDS):
+        # in each such key, one more member of its largest component meets those outside it
+        own = still_apart(labels)
+        crowd = own.groupBy("key", "class_id").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("copy", "key", F.lit(again)), "copy", "size")).alias("p")
+        )
+        most = crowd.groupBy("key").agg(F.max(F.struct("n", "class_id", "p")).alias("m"))
+        most = stored(most.select("key", F.col("m.class_id").alias("within"), "m.p.copy", "m.p.size").toDF("key", "within", "other", "other_size"), "most")
+        met = own.join(most, "key").filter((F.col("class_id") != F.col("within")) & fits(F.col("size"), F.col("other_size")))
+        fresh = _similarities(untested(met.select(F.col("copy").alias("a"), F.col("other").alias("b"))), bags)
+        fresh = stored(fresh.groupBy("a", "b").agg(F.max("sim").alias("sim")), "tested")
+        seen = stored(seen.unionByName(fresh.select("a", "b")), "seen")
+        new = fresh.filter(F.col("sim") >= similarity).select("a", "b")
+        if not new.limit(1).count():
+            break
+        links = stored(links.unionByName(new), "links")
+        labels = components(links)
+
+    # what is apart now meets by its rarest shingles, which misses no pair
+    left = stored(still_apart(labels).select("copy", "size", "class_id").distinct(), "left")
+    single = bags.join(left.select("copy"), "copy", "left_semi").mapInArrow(_elements, "copy long, e long").distinct()
+    single = stored(single, "elements")
+    rarity = stored(single.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "rarity")
+    ranked = single.join(rarity, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("copy").orderBy("df", "e"))
+    prefix = ranked.withColumn("place", place).join(left, "copy").filter(
+        (F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
     )
-    own = stored(own, "own")
-    split = own.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-    split = stored(split.filter("lo < hi").select("key"), "split")
-    own = own.filter("copy <> pivot").join(split, "key", "left_semi")
-    distance = tested.select(F.col("a").alias("copy"), F.col("b").alias("pivot"), (1 - F.col("sim")).alias("d"))
-    own = stored(own.join(distance, ["copy", "pivot"], "left"), "apart")
-    x, y = own.alias("x"), own.alias("y")
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9, F.lit(True))
+    prefix = stored(prefix.select("e", "copy", "size", "class_id"), "prefix")
+    x, y = prefix.alias("x"), prefix.alias("y")
     rest = x.join(
         y,
-        (F.col("x.key") == F.col("y.key"))
+        (F.col("x.e") == F.col("y.e"))
         & (F.col("x.copy") < F.col("y.copy"))
         & (F.col("x.class_id") != F.col("y.class_id"))
-        & near
         & fits(F.col("x.size"), F.col("y.size")),
     )
-    rest = rest.select(F.col("x.copy").alias("b"), F.col("y.copy").alias("a")).distinct()
-    rest = stored(rest.join(tested, ["a", "b"], "left_anti"), "rest")
+    rest = untested(rest.select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b")))
     more = _similarities(rest, bags).filter(F.col("sim") >= similarity).select("a", "b")
     links = stored(links.unionByName(more).distinct(), "links")
     labels = components(links)
