@@ -151,13 +151,14 @@ def slices(table: pa.Table | pa.RecordBatch, text_col: str, limit: int = 2 << 20
         pa.compute.fill_null(pa.compute.binary_length(table.column(text_col)), 0)
     ).astype(np.int64)
     piece = np.cumsum(sizes) // limit
-    for lo, hi in zip(*_bounds(piece), strict=True):
+    for lo, hi in zip(*bounds(piece), strict=True):
         yield table.slice(lo, hi - lo)
 
 
-def _bounds(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bounds(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
     start = runs(sorted_keys)
-    return start, np.concatenate([start[1:], [len(sorted_keys)]]).astype(np.int64)
+    return start, np.concatenate([start[1:], [len(sorted_keys)]]).astype(np.int64)[: len(start)]
 
 
 def extended(batch: pa.RecordBatch, columns: list[str], added: dict[str, pa.Array]) -> pa.RecordBatch:

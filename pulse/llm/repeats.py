@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pulse.llm.common import BATCH, SpanHashes, in_batches, runs, text_bytes, utf8, without
+from pulse.llm.common import BATCH, SpanHashes, bounds, in_batches, runs, text_bytes, utf8, without
 
 SPAN = 50
 GRAM = 24
@@ -311,12 +311,10 @@ def repeated_bytes(
         order, wide = order[shared], wide[shared]
         by = np.argsort(batches[order], kind="stable")
         order, wide = order[by], wide[by]
-        cut = runs(batches[order])
-        ends = np.concatenate([cut[1:], [len(order)]]).astype(np.int64)
         return _notes(
             [
                 (key[0].as_py(), int(batches[order[lo]]), _bytes(bits[order[lo:hi]]), _bytes(wide[lo:hi]))
-                for lo, hi in zip(cut, ends, strict=True)
+                for lo, hi in zip(*bounds(batches[order]), strict=True)
             ]
         )
 
@@ -352,8 +350,7 @@ def repeated_bytes(
             return
         shard, matrix, rows, first = found
         order = np.argsort(shard, kind="stable")
-        cut = runs(shard[order])
-        for lo, hi in zip(cut, np.concatenate([cut[1:], [len(order)]]), strict=True):
+        for lo, hi in zip(*bounds(shard[order]), strict=True):
             which = order[lo:hi]
             head, cls = _distinct(matrix[which])
             least = np.full(len(head), np.iinfo(np.int64).max)
