@@ -116,7 +116,9 @@ def phrase_matches(
     along = stored(along.withColumnRenamed("th", "__th"), "alignments")
     keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     # one plan at every size: alignments grow with the texts
-    rows = keyed.join(along.hint("merge"), "__th", "left").withColumn("__words", word_array(F.col(text_col)))
+    # exploding one array keeps filters above from evaluating the words once for each use
+    rows = keyed.join(along.hint("merge"), "__th", "left")
+    rows = rows.withColumn("__words", F.explode(F.array(word_array(F.col(text_col)))))
 
     def hits(a: Column) -> Column:
         """Places of the text that windows cover along one alignment."""
