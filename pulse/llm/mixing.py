@@ -33,7 +33,7 @@ from pulse.llm.common import LOWER, SPACE, SpanHashes, extended, slices, stored,
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of all tokens; the total stays that of the documents.
 TARGETS = {"clean": 0.86, "poor": 0.1, "toxic": 0.04}
-MOST_LABELLED = 6000
+MOST_LABELLED = 2500
 HASHED = 1 << 20
 STEPS = 40
 CLOSE = 1e-4
@@ -77,10 +77,20 @@ class DomainModel:
         return p / p.sum(1, keepdims=True)
 
 
-def _fit(texts: list[str], y: np.ndarray) -> DomainModel:
-    """AdaGrad over the bounded sample, in small blocks of documents."""
-    features, size = _features(pa.array(texts, pa.string()))
-    starts = np.concatenate([[0], np.cumsum(size)])
+def _sample_features(batches):
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            features, size = _features(batch.column("text"))
+            cut = np.concatenate([[0], np.cumsum(size)])
+            packed = [features[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("y"), pa.array(packed, pa.binary())], names=["y", "features"]
+            )
+
+
+def _fit(texts: list[bytes], y: np.ndarray) -> DomainModel:
+    """AdaGrad over the features of the bounded sample, in small blocks of documents."""
+    size = np.array([len(t) // 12 for t in texts])
     share = np.bincount(y, minlength=len(DOMAINS)) + 0.5
     model = DomainModel(np.zeros((HASHED, len(DOMAINS)), np.float32), np.log(share / share.sum()))
     seen = np.full(HASHED, 1e-3, np.float32)
@@ -88,7 +98,7 @@ def _fit(texts: list[str], y: np.ndarray) -> DomainModel:
     for _ in range(EPOCHS):
         for lo in range(0, len(order), 64):
             own = order[lo : lo + 64]
-            rows = np.concatenate([features[starts[d] : starts[d + 1]] for d in own])
+            rows = np.concatenate([np.frombuffer(texts[d], np.int32).reshape(-1, 3) for d in own])
             p = model.posteriors(rows, size[own])
             p[np.arange(len(own)), y[own]] -= 1
             g = np.repeat(p / np.sqrt(np.maximum(size[own], 1))[:, None], 3 * size[own], axis=0)
@@ -114,10 +124,10 @@ def learn_domains(
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = marks.filter(place < min(1.0, most / n)).join(texts, "id").orderBy("id", "text").select("text", "y")
-    rows = sample.toArrow()
+    rows = sample.mapInArrow(_sample_features, "y int, features binary").toArrow()
     if not rows.num_rows:
         return DomainModel()
-    return _fit(rows.column("text").to_pylist(), np.asarray(rows.column("y")).astype(np.int64))
+    return _fit(rows.column("features").to_pylist(), np.asarray(rows.column("y")).astype(np.int64))
 
 
 def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
