@@ -33,7 +33,7 @@ from pulse.llm.common import LOWER, SPACE, SpanHashes, extended, slices, stored,
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of all tokens; the total stays that of the documents.
 TARGETS = {"clean": 0.86, "poor": 0.1, "toxic": 0.04}
-MOST_LABELLED = 2500
+MOST_LABELLED = 5000
 HASHED = 1 << 20
 STEPS = 40
 CLOSE = 1e-4
