@@ -102,7 +102,8 @@ def _prepared(df: DataFrame, id: str, vector: str, day: str | None) -> DataFrame
     columns = [F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector")]
     if day:
         columns.append(F.unix_date(day).alias("day"))
-    usable = F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull())
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = F.exists("vector", lambda x: x != 0) & finite
     return df.select(columns).where(usable)
 
 
@@ -118,6 +119,10 @@ def _unpack(table: pa.Table | pa.RecordBatch):
     lists = table.column("vector")
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
+    sizes = np.asarray(lists.value_lengths())
+    if len(sizes) and (sizes != sizes[0]).any():
+        odd = ids[int(np.argmax(sizes != sizes[0]))]
+        raise ValueError(f"vectors of unequal length: {odd}")
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     matrix = flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
     unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(ids) else matrix
@@ -139,6 +144,8 @@ class _Nearest:
         ids, unit, days = batch
         if not len(ids) or not len(self.ids):
             return
+        if unit.shape[1] != self.unit.shape[1]:
+            raise ValueError(f"vector of {ids[0]} and the anchors differ in length")
         # anchors in slices, so that the distance matrix stays small
         step = max(1, (4 << 20) // len(ids))
         for start in range(0, len(self.ids), step):

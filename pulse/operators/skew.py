@@ -9,24 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HEAVY_KEYS = 1000
-
 
 def heavy_keys(df: DataFrame, key: str, counted: str, rows_per_bucket: int) -> DataFrame:
     """(key, buckets) of the keys with more than ``rows_per_bucket`` rows.
 
-    At most the 1000 heaviest, so the frame may be broadcast. Any other key holds less
-    than a thousandth of the rows and needs no split; it is joined like every key.
+    Every such key is split, however many there are: Spark picks the join by their size.
     ``counted`` is a column that the caller reads as well: the count then shares its
     shuffle.
     """
     sizes = df.groupBy(key).agg(F.count(counted).alias("rows"))
-    heaviest = (
-        sizes.where(F.col("rows") > rows_per_bucket)
-        .orderBy(F.desc("rows"), key)
-        .limit(MAX_HEAVY_KEYS)
-    )
-    return heaviest.select(key, F.ceil(F.col("rows") / rows_per_bucket).alias("buckets"))
+    heavy = sizes.where(F.col("rows") > rows_per_bucket)
+    return heavy.select(key, F.ceil(F.col("rows") / rows_per_bucket).alias("buckets"))
 
 
 def spread_join(
@@ -38,7 +31,6 @@ def spread_join(
     the rows of ``small`` with that key are copied to every bucket. The bucket depends
     on values only, so a retried task makes the same ones.
     """
-    heavy = F.broadcast(heavy)
     buckets = F.coalesce("buckets", F.lit(1).cast("bigint"))
     placed = large.join(heavy, key, "left").withColumn(
         "bucket", F.pmod(F.xxhash64(spread_by), buckets)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulse.config import DEFAULTS, PulseConfig
-from pulse.functions.dates import AsOf
+from pulse.functions.dates import AsOf, as_of_day
 from pulse.operators.ingest import ingest_events
 from pulse.operators.topics import DAY_COUNTRY
 
@@ -35,6 +35,22 @@ def stream_raw_events(
     )
 
 
+def stream_future_events(
+    feed: DataFrame, path: str, checkpoint: str, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS
+) -> StreamingQuery:
+    """Append events dated after ``as_of``, which the statistics leave out; exactly once."""
+    return (
+        ingest_events(feed, as_of, cfg)
+        .where(F.col("event_date") > as_of_day(as_of))
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_country_day(
     feed: DataFrame, path: str, checkpoint: str, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS
 ) -> StreamingQuery:
@@ -42,9 +58,12 @@ def stream_country_day(
 
     Every micro-batch writes the groups it changed to its own folder. A batch that
     is run again after a failure replaces its folder, so nothing counts twice. The
-    watermark is the raw window: a later event is one that batch would filter out.
+    watermark is the raw window. Days after ``as_of`` are left out before it, so that a wrong
+    date cannot close the days that are still to come; ``stream_future_events`` keeps them.
     """
-    located = ingest_events(feed, as_of, cfg).where(F.col("country").isNotNull())
+    located = ingest_events(feed, as_of, cfg).where(
+        F.col("country").isNotNull() & (F.col("event_date") <= as_of_day(as_of))
+    )
     timed = located.withColumn(DAY_TIME, F.col("event_date").cast("timestamp")).withWatermark(
         DAY_TIME, f"{cfg.raw_days} days"
     )

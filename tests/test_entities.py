@@ -133,3 +133,12 @@ def test_plan(spark):
     assert plan.count("WindowGroupLimit") == 2
     assert "partial_sum" in plan
     assert "Python" not in plan
+
+
+def test_every_heavy_key_is_split(spark):
+    weights = frame_of_many(spark)
+    assert heavy_keys(weights, "url", "w", 2).count() == 1200
+
+
+def frame_of_many(spark):
+    return spark.range(3600).selectExpr("cast(id % 1200 as string) as url", "1L as w")

@@ -3,7 +3,12 @@ from pulse.operators.ingest import ingest_events
 from pulse.operators.topics import country_topics
 from pulse.config import PulseConfig
 from pulse.schemas import EVENTS_FEED
-from pulse.streaming.country_day import read_country_day, stream_country_day, stream_raw_events
+from pulse.streaming.country_day import (
+    read_country_day,
+    stream_country_day,
+    stream_future_events,
+    stream_raw_events,
+)
 
 STATS = ["event_date", "country", "headline_count", "avg_tone", "min_tone", "max_tone"]
 
@@ -63,3 +68,17 @@ def test_raw_events_are_appended_once(spark, tmp_path):
     expected = ingest_events(first.unionAll(second), AS_OF)
     back = spark.read.parquet(out).select(expected.columns)
     assert sorted(back.collect(), key=str) == sorted(expected.collect(), key=str)
+
+
+def test_a_future_day_drops_no_later_event(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("feed", "out", "state"))
+    feed = lambda: spark.readStream.schema(EVENTS_FEED).parquet(source)
+    event = lambda day: {"SQLDATE": day, "ActionGeo_CountryCode": "A", "AvgTone": 1.0}
+    for day in (20991231, 20240120, 20240121):
+        events_feed(spark, event(day)).coalesce(1).write.mode("append").parquet(source)
+        stream_country_day(feed(), out, state, AS_OF).awaitTermination()
+    days = [str(r.event_date) for r in read_country_day(spark, out).orderBy("event_date").collect()]
+    assert days == ["2024-01-20", "2024-01-21"]
+    rejects = str(tmp_path / "rejects")
+    stream_future_events(feed(), rejects, str(tmp_path / "state2"), AS_OF).awaitTermination()
+    assert [str(r.event_date) for r in spark.read.parquet(rejects).collect()] == ["2099-12-31"]

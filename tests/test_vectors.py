@@ -84,6 +84,32 @@ def test_unusable_vectors_take_no_part(spark):
     assert found(made) == {"x": [(0.0, "a")]}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_non_finite_vectors_hide_no_neighbour(spark, few):
+    nan, inf = float("nan"), float("inf")
+    base = [(f"n{i}", [nan, 1.0], DAY) for i in range(5)] + [("i", [inf, 1.0], DAY)]
+    base += [(f"v{i}", [1.0, float(i)], DAY) for i in range(7)]
+    made = topk_cosine(
+        spark.createDataFrame(base, SCHEMA).coalesce(1),
+        spark.createDataFrame([("x", [1.0, 0.0], DAY)], SCHEMA).withColumnRenamed("id", "anchor_id"),
+        10,
+        max_broadcast_anchors=10 if few else 0,
+    )
+    assert [id for _, id in found(made)["x"]] == [f"v{i}" for i in range(7)]
+
+
+@pytest.mark.parametrize("base", [[[1.0, 0.0, 0.0], [5.0]], [[1.0, 0.0, 0.0]]])
+def test_ragged_vectors_raise(spark, base):
+    rows = [(f"v{i}", v, DAY) for i, v in enumerate(base)]
+    made = topk_cosine(
+        spark.createDataFrame(rows, SCHEMA).coalesce(1),
+        spark.createDataFrame([("x", [1.0, 0.0], DAY)], SCHEMA).withColumnRenamed("id", "anchor_id"),
+        3,
+    )
+    with pytest.raises(Exception, match="length"):
+        made.collect()
+
+
 def test_many_equal_distances_go_by_id(spark):
     base = [(f"v{i:03d}", [1.0, 0.0], DAY) for i in reversed(range(300))]
     made = topk_cosine(
