@@ -16,9 +16,10 @@ more; a class is a connected component of that relation, named by its least id.
 * Every band of ``ROWS`` places is a key. All members of a key are compared with the least
   of them. Where members of a key are then in different components, those outside the
   largest meet further members of it for some rounds. What is apart after that is compared
-  where rare shingles meet: texts of the wanted overlap share one of their rarest fifth. A
-  key's members are pre-aggregated, never collected; joins read written tables on both
-  sides, so that Spark splits hot keys.
+  where rare shingles meet: texts of the wanted overlap share one of their rarest fifth, and
+  the first one shared stands so early that enough others can follow in both. A key's
+  members are pre-aggregated, never collected; joins read written tables on both sides, so
+  that Spark splits hot keys.
 * Verification computes the weighted Jaccard of the whole multisets.
 
 Texts without a word (null, empty) are in no class but their own. Rows with a null id get a
@@ -317,14 +318,18 @@ def near_classes(
     prefix = ranked.withColumn("place", place).join(left, "copy").filter(
         (F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
     )
-    prefix = stored(prefix.select("e", "copy", "size", "class_id"), "prefix")
+    prefix = stored(prefix.select("e", "copy", "size", "class_id", "place"), "prefix")
     x, y = prefix.alias("x"), prefix.alias("y")
+    # where the first shared shingle stands bounds what can still be shared from there on
+    most_shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
+    shared = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-9
     rest = x.join(
         y,
         (F.col("x.e") == F.col("y.e"))
         & (F.col("x.copy") < F.col("y.copy"))
         & (F.col("x.class_id") != F.col("y.class_id"))
-        & fits(F.col("x.size"), F.col("y.size")),
+        & fits(F.col("x.size"), F.col("y.size"))
+        & (most_shared >= shared),
     )
     rest = untested(rest.select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b")))
     more = _similarities(rest, bags).filter(F.col("sim") >= similarity).select("a", "b")
