@@ -73,9 +73,9 @@ def snippet(x: str, chars: int) -> str:
     return f"substr({replace_all(x, fixed.URL_PATTERN, '')}, 1, {chars})"
 
 
-def entities(x: str, limit: int) -> str:
+def entities(x: str, limit: int | None = None) -> str:
     items = f"list_transform(string_split(coalesce({x}, ''), ';'), lambda e: {trim('e')})"
-    return f"(list_filter({items}, lambda e: e <> ''))[1:{limit}]"
+    return f"(list_filter({items}, lambda e: e <> ''))" + (f"[1:{limit}]" if limit else "")
 
 
 def vector(x: str) -> str:
@@ -190,9 +190,9 @@ CTES: dict[str, str] = {
     "gkg_feed": f"""
       select (20240101 + doc_id % 30) * 1000000 + doc_id % 24 * 10000 as date,
         'http://news.example/d/' || (doc_id // 2) as DocumentIdentifier,
-        {_entries(2, 0, _THEME, ';')} as V2Themes,
+        {_entries(3, 0, _THEME, ';')} as V2Themes,
         case when doc_id % 7 <> 0 then {_entries(3, 1, _PERSON, '; ')} end as V2Persons,
-        case when doc_id % 11 <> 0 then {_entries(5, 2, 'w', f' ;{chr(9)}')} end as V2Organizations
+        case when doc_id % 11 <> 0 then {_entries(3, 2, 'w', f' ;{chr(9)}')} end as V2Organizations
       from documents""",
     "graph": f"""
       select DocumentIdentifier as url, date, {entities('V2Themes', 50)} as themes,
@@ -304,7 +304,8 @@ def _nested(flat: str) -> str:
     return f"""
       select event_date, country, count(*) as n_analogs,
         string_agg({line}, {lit(fixed.ANALOG_SEPARATOR)}
-          order by distance, past_date, snippet) as analogs_txt
+          order by distance, past_date, snippet) as analogs_txt,
+        list(distance order by distance, past_date, snippet) as distances
       from {flat} group by event_date, country"""
 
 
@@ -423,6 +424,10 @@ _TONES = (
     "round(avg_tone, 10) as avg_tone, round(min_tone, 10) as min_tone, "
     "round(max_tone, 10) as max_tone"
 )
+_TOPIC_ARRAYS = (
+    "array_to_string(top_event_types, '|') as top_event_types, "
+    "array_to_string(sample_urls, '|') as sample_urls"
+)
 _ARRAYS = (
     "array_to_string(themes, '|') as themes, array_to_string(persons, '|') as persons, "
     "array_to_string(orgs, '|') as orgs"
@@ -491,15 +496,19 @@ ORACLE: dict[str, str] = {
         f"array_to_string({entities('V2Organizations', 30)}, '|') as orgs from gkg_feed",
         "gkg_feed",
     ),
+    "gkg_fields_uncapped": with_tables(
+        f"select date, DocumentIdentifier, "
+        f"array_to_string({entities('V2Themes')}, '|') as themes, "
+        f"array_to_string({entities('V2Persons')}, '|') as persons, "
+        f"array_to_string({entities('V2Organizations')}, '|') as orgs from gkg_feed",
+        "gkg_feed",
+    ),
     "country_topics": with_tables(
-        f"select event_date, country, headline_count, {_TONES}, "
-        "array_to_string(top_event_types, '|') as top_event_types, "
-        "array_to_string(sample_urls, '|') as sample_urls, topic_doc from topics",
+        f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from topics",
         "topics",
     ),
     "top_countries_latest": with_tables(
-        "select event_date, country, headline_count, round(avg_tone, 10) as avg_tone, topic_doc "
-        "from top",
+        f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from top",
         "top",
     ),
     "today_for_analogs": with_tables("select event_date, country from top", "top"),
@@ -546,7 +555,9 @@ ORACLE: dict[str, str] = {
         "select * replace (round(distance, 6) as distance) from dated_flat_pre", "dated_flat_pre"
     ),
     "analogs_nested": with_tables(
-        "select event_date, country, cast(n_analogs as integer) as n_analogs, analogs_txt "
+        "select event_date, country, cast(n_analogs as integer) as n_analogs, analogs_txt, "
+        "array_to_string(list_transform(distances, "
+        "lambda x: cast(round(x * 1000000) as bigint)), ',') as distances "
         "from dated_nested",
         "dated_nested",
     ),
@@ -563,10 +574,13 @@ ORACLE: dict[str, str] = {
         f"select date, DocumentIdentifier, {people_nice('V2Persons')} as people_nice from gkg_feed",
         "gkg_feed",
     ),
-    "capitalised": f"select page_id, {capitalise('url')} as url_capitalised from pages",
+    "capitalised": f"select page_id, {capitalise('url')} as url_capitalised, "
+    f"{capitalise('html')} as html_capitalised from pages",
     "url_free_text": "select page_id, "
     + snippet("('seen at ' || url || ' by page ' || page_id)", 400)
-    + " as snippet from pages",
+    + " as snippet, "
+    + replace_all("html", fixed.URL_PATTERN, "")
+    + " as url_free from pages",
     "number_text": f"select event_id, {number('value - 100')} as value_text from events",
     "briefing_context": with_tables("select * from context", "context"),
     "briefing_prompt": with_tables(
@@ -616,7 +630,8 @@ ORACLE: dict[str, str] = {
         "raw",
     ),
     "stored_topics": with_tables(
-        "select event_date, country, headline_count, topic_doc from topics", "topics"
+        f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from topics",
+        "topics",
     ),
     "expired_partitions": with_tables(
         "select event_date, count(*) as events from raw "
@@ -624,9 +639,7 @@ ORACLE: dict[str, str] = {
         "raw",
     ),
     "exported_topics": with_tables(
-        "select event_date, country, headline_count, "
-        "array_to_string(top_event_types, '|') as top_event_types, "
-        "array_to_string(sample_urls, '|') as sample_urls, topic_doc from topics",
+        f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from topics",
         "topics",
     ),
     "delimited_feed": with_tables(f"select {_EVENT}, round(tone, 10) as tone from raw", "raw"),

@@ -122,6 +122,13 @@ def _fine(name: str, places: int = 10) -> Column:
     return F.round(name, places).alias(name)
 
 
+def _topic_rows(df: DataFrame) -> DataFrame:
+    return _joined(df, "top_event_types", "sample_urls").select(
+        "event_date", "country", "headline_count", _fine("avg_tone"), _fine("min_tone"),
+        _fine("max_tone"), "top_event_types", "sample_urls", "topic_doc",
+    )
+
+
 # --- queries ---------------------------------------------------------------------
 def ingest_events(spark: SparkSession, d: str) -> DataFrame:
     return _raw(spark, d).select(
@@ -142,27 +149,31 @@ def enrich_gkg_latest(spark, d):
 
 
 def gkg_fields(spark, d):
+    return _gkg_fields(spark, d, 50, 30, 30)
+
+
+def gkg_fields_uncapped(spark, d):
+    """All entries of every field."""
+    return _gkg_fields(spark, d, None, None, None)
+
+
+def _gkg_fields(spark, d, themes, persons, orgs):
     feed = views.gkg_feed(spark, d)
     return feed.select(
         "date",
         "DocumentIdentifier",
-        F.array_join(entity_list(F.col("V2Themes"), 50), "|").alias("themes"),
-        F.array_join(entity_list(F.col("V2Persons"), 30), "|").alias("persons"),
-        F.array_join(entity_list(F.col("V2Organizations"), 30), "|").alias("orgs"),
+        F.array_join(entity_list(F.col("V2Themes"), themes), "|").alias("themes"),
+        F.array_join(entity_list(F.col("V2Persons"), persons), "|").alias("persons"),
+        F.array_join(entity_list(F.col("V2Organizations"), orgs), "|").alias("orgs"),
     )
 
 
 def country_topics(spark, d):
-    return _joined(_topics(spark, d), "top_event_types", "sample_urls").select(
-        "event_date", "country", "headline_count", _fine("avg_tone"), _fine("min_tone"),
-        _fine("max_tone"), "top_event_types", "sample_urls", "topic_doc",
-    )
+    return _topic_rows(_topics(spark, d))
 
 
 def top_countries_latest(spark, d):
-    return topics.top_countries(_topics(spark, d)).select(
-        "event_date", "country", "headline_count", _fine("avg_tone"), "topic_doc"
-    )
+    return _topic_rows(topics.top_countries(_topics(spark, d)))
 
 
 def today_for_analogs(spark, d):
@@ -232,9 +243,11 @@ def analogs_flat_pre(spark, d):
 
 def analogs_nested(spark, d):
     nested = vectors.nest_analogs(_dated_analogs(spark, d).drop("past_country"))
+    far = F.transform("analogs.distance", lambda x: F.round(x * 1000000).cast("bigint").cast("string"))
     return nested.select(
-        "event_date", "country", F.size("analogs").alias("n_analogs"), "analogs_txt"
-    )
+        "event_date", "country", F.size("analogs").alias("n_analogs"), "analogs_txt",
+        F.array_join(far, ",").alias("distances"),
+    )
 
 
 def topic_analogs(spark, d):
@@ -253,13 +266,14 @@ def people_clean(spark, d):
 
 def capitalised(spark, d):
     pages = views.table(spark, d, "pages")
-    return pages.select("page_id", capitalise(F.col("url")).alias("url_capitalised"))
+    return pages.select("page_id", *(capitalise(F.col(c)).alias(f"{c}_capitalised") for c in ("url", "html")))
 
 
 def url_free_text(spark, d):
     pages = views.table(spark, d, "pages")
     text = F.concat(F.lit("seen at "), "url", F.lit(" by page "), F.col("page_id").cast("string"))
-    return pages.select("page_id", snippet(text, 400).alias("snippet"))
+    whole = snippet(F.col("html"), None)
+    return pages.select("page_id", snippet(text, 400).alias("snippet"), whole.alias("url_free"))
 
 
 def number_text(spark, d):
@@ -381,7 +395,7 @@ def retention(spark, d):
 
 def stored_topics(spark, d):
     """Topics as the partitioned, sorted table gives them back."""
-    return _Tables(spark, d).topics.select("event_date", "country", "headline_count", "topic_doc")
+    return _topic_rows(_Tables(spark, d).topics)
 
 
 def expired_partitions(spark, d):
@@ -396,9 +410,8 @@ def expired_partitions(spark, d):
 def exported_topics(spark, d):
     """Topics exported as JSON lines and read again."""
     path = scratch_folder(spark, "export")
-    export(_topics(spark, d).drop("avg_tone", "min_tone", "max_tone"), path)
-    back = spark.read.schema(TABLES["daily_country_topics"]).json(path)
-    return _joined(back, "top_event_types", "sample_urls").drop("avg_tone", "min_tone", "max_tone")
+    export(_topics(spark, d), path)
+    return _topic_rows(spark.read.schema(TABLES["daily_country_topics"]).json(path))
 
 
 def delimited_feed(spark, d):
@@ -425,7 +438,7 @@ def country_day_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_events, enrich_gkg, enrich_gkg_latest, gkg_fields, country_topics,
+        ingest_events, enrich_gkg, enrich_gkg_latest, gkg_fields, gkg_fields_uncapped, country_topics,
         top_countries_latest, today_for_analogs, news_embeddings, top_entities,
         top_entities_from_feeds, top_entities_unweighted, vector_topk, similar_to_day_post,
         similar_to_day_pre, similar_to_text, analogs_flat, analogs_flat_pre, analogs_nested,

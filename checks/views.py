@@ -77,7 +77,7 @@ def events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as knowledge-graph rows; entities are the words of the whole text."""
+    """Documents as knowledge-graph rows; every word of the whole text is in one of three fields."""
     docs = table(spark, sf_dir, "documents")
     id = F.col("doc_id")
 
@@ -112,9 +112,9 @@ def gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         (day * 1000000 + id % 24 * 10000).cast("bigint").alias("date"),
         F.concat(F.lit("http://news.example/d/"), F.floor(id / 2)).alias("DocumentIdentifier"),
-        entries(2, 0, theme, ";").alias("V2Themes"),
+        entries(3, 0, theme, ";").alias("V2Themes"),
         _unless(id % 7 == 0, entries(3, 1, person, "; ")).alias("V2Persons"),
-        _unless(id % 11 == 0, entries(5, 2, lambda w, i: w, " ;\t")).alias("V2Organizations"),
+        _unless(id % 11 == 0, entries(3, 2, lambda w, i: w, " ;\t")).alias("V2Organizations"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 AsOf = dt.date | str | None
@@ -17,6 +17,13 @@ def as_of_day(as_of: AsOf) -> Column:
     return F.lit(as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of))
 
 
+def resolved_day(spark: SparkSession, as_of: AsOf) -> dt.date:
+    """The run's day as a value: every job of a run then has the same one, also over midnight."""
+    if as_of is None:
+        return spark.range(1).select(F.current_date()).first()[0]
+    return as_of if isinstance(as_of, dt.date) else dt.date.fromisoformat(as_of)
+
+
 def day_of_key(key: Column) -> Column:
     """yyyymmdd integer -> date. An impossible day raises under ANSI mode.
 

@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulse import fixed
+from pulse.functions.binding import bind
 
 
 def json_scalar(document: Column, path: str) -> Column:
     """Scalar at ``path`` of a variant as text; NULL for objects, arrays, JSON null."""
-    value = F.try_variant_get(document, path, "variant")
-    kind = F.schema_of_variant(value)
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return F.when(~nested, F.try_variant_get(document, path, "string"))
+
+    def scalar(value: Column) -> Column:
+        kind = F.schema_of_variant(value)
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        return F.when(~nested, F.try_variant_get(value, "$", "string"))
+
+    return bind(F.try_variant_get(document, path, "variant"), scalar)
 
 
 def response_text(text: Column, raw: Column) -> Column:
     """The flat text if there is one, else the first path of ``raw`` that holds text."""
-    document = F.try_parse_json(raw)
-    return reduce(
-        lambda found, path: F.coalesce(found, json_scalar(document, path)),
-        fixed.RESPONSE_PATHS,
-        text,
-    )
+
+    def first_scalar(document: Column) -> Column:
+        return F.coalesce(*(json_scalar(document, path) for path in fixed.RESPONSE_PATHS))
+
+    return F.coalesce(text, bind(F.try_parse_json(raw), first_scalar))
 
 
 def parse_score(reply: Column, lenient: bool = False) -> Column:

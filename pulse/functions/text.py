@@ -41,9 +41,10 @@ def strip_urls(text: Column) -> Column:
     return F.regexp_replace(text, fixed.URL_PATTERN, "")
 
 
-def snippet(text: Column, chars: int) -> Column:
-    """Text without URLs, cut to ``chars`` characters."""
-    return F.substring(strip_urls(text), 1, chars)
+def snippet(text: Column, chars: int | None) -> Column:
+    """Text without URLs, cut to ``chars`` characters; None cuts nothing."""
+    free = strip_urls(text)
+    return free if chars is None else F.substring(free, 1, chars)
 
 
 def capitalise(text: Column) -> Column:
@@ -70,10 +71,11 @@ def readable_people(people: Column) -> Column:
     return capitalise(trim_ws(text))
 
 
-def entity_list(field: Column, limit: int) -> Column:
-    """``'A,1; B,2;'`` -> ``['A,1', 'B,2']``: trimmed, empties removed, capped."""
+def entity_list(field: Column, limit: int | None) -> Column:
+    """``'A,1; B,2;'`` -> ``['A,1', 'B,2']``: trimmed, empties removed, capped unless None."""
     items = F.transform(F.split(F.coalesce(field, F.lit("")), ";"), trim_ws)
-    return F.slice(F.filter(items, lambda item: item != ""), 1, limit)
+    kept = F.filter(items, lambda item: item != "")
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def entity_name(entry: Column) -> Column:

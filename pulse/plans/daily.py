@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 
 from pulse.config import DEFAULTS, PulseConfig
-from pulse.functions.dates import AsOf
+from pulse.functions.dates import AsOf, resolved_day
 from pulse.models.contracts import EmbeddingModel, TextModel
 from pulse.models.local import HashedTerms, TemplateText
 from pulse.operators.briefings import daily_briefings
@@ -35,7 +35,7 @@ def run_daily(
     """Build every table in ``store`` and return them by name.
 
     Each step writes its table and the next one reads it, so that a lost executor
-    costs a task and a failed run can be resumed from the tables. Top entities
+    costs a task. The day is fixed once, at the start. Top entities
     are counted from the feeds, not from the enriched table, whose event x graph-row
     fan-out they do not need; ``with_enriched=False`` skips that table. Tables that
     do not need each other are written side by side, so that the last tasks of one
@@ -44,6 +44,7 @@ def run_daily(
     embedding = embedding or HashedTerms()
     text = text or TemplateText()
     country_dim = iso_countries(store.spark) if country_dim is None else country_dim
+    as_of = resolved_day(store.spark, as_of)
     store.create()
     made: dict[str, DataFrame] = {}
 
