@@ -364,6 +364,10 @@ CTES |= {
         from scores left join topics using (event_date, country)
         left join entities using (event_date, country))
       where mood_score is not null""",
+    "day_scores": """
+      select event_date, country, count(*) as headline_count, avg(tone) / 10 as mood_score
+      from raw where country is not null group by event_date, country""",
+    "placed": "select s.*, region from day_scores s left join dim using (country)",
     "dim": """
       select n_name as country, 'N' || lpad(cast(n_nationkey as varchar), 2, '0') as iso3,
         n_name as country_name, r_name as region
@@ -401,6 +405,8 @@ NEEDS: dict[str, list[str]] = {
     "scores": ["briefings"],
     "mood": ["scores", "topics", "entities"],
     "feed": ["mood", "dim"],
+    "day_scores": ["raw"],
+    "placed": ["day_scores", "dim"],
 }
 
 
@@ -623,6 +629,38 @@ ORACLE: dict[str, str] = {
         "mood",
     ),
     "mood_map_feed": with_tables("select * from feed", "feed"),
+    "mood_trend": with_tables(
+        """select s.event_date, s.country, round(any_value(s.mood_score), 10) as mood_score,
+          round(avg(t.mood_score), 10) as rolling, count(t.mood_score) as days_seen
+        from day_scores s join day_scores t on s.country = t.country
+          and t.event_date between s.event_date - 6 and s.event_date
+        group by s.event_date, s.country""",
+        "day_scores",
+    ),
+    "mood_shift": with_tables(
+        """select event_date, country, round(x, 10) as mood_score, round(x - y, 10) as change,
+          round(z, 8) as z_score, coalesce(abs(z) >= 2, false) as alert
+        from (select *, case when sd > 1e-9 then (x - m) / sd end as z from (
+          select s.event_date, s.country, any_value(s.mood_score) as x, avg(t.mood_score) as m,
+            stddev_samp(t.mood_score) as sd,
+            max(t.mood_score) filter (where t.event_date = s.event_date - 1) as y
+          from day_scores s left join day_scores t on s.country = t.country
+            and t.event_date between s.event_date - 7 and s.event_date - 1
+          group by s.event_date, s.country))""",
+        "day_scores",
+    ),
+    "region_rollup": with_tables(
+        """select event_date, level, region, country,
+          cast(sum(headline_count) as bigint) as headline_count,
+          round(sum(mood_score * headline_count)
+            / sum(headline_count) filter (where mood_score is not null), 10) as mood
+        from (
+          select event_date, 'country' as level, region, country, headline_count, mood_score from placed
+          union all select event_date, 'region', region, null, headline_count, mood_score from placed
+          union all select event_date, 'world', null, null, headline_count, mood_score from placed)
+        group by event_date, level, region, country""",
+        "placed",
+    ),
     "full_run": with_tables("select * from feed", "feed"),
     "retention": with_tables(
         f"select {_EVENT}, round(tone, 10) as tone from raw "

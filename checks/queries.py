@@ -20,7 +20,7 @@ from pulse.functions.text import (
     snippet,
 )
 from pulse.models.local import HashedTerms, TemplateText
-from pulse.operators import briefings, entities, ingest, mood, topics, vectors
+from pulse.operators import briefings, entities, ingest, mood, topics, trends, vectors
 from pulse.operators.knn import topk_cosine
 from pulse.plans.daily import run_daily
 from pulse.schemas import TABLES
@@ -371,6 +371,32 @@ def mood_map_feed(spark, d):
     return _pairs(feed, top_themes="theme")
 
 
+def _day_scores(spark, d):
+    """A score per country-day of all raw events: the tenth of its mean tone."""
+    raw = _raw(spark, d).where(F.col("country").isNotNull())
+    counted = raw.groupBy("event_date", "country").agg(
+        F.count("*").alias("headline_count"), (F.avg("tone") / 10).alias("mood_score")
+    )
+    return counted
+
+
+def mood_trend(spark, d):
+    return trends.rolling_mood(_day_scores(spark, d)).select(
+        "event_date", "country", _fine("mood_score"), _fine("rolling"), "days_seen"
+    )
+
+
+def mood_shift(spark, d):
+    return trends.mood_shift(_day_scores(spark, d)).select(
+        "event_date", "country", _fine("mood_score"), _fine("change"), _fine("z_score", 8), "alert"
+    )
+
+
+def region_rollup(spark, d):
+    rolled = trends.region_rollup(_day_scores(spark, d), views.country_dim(spark, d))
+    return rolled.withColumn("mood", F.round("mood", 10))
+
+
 def full_run(spark, d):
     """Every table of the daily run, written and read back; the feed is the result."""
     store = TableStore(spark, root=scratch_folder(spark, "daily"))
@@ -445,7 +471,7 @@ QUERIES = {
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
         mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
-        full_run, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
+        mood_trend, mood_shift, region_rollup, full_run, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
         country_day_stream,
     )
 }
