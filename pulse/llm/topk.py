@@ -1,9 +1,9 @@
 """Exact inner-product search with buckets of vectors of similar length.
 
-Vectors become integers, floor(1024 x). Base rows are dealt by a hash of the id into blocks;
-inside a block they are sorted by length and cut into buckets. The queries, in blocks, meet
+Vectors become integers, floor(1024 x), and rows with equal ids and integers are one row. Base
+rows are dealt by a hash of id and integers into blocks, so that no id gathers in one; inside a block they are sorted by length and cut into buckets. The queries, in blocks, meet
 every base block once. A query walks a block's buckets from the longest vectors on and keeps
-its best ``k``; the k-th score so far over (length of the query x longest length of the
+its best ``k`` ids, each with its best row; the k-th score so far over (length of the query x longest length of the
 bucket) is the cosine a vector there must reach:
 
 * over 1, the rest of the block is skipped;
@@ -38,14 +38,9 @@ COORDINATE = 0.6
 _PACKED = "block int, dim int, ids binary, vectors binary"
 
 
-def _integers(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = np.asarray(column.combine_chunks().flatten()).astype(np.float64)
-    return np.floor(1024 * flat).astype(np.int64).reshape(-1, dim)
-
-
 def _pack(key, table):
     ids = np.asarray(table.column("id").combine_chunks()).astype(np.int64)
-    vectors = _integers(table.column("v"), key[1].as_py())
+    vectors = np.asarray(table.column("v").combine_chunks().flatten()).astype(np.int64)
     return pa.table(
         {
             "block": pa.array([key[0].as_py()], pa.int32()),
@@ -57,12 +52,12 @@ def _pack(key, table):
 
 
 def _blocks(rows: DataFrame, n: int) -> DataFrame:
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias("block")
     return rows.select(block, F.size("v").alias("dim"), "id", "v").groupBy("block", "dim").applyInArrow(_pack, _PACKED)
 
 
 def search_block(base_ids, base, query_ids, queries, k: int = K):
-    """Best k of a base block for every query: (query row, id, score) arrays."""
+    """Best k ids of a base block for every query: (query row, id, score) arrays."""
     length = np.sqrt((base.astype(np.float64) ** 2).sum(1))
     order = np.lexsort((base_ids, -length))
     base_ids, base, length = base_ids[order], base[order].astype(np.float64), length[order]
@@ -72,11 +67,15 @@ def search_block(base_ids, base, query_ids, queries, k: int = K):
     size = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
     best = [(np.zeros(0, np.int64), np.zeros(0, own.dtype)) for _ in queries]
     bound = np.full(len(queries), -np.inf)
+    repeated = len(np.unique(base_ids)) < len(base_ids)
 
     def offer(q, rows, scores):
         keep = (base_ids[rows] != query_ids[q]) & (scores >= bound[q])
         ids, values = np.concatenate([best[q][0], base_ids[rows[keep]]]), np.concatenate([best[q][1], scores[keep]])
-        top = np.lexsort((ids, -values))[:k]
+        top = np.lexsort((ids, -values))
+        if repeated:  # the first of an id is its best row
+            top = top[np.sort(np.unique(ids[top], return_index=True)[1])]
+        top = top[:k]
         best[q] = ids[top], values[top]
         if len(top) == k:
             bound[q] = values[top[-1]]
@@ -142,7 +141,8 @@ def top_products(
     value = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     sound = sound & F.forall(vector_col, value)
     rows = base.filter(sound)
-    plain = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    whole = F.transform(vector_col, lambda x: F.floor(1024 * x.cast("double")).cast("long"))
+    plain = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).distinct()
     n = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     blocks = max(1, -(-n.n // BLOCK_ROWS), min(-(-n.n // BUCKET_ROWS), LEAST_BLOCKS))
     packed = stored(_blocks(plain(rows), blocks), "blocks")

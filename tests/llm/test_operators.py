@@ -276,6 +276,29 @@ def test_search_block_is_exact():
             assert best == sorted((-int(score[x]), int(found[x])) for x in np.flatnonzero(row == j))
 
 
+def test_search_block_keeps_ids_once():
+    rng = np.random.default_rng(1)
+    for n in (60, 3000):
+        base, ids = rng.integers(-50, 50, (n, 4)), rng.integers(0, 40, n)
+        base[ids == 7] = 60 + np.arange((ids == 7).sum())[:, None] % 20
+        row, found, score = topk.search_block(ids, base, ids[:10], base[:10])
+        for j in range(10):
+            best = {}
+            for i, dot in zip(ids.tolist(), (base @ base[j]).tolist(), strict=True):
+                if i != ids[j]:
+                    best[i] = max(dot, best.get(i, dot))
+            want = sorted((-s, i) for i, s in best.items())[: topk.K]
+            assert want == sorted((-int(score[x]), int(found[x])) for x in np.flatnonzero(row == j))
+
+
+def test_search_with_a_hot_id(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [3.0, 1.0])] * 40 + [(1, [4.0, k / 8]) for k in range(25)]
+    rows += [(k, [1.0 / k, 1.0]) for k in range(2, 16)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.rank, r.vec_id) for r in topk.top_products(base, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(k, k) for k in range(1, 11)]
+
+
 def test_search_leaves_unsound_vectors_out(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [inf, 0.0]), (4, None),
