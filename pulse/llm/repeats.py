@@ -219,7 +219,8 @@ def _block_classes(matrix: np.ndarray, ids: np.ndarray):
     kept = np.flatnonzero(is_window[order])
     windows = order[kept]
     # the common prefix of neighbours with others between them is the least on the way
-    least = np.minimum.reduceat(shared, np.concatenate([[0], kept[:-1] + 1])) if len(kept) else shared[:0]
+    # (shorter suffixes after the last window are on no way)
+    least = np.minimum.reduceat(shared[: kept[-1] + 1], np.concatenate([[0], kept[:-1] + 1])) if len(kept) else shared[:0]
     first = least < SPAN
     if len(first):
         first[0] = True

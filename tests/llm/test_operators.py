@@ -174,6 +174,34 @@ def test_suffix_arrays():
             assert shared[k] == same
 
 
+def test_last_window_of_a_block_keeps_its_class(monkeypatch):
+    def packed(texts):
+        matrix = np.zeros((len(texts), repeats._WIDTH + 1), np.uint8)
+        for row, text in zip(matrix, texts, strict=True):
+            row[: len(text)], row[-1] = np.frombuffer(text, np.uint8), len(text)
+        return matrix
+
+    last = b"y" + b"x" * (repeats.SPAN - 2) + b"z"  # the suffix "z" sorts after every window
+    texts, ids = [b"a" + last, b"b" + last, b"c" * 60, b"d" + last], np.array([5, 3, 4, 1])
+    _, _, _, cls, keys, least = repeats._block_classes(packed(texts), ids)
+    assert len(set(keys.tolist())) == len(keys) == cls[-1] + 1 and least[-1] == 1
+    rng = np.random.default_rng(0)
+    for per_block in (2, 4, 100):
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", per_block * repeats._WIDTH)
+        pool = [bytes(rng.integers(97, 123, repeats.SPAN).astype(np.uint8)) for _ in range(4)]
+        more = [bytes([97 + k]) + pool[k % 4] + bytes([122 - k])[: k % 2] for k in range(20)]
+        for rows in (texts, more):
+            own = rng.permutation(len(rows)).astype(np.int64)
+            want = {}
+            for i, t in zip(own.tolist(), rows, strict=True):
+                for k in range(len(t) - repeats.SPAN + 1):
+                    w = t[k : k + repeats.SPAN]
+                    want[w] = min(i, want.get(w, i))
+            got = repeats._settle(packed(rows), own)
+            for r, t in enumerate(rows):
+                assert all(got[r, k] == want[t[k : k + repeats.SPAN]] for k in range(len(t) - repeats.SPAN + 1))
+
+
 def test_repeats_on_awkward_rows(awkward):
     found = repeats.repeated_bytes(awkward)
     names_once(found)
