@@ -8,10 +8,10 @@ A page is cut into text blocks (its lines), each with what the markup says about
   adverts, forms, reader comments, by element, role, class or id; it goes;
 * open: neither.
 
-Open lines of a page without an article are settled by differencing. Pages of a host are put
-in order of the URL's path; the lines of a page are aligned with those of the pages before
-and after it by the longest common subsequence, and shared lines go. Where a page has an
-article, open lines outside it are not part of it and go.
+Differencing settles the open lines. Pages of a host are put in order of the URL's path; the
+lines of a page are aligned with those of the pages before and after it by the longest common
+subsequence, and shared lines go. Then the lines of an article, which is marked as the text,
+are restored.
 
 Hosts with more than ``MANY`` pages are dealt by a hash of the page id into buckets of about
 that many, so that no host stays in one task; neighbours are then the nearest in the bucket.
@@ -86,7 +86,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     parts: list[str] = []
     stack: list[tuple[str, int, int]] = []  # element, inside a dropped part, inside the article
     dropped = article = 0
-    at, any_article = 0, False
+    at = 0
 
     def flush():
         if parts:
@@ -135,10 +135,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             flush()
         stack.append((name, dropped, article))
         dropped, article = dropped or int(away), article or int(starts)
-        any_article = any_article or starts
     flush()
-    if any_article:
-        return [(t, DROP if kind == OPEN else kind) for t, kind in lines]
     return lines
 
 

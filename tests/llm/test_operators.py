@@ -124,6 +124,13 @@ def test_page_differencing(spark):
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_settles_lines_beside_an_article(spark):
+    page = lambda own: f"<div>Menu</div><article><p>Menu</p><p>own</p></article><p>{own}</p><div>Bye</div>"
+    rows = [(k, f"http://h.example/a/{k}", page(f"more {k}")) for k in range(3)]
+    found = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {k: f"Menu own more {k}" for k in range(3)}
+
+
 def test_marked_articles_are_whole(spark):
     def plain(text):
         inside = re.search(r"<article>(.*?)</article>", text or "", re.S)
