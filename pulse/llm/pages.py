@@ -4,9 +4,11 @@ A page is cut into text blocks (its lines), each with what the markup says about
 
 * in an article: inside ``article``, ``main`` or a main role, outside of parts that are marked
   as something else; it is kept, also where another page says the same;
-* marked as something else: menus, headers and footers of the page, sidebars, notices,
-  adverts, forms, reader comments, by element, role, class or id; it goes;
-* open: neither.
+* marked as something else: menus, headers and footers of the page, sidebars, adverts, forms,
+  by element or role, or hidden; it goes;
+* open: neither. A class or id that names a part as something else (a whole token, not of
+  html, body, article, main or headings) only proposes that it goes: a named part inside an
+  article is open, one outside goes if the page has an article, else it is open.
 
 Differencing settles the open lines. Pages of a host are put in order of the URL's path; the
 lines of a page are aligned with those of the pages before and after it by the longest common
@@ -44,6 +46,7 @@ DROPPED_ELEMENTS = frozenset(
 RAW_ELEMENTS = frozenset("script style textarea title xmp".split())
 VOID_ELEMENTS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_ELEMENTS = frozenset("article main".split())
+UNNAMED_ELEMENTS = ARTICLE_ELEMENTS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 BLOCK_ELEMENTS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section "
@@ -63,19 +66,18 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
-DROP, KEEP, OPEN = 0, 1, 2
+DROP, KEEP, OPEN, NAMED = 0, 1, 2, 3
 
 
-def _marked(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes mark something else, and whether they mark the article."""
+def _marked(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes mark something else, name something else, mark the article."""
     if not attributes.strip(" /"):
-        return False, False
+        return False, False, False
     found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     roles = found.get("role", "").split()
-    names = set(_NAME.findall(found.get("class", ""))) | set(_NAME.findall(found.get("id", "")))
+    names = set(found.get("class", "").split()) | set(found.get("id", "").split())
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return hidden or bool(names & DROPPED_NAMES) or bool(DROPPED_ROLES & set(roles)), "main" in roles
+    return hidden or bool(DROPPED_ROLES & set(roles)), bool(names & DROPPED_NAMES), "main" in roles
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
@@ -84,16 +86,17 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         return []
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # element, inside a dropped part, inside the article
-    dropped = article = 0
-    at = 0
+    stack: list[tuple[str, int, int, int]] = []  # element, inside a dropped part, the article, a named part
+    dropped = article = named = 0
+    at, any_article = 0, False
 
     def flush():
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                lines.append((text, DROP if dropped else KEEP if article else OPEN))
+                inside = (OPEN if named else KEEP) if article else NAMED if named else OPEN
+                lines.append((text, DROP if dropped else inside))
 
     while True:
         m = _TOKEN.search(html, at)
@@ -112,10 +115,9 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush_needed = stack[k][1] != dropped or stack[k][2] != article
-                    if flush_needed:
+                    if stack[k][1:] != (dropped, article, named):
                         flush()
-                    _, dropped, article = stack[k]
+                    _, dropped, article, named = stack[k]
                     del stack[k:]
                     break
             continue
@@ -127,16 +129,18 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
             flush()
         if name in VOID_ELEMENTS or attributes.rstrip().endswith("/"):
             continue
-        away, is_main = _marked(attributes)
+        away, other, is_main = _marked(attributes)
+        other = other and name not in UNNAMED_ELEMENTS and not is_main
         if name in DROPPED_ELEMENTS or (name == "header" and not article):
             away = True
-        starts = (name in ARTICLE_ELEMENTS or is_main) and not away and not dropped
-        if (away and not dropped) or (starts and not article):
+        starts = (name in ARTICLE_ELEMENTS or is_main) and not away and not dropped and not named
+        if (away and not dropped) or (starts and not article) or (other and not named):
             flush()
-        stack.append((name, dropped, article))
-        dropped, article = dropped or int(away), article or int(starts)
+        stack.append((name, dropped, article, named))
+        dropped, article, named = dropped or int(away), article or int(starts), named or int(other)
+        any_article = any_article or starts
     flush()
-    return lines
+    return [(t, (DROP if any_article else OPEN) if kind == NAMED else kind) for t, kind in lines]
 
 
 def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -131,6 +131,16 @@ def test_differencing_settles_lines_beside_an_article(spark):
     assert {r.page_id: r.text for r in found.collect()} == {k: f"Menu own more {k}" for k in range(3)}
 
 
+def test_names_only_propose():
+    kept = lambda x, kind: [t for t, k in pages.page_lines(x) if k == kind]
+    for body in ("<body class='has-sidebar search'><article class='post comments comments-open'>", "<body><main class='page search'>"):
+        found = body + "<h1 class='header entry-header'>Title</h1><p class='notice-period'>real</p><p class=notice>maybe</p>"
+        assert kept(found, pages.KEEP) == ["Title", "real"] and kept(found, pages.OPEN) == ["maybe"]
+    assert kept("<div class='search'><p>one</p></div>two", pages.OPEN) == ["one", "two"]
+    assert kept("<div class=related><article>teaser</article></div><article>own</article>", pages.KEEP) == ["own"]
+    assert kept("<div class=ad>buy</div><article>own</article>", pages.DROP) == ["buy"]
+
+
 def test_marked_articles_are_whole(spark):
     def plain(text):
         inside = re.search(r"<article>(.*?)</article>", text or "", re.S)
