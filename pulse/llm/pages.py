@@ -15,9 +15,14 @@ lines of a page are aligned with those of the pages before and after it by the l
 subsequence, and shared lines go. Then the lines of an article, which is marked as the text,
 are restored.
 
-Hosts with more than ``MANY`` pages are dealt by a hash of the page id into buckets of about
-that many, so that no host stays in one task; neighbours are then the nearest in the bucket.
-Pages are sorted by Spark and compared as they stream by. Null or empty html gives an empty
+Neighbours are the nearest pages before and after whose lists of lines differ, so that repeated
+rows and mirrored pages do not delete each other; pages with no lines are nobody's neighbour.
+Ties of the path go by the whole URL, then by hashes of id and lines.
+
+Hosts with more than ``MANY`` pages are cut into ranges of that order, so that no host stays in
+one task, and each range is told the pages at the borders of the ranges around it: neighbours
+are the same for every cut. Only the cuts and border pages reach the driver. Pages are sorted
+by Spark, forwards and backwards, and compared as they stream by. Null or empty html gives an empty
 text, a null url counts as host and path "". Extra columns pass through; columns named as a
 result column are replaced.
 """
@@ -26,6 +31,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from hashlib import blake2b
 
 import numpy as np
@@ -34,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import slices, without
+from pulse.llm.common import slices, stored, without
 
 MANY = 1000
-HOT_SHARE = 5000  # a host with more than one page in so many, and MANY, is dealt out
+HOT_SHARE = 5000  # a host with more than one page in so many, and MANY, is cut
 
 # Elements and names of the parts of a page.
 DROPPED_ELEMENTS = frozenset(
@@ -185,22 +192,65 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
 _PARSED = [("__texts", pa.list_(pa.string())), ("__kinds", pa.binary()), ("__hashes", pa.binary())]
 
 
+_ORDER = ["__path", "__url", "__tie"]
+_PART = ["__host", "__bucket"]
+
+
+def _cuts(pages: DataFrame, most: int) -> dict[str, list[tuple]]:
+    """Places in the order at which hosts of more than ``most`` pages are cut."""
+    hosts = pages.groupBy("__host").agg(F.count("*").alias("n__host"))
+    hot = hosts.filter(F.col("n__host") > most)  # fewer than HOT_SHARE
+    n = hot.agg(F.sum("n__host")).first()[0]
+    cuts = defaultdict(list)
+    if n:
+        keys = pages.join(F.broadcast(hot), "__host").select("__host", *_ORDER)
+        ranges = keys.repartitionByRange(-(-n // most), "__host", *_ORDER).withColumn("__range", F.spark_partition_id())
+        firsts = ranges.groupBy("__range").agg(F.min(F.struct("__host", *_ORDER)).alias("k")).select("k.*").collect()
+        for host, *key in sorted(map(tuple, firsts)):
+            cuts[host].append(tuple(key))
+        for r in hot.select("__host").collect():
+            cuts.setdefault(r[0], [])
+    return dict(cuts)
+
+
+def _borders(parsed: DataFrame) -> tuple[dict, dict]:
+    """For each range of a cut host: the lines of the page before it and of the nearest one
+    before that with other lines; the same for the pages after it."""
+    key = F.struct(*_ORDER, F.xxhash64("__hashes"))
+    parsed = parsed.filter("length(__hashes) > 0").select(*_PART, "__hashes", key.alias("k"))
+    ends = parsed.groupBy(*_PART).agg(F.min_by("__hashes", "k").alias("first"), F.max_by("__hashes", "k").alias("last"))
+    other = lambda c: F.when(F.col("__hashes") != F.col(c), F.col("k"))
+    rows = parsed.join(F.broadcast(ends), _PART).groupBy(*_PART).agg(
+        F.first("first"), F.min_by("__hashes", other("first")), F.first("last"), F.max_by("__hashes", other("last"))
+    )
+    rows = sorted([(r[0], r[1]), *r[2:]] for r in rows.collect())
+    before, after = {}, {}
+    for told, ordered, at in ((before, rows, 3), (after, rows[::-1], 1)):
+        host, state = None, (None, None)
+        for row in ordered:
+            if row[0][0] != host:
+                host, state = row[0][0], (None, None)
+            told[row[0]] = state
+            near, far = row[at], row[at + 1]
+            if far is None:  # all pages of the range have the same lines
+                far = state[1] if state[0] == near else state[0]
+            state = near, far
+    return before, after
+
+
 def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """The rows without ``html``, with ``text`` and ``n_chars``."""
-    pages = without(pages, "text", "n_chars", "__host", "__path", "__bucket", "n__host")
+    pages = without(pages, "text", "n_chars", "__host", "__bucket", *_ORDER, "n__host", "__gone")
     kept = [c for c in pages.columns if c != html_col]
     url = F.coalesce(url_col, F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    pages = pages.withColumn("__host", host).withColumn("__path", path)
-    total = pages.count()
-    hosts = pages.groupBy("__host").agg(F.count("*").alias("n__host"))
-    # fewer than HOT_SHARE hosts can have so large a share
-    hot = F.broadcast(hosts.filter(F.col("n__host") > max(MANY, total // HOT_SHARE)))
-    parts = F.ceil(F.coalesce("n__host", F.lit(1)) / MANY).cast("long")
-    pages = pages.join(hot, "__host", "left")
-    pages = pages.withColumn("__bucket", F.pmod(F.xxhash64(id_col), parts).cast("int")).drop("n__host")
-    carried = [*kept, "__host", "__path", "__bucket"]
+    pages = pages.withColumns({"__host": host, "__path": path, "__url": url, "__tie": F.xxhash64(id_col)})
+    cuts = _cuts(pages, max(MANY, pages.count() // HOT_SHARE))
+    carried = [*kept, "__host", *_ORDER]
+
+    def bucket(host, *key):
+        return bisect_right(cuts[host], key) if host in cuts else -1
 
     def parses(batches):
         for whole in batches:
@@ -211,62 +261,76 @@ def extract_pages(pages: DataFrame, id_col="page_id", url_col="url", html_col="h
                     texts.append([t for t, kind in lines if kind])
                     kinds.append(bytes(kind for _, kind in lines))
                     hashes.append(b"".join(blake2b(t.encode(), digest_size=8).digest() for t, _ in lines))
+                order = zip(*(batch.column(c).to_pylist() for c in ("__host", *_ORDER)), strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c) for c in carried]
+                    + [pa.array([bucket(*x) for x in order], pa.int32())]
                     + [pa.array(x, k) for x, (_, k) in zip((texts, kinds, hashes), _PARSED, strict=True)],
-                    names=carried + [n for n, _ in _PARSED],
+                    names=[*carried, "__bucket"] + [n for n, _ in _PARSED],
                 )
 
     fields = {f.name: f for f in pages.schema.fields}
-    parsed = pages.select(*[f"`{c}`" for c in carried], f"`{html_col}`").mapInArrow(
-        parses,
-        T.StructType(
-            [fields[c] for c in carried]
-            + [
-                T.StructField("__texts", T.ArrayType(T.StringType())),
-                T.StructField("__kinds", T.BinaryType()),
-                T.StructField("__hashes", T.BinaryType()),
-            ]
-        ),
-    )
-    ordered = parsed.repartition("__host", "__bucket").sortWithinPartitions(
-        "__host", "__bucket", "__path", id_col, F.xxhash64("__hashes")
+    kind = T.StructType(
+        [fields[c] for c in carried]
+        + [
+            T.StructField("__bucket", T.IntegerType()),
+            T.StructField("__texts", T.ArrayType(T.StringType())),
+            T.StructField("__kinds", T.BinaryType()),
+            T.StructField("__hashes", T.BinaryType()),
+        ]
     )
-
-    def differences(batches):
-        def settled(now, *others):
-            kinds = np.frombuffer(now[3], np.uint8)
-            if (kinds == OPEN).any():
-                own = np.frombuffer(now[4], np.uint64)
-                gone = np.zeros(len(own), bool)
-                for other in others:
-                    if other is not None and other[:2] == now[:2]:
-                        gone[common_lines(own, np.frombuffer(other[4], np.uint64))] = True
-                keep = ~(gone & (kinds == OPEN))[kinds > 0]
-                return " ".join(t for t, k in zip(now[2], keep, strict=True) if k)
-            return " ".join(now[2])
-
-        before = now = None  # the page before and the one whose next is awaited
-        held: pa.RecordBatch | None = None
+    parse = lambda df: df.select(*[f"`{c}`" for c in carried], f"`{html_col}`").mapInArrow(parses, kind)
+    parsed = parse(pages)
+    before = after = {}
+    if cuts:  # parsed twice, so that no text is stored
+        cut = parse(pages.filter(F.col("__host").isin(list(cuts)))).select(*_PART, *_ORDER, "__hashes")
+        before, after = _borders(stored(cut, "borders"))
+    told = parsed.sparkSession.sparkContext.broadcast((before, after))
+
+    def shared(batches, way):
+        """Batches with, for each page, which lines it shares with its neighbour that way."""
+        where, state, gone = None, (None, None), None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("__host", "__bucket", "__texts", "__kinds", "__hashes")), strict=True)
+            marks = []
+            for host, part, kinds, hashes in zip(
+                *(batch.column(c).to_pylist() for c in (*_PART, "__kinds", "__hashes")), strict=True
+            ):
+                if (host, part) != where:
+                    where = host, part
+                    state, gone = told.value[way].get(where, (None, None)), None
+                if hashes and hashes != state[0]:
+                    state, gone = (hashes, state[0]), None
+                if OPEN not in kinds or state[1] is None:  # nothing to settle
+                    marks.append(bytes(len(kinds)))
+                    continue
+                if gone is None:
+                    mark = np.zeros(len(kinds), np.uint8)
+                    mark[common_lines(*(np.frombuffer(x, np.uint64) for x in (hashes, state[1])))] = 1
+                    gone = mark.tobytes()
+                marks.append(gone)
+            yield batch, marks
+
+    def forwards(batches):
+        for batch, marks in shared(batches, 0):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*batch.schema.names, "__gone"])
+
+    def backwards(batches):
+        for batch, marks in shared(batches, 1):
             done = []
-            for row in rows:
-                if now is not None:
-                    done.append(settled(now, before, row))
-                before, now = now, row
-            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if done:
-                yield _finished(whole.slice(0, len(done)), kept, done)
-            if whole.num_rows > len(done):
-                held = whole.slice(len(done))
-        if now is not None:
-            yield _finished(held, kept, [settled(now, before, None)])
-
+            for texts, kinds, *both in zip(*(batch.column(c).to_pylist() for c in ("__texts", "__kinds", "__gone")), marks, strict=True):
+                kinds, (one, two) = np.frombuffer(kinds, np.uint8), (np.frombuffer(x, np.uint8) for x in both)
+                keep = ~((one | two).astype(bool) & (kinds == OPEN))[kinds > 0]
+                done.append(" ".join(t for t, k in zip(texts, keep, strict=True) if k))
+            yield _finished(batch, kept, done)
+
+    order = [*_PART, *_ORDER, F.xxhash64("__hashes")]
+    ordered = parsed.repartition(*_PART).sortWithinPartitions(*order)
+    ordered = ordered.mapInArrow(forwards, T.StructType([*parsed.schema.fields, T.StructField("__gone", T.BinaryType())]))
+    ordered = ordered.sortWithinPartitions(*order, ascending=False)
     schema = T.StructType(
         [fields[c] for c in kept] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     )
-    return ordered.mapInArrow(differences, schema)
+    return ordered.mapInArrow(backwards, schema)
 
 
 def _finished(batch: pa.RecordBatch, kept: list[str], texts: list[str]) -> pa.RecordBatch:

@@ -141,6 +141,19 @@ def test_names_only_propose():
     assert kept("<div class=ad>buy</div><article>own</article>", pages.DROP) == ["buy"]
 
 
+@pytest.mark.parametrize("many", [1, 3, 1000])
+def test_neighbours_at_every_size(spark, monkeypatch, many):
+    monkeypatch.setattr(pages, "MANY", many)
+    page = lambda section, own: f"<div>Menu {section}</div><p>{own}</p><div>Bye</div>"
+    rows = [(k, f"http://h.example/{k // 4:02}/{k}", page(k // 4, f"own {k}")) for k in range(40)]
+    rows += [rows[5]] * 9 + [(100 + k, f"http://h.example/02/8?page={k}", page(2, "own 8")) for k in range(7)]
+    rows += [(200, "http://h.example/02/8", ""), (300, "http://copies.example/a", page(0, "x"))] + [(300, "http://copies.example/a", page(0, "x"))] * 5
+    found = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    want = {i: re.search("own [0-9]+", h)[0] if "own" in h else "" for i, _, h in rows} | {300: "Menu 0 x Bye"}
+    assert {(r.page_id, r.text) for r in found} == set(want.items())
+
+
 def test_marked_articles_are_whole(spark):
     def plain(text):
         inside = re.search(r"<article>(.*?)</article>", text or "", re.S)
