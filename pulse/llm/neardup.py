@@ -244,7 +244,8 @@ def near_classes(
     docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY
 ) -> DataFrame:
     """Every id that has a word: ``id, rep`` (least id of an equal text), ``class_id`` and
-    ``n_links``, the verified links of its text to different texts."""
+    ``n_links``, those links of its text to different texts that were tested to build the
+    classes; pairs inside a class that need no test are not counted."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     texts = texts.filter(F.col("id").isNotNull())
     rows = stored(
@@ -362,6 +363,6 @@ def with_classes(docs: DataFrame, id_col="doc_id", text_col="text", similarity=S
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    """Class and number of links of every document."""
+    """Class of every document and number of tested links that built it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return with_classes(docs).select("doc_id", "class_id", "n_links")
