@@ -7,11 +7,14 @@ from pulse.llm.languages import op1_language_id
 from pulse.llm.maxent import op9_lm_scores
 from pulse.llm.mixing import op5_source_mixing
 from pulse.llm.neardup import op4_near_duplicates
+from pulse.llm.packing import op11_retrieval_packing
 from pulse.llm.pages import op2_html_extraction
+from pulse.llm.periodic import op12_periodic_runs
 from pulse.llm.repeats import op3_suffix_dedup
 from pulse.llm.toolcalls import op8_tool_calls
 from pulse.llm.topk import OP6_SQL, op6_topk_search
 from pulse.llm.toxicity import op10_toxicity
+from pulse.llm.turns import op13_conversation_repair
 
 
 def pipeline(spark, sf_dir: str):
@@ -31,6 +34,9 @@ QUERIES = {
     "op8_tool_calls": op8_tool_calls,
     "op9_lm_scores": op9_lm_scores,
     "op10_toxicity": op10_toxicity,
+    "op11_retrieval_packing": op11_retrieval_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": pipeline,
 }
 ORACLE = {"op6_topk_search": OP6_SQL, "op7_decontamination": OP7_SQL}
