@@ -20,6 +20,7 @@ ids are documents of their own. Extra columns are ignored. An empty table has no
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -34,28 +35,62 @@ END = 1
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
 #: Words whose ids a worker remembers; more only means that it starts again.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 19
+#: Words that are encoded as one text.
+JOINED = 256
 
-# a token never reaches over a letter that one of these follows
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ",.!?;:"]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
+_BEGIN, _LATIN, _OTHER, _CAPITAL, _INSIDE = 1, 2, 4, 8, 16
+
+
+def _pair_flags() -> np.ndarray:
+    """What a byte is after another one, by 256 * first + second.
+
+    A word begins at it whatever comes before; it ends a letter of Latin-1; it is a sign or a
+    digit; it makes a capital; it is no white space.
+    """
+    byte = np.arange(256)
+    digit = (byte >= 48) & (byte <= 57)
+    small = (byte >= 97) & (byte <= 122)
+    capital = (byte >= 65) & (byte <= 90)
+    sign = (byte > 32) & (byte < 127) & ~digit & ~small & ~capital
+    first, second = np.divmod(np.arange(1 << 16), 256)
+    # letters of two bytes, the first 0xC3: all but the signs of multiplication and division
+    latin = (first == 0xC3) & (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+    letter = small | capital
+    begin = SPACE[first] | (letter[first] & (sign | digit)[second])
+    begin |= (sign & (byte != 39))[first] & letter[second]
+    begin |= (digit[first] & (second < 128)) | (digit[second] & (first < 128))
+    flags = np.where(begin & ~SPACE[second], _BEGIN, 0) + np.where(latin, _LATIN, 0)
+    flags += np.where((sign | digit)[second], _OTHER, 0) + np.where(~SPACE[second], _INSIDE, 0)
+    flags += np.where(capital[second] | (latin & (second <= 0x9E)), _CAPITAL, 0)
+    return flags.astype(np.uint8)
+
+
+_FLAGS = _pair_flags()
+# what follows a letter and cannot be a mark that joins it: ASCII, or a letter of Latin-1
+_SAFE = np.where((np.arange(256) < 128) | (np.arange(256) == 0xC3), _CAPITAL, 0).astype(np.uint8)
 
 
 class WordIds:
     """Token ids of texts, word by word; the ids of a word are asked once.
 
-    White space never is in a token, and neither is the border between a letter and a full
-    stop, so texts are cut there. Capitals of ASCII become small ones unless a byte beyond
-    ASCII follows (it may be a mark that joins the letter). Texts with the opening of a
-    special token are encoded whole.
+    No token reaches over white space, from a letter into a sign or a digit, from a sign other
+    than the apostrophe into a letter, or over either end of a digit, so texts are cut there
+    (in ASCII and the letters of Latin-1). Capitals of these become small ones unless what
+    follows may be a mark that joins the letter. Words of letters only are encoded many at a
+    time: the last token of each has the word end. Texts with the opening of a special token
+    are encoded whole.
     """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
+        # Spark runs a task per core: no threads inside
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.is_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.slots: dict[bytes, int] = {}
         self._clear()
 
@@ -66,12 +101,25 @@ class WordIds:
 
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """The slot of every word."""
-        fresh = [w for w in words if w not in self.slots]
+        slots = list(map(self.slots.get, words))
+        fresh = [w for w, slot in zip(words, slots, strict=True) if slot is None]
         if len(self.slots) + len(fresh) > KEPT_WORDS:
             self._clear()
-            fresh = words
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        found = [x.ids for x in found]
+            fresh, slots = words, [None] * len(words)
+        if not fresh:
+            return np.array(slots, np.int64)
+        texts = [w.decode() for w in fresh]
+        letters = [text.isalpha() and max(text) < "\u0100" for text in texts]
+        plain = [k for k, only in enumerate(letters) if only]
+        joined = [" ".join(texts[k] for k in plain[a : a + JOINED]) for a in range(0, len(plain), JOINED)]
+        ids = [i for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]
+        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist() if ids else []
+        found = [()] * len(fresh)
+        for k, a, b in zip(plain, [0, *ends], ends, strict=False):
+            found[k] = ids[a:b]
+        other = [k for k, only in enumerate(letters) if not only]
+        for k, x in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
+            found[k] = x.ids
         first = len(self.slots)
         start = int(self.ends[first])
         sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
@@ -80,25 +128,34 @@ class WordIds:
         self.ids = _grown(self.ids, start + int(sizes.sum()))
         self.ids[start : start + int(sizes.sum())] = [i for x in found for i in x]
         self.slots.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-        return np.fromiter((self.slots[w] for w in words), np.int64, len(words))
+        new = iter(range(first, first + len(fresh)))
+        return np.array([next(new) if slot is None else slot for slot in slots], np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text starts (n + 1)."""
         data, starts = utf8(texts)
-        after = np.concatenate([data[1:], [32]]).astype(np.uint8) if len(data) else data
-        data = data + np.where((data >= 65) & (data <= 90) & (after < 128), 32, 0).astype(np.uint8)
-        inside = ~SPACE[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[starts] = True
-        begin = edge[:-1].copy()
-        begin[1:] |= ~inside[:-1] | (_STOP[data[1:]] & _LETTER[data[:-1]])
-        begin = np.flatnonzero(begin & inside)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+        pairs = np.empty(len(data), np.uint16)
+        pairs[0] = 32 << 8 | int(data[0])
+        pairs[1:] = data[:-1]
+        pairs[1:] <<= 8
+        pairs[1:] |= data[1:]
+        flags = _FLAGS[pairs]
+        lower = flags & _CAPITAL
+        lower[:-1] &= _SAFE[data[1:]]
+        data = data + (lower << 2)
+        begin = flags & _BEGIN
+        begin[1:] |= (flags[:-1] >> 1) & (flags[1:] >> 2) & 1
+        inside = (flags >> 4 & 1).view(bool)
+        begin[starts[:-1][np.diff(starts) > 0]] = 1
+        begin = np.flatnonzero(begin.view(bool) & inside)
         kept = data[inside]
-        offsets = np.concatenate([np.cumsum(inside)[begin] - 1, [len(kept)]]).astype(np.int64)
+        offsets = np.concatenate([np.cumsum(inside, dtype=np.int32)[begin] - 1, [len(kept)]]).astype(np.int64)
         words = pa.Array.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))]
         ).dictionary_encode()
-        slots = self._learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        slots = self._learn(_listed(words.dictionary))[words.indices.to_numpy()]
         sizes = self.ends[slots + 1] - self.ends[slots]
         ids = self.ids[spread(self.ends[slots], sizes)]
         row = np.searchsorted(starts, begin, side="right") - 1
@@ -114,6 +171,15 @@ class WordIds:
         return ids, places
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words as bytes; much faster than ``to_pylist``."""
+    if not len(words):
+        return []
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     if len(a) >= n:
         return a
@@ -230,9 +296,9 @@ class Shard:
         unit, term, tf, self.sizes = _terms(units, len(stats.idf))
         self.terms, self.unit = term, unit
         self.own = np.searchsorted(unit, np.arange(len(units) + 1))
-        weight = _weights(unit, term, tf, self.sizes, stats.idf, stats.mean).astype(np.float32)
+        weight = _weights(unit, term, tf, self.sizes, stats.idf, stats.mean)
         order = np.argsort(term, kind="stable")
-        self.term, self.who, self.weight = term[order], unit[order], weight[order]
+        self.term, self.who, self.weight = term[order], unit[order].astype(np.int64), weight[order]
         self.n_terms = len(stats.idf)
         self._point()
 
