@@ -9,6 +9,7 @@ from __future__ import annotations
 from string import Formatter
 
 from checks.queries import QUERY_TEXT, SIMILAR_COUNTRY, SIMILAR_DAY
+from checks.views import HOT_URL
 from pulse import fixed
 from pulse.models.local import BAD_WORDS, BRIEFING, GOOD_WORDS, SUMMARY
 
@@ -486,6 +487,10 @@ _RAW_REPLY = """case turn % 6
       then json_object('text', json_object('text', text)) else json_object('text', text) end
     end"""
 
+def _hot(url: str, every: int) -> str:
+    return f"case when cast(split_part({url}, '/', 5) as bigint) % {every} = 0 then '{HOT_URL}' else {url} end"
+
+
 ORACLE: dict[str, str] = {
     "ingest_events": with_tables(f"select {_EVENT}, round(tone, 10) as tone from raw", "raw"),
     "enrich_gkg": with_tables(
@@ -495,6 +500,17 @@ ORACLE: dict[str, str] = {
         f"select {_EVENT}, round(tone, 10) as tone, {_ARRAYS} from enriched_latest",
         "enriched_latest",
     ),
+    "enrich_gkg_hot": with_tables(
+        f"""
+        select event_date, country, url = '{HOT_URL}' as hot, count(*) as n_rows,
+          cast(sum(len(coalesce(themes, []))) as bigint) as n_themes,
+          cast(sum(len(coalesce(persons, []))) as bigint) as n_persons,
+          cast(sum(len(coalesce(orgs, []))) as bigint) as n_orgs
+        from (select event_date, country, {_hot('url', 3)} as url from recent) r
+        left join (select {_hot('url', 125)} as url, themes, persons, orgs from graph) g using (url)
+        group by 1, 2, 3""",
+        "recent", "graph",
+    ),
     "gkg_fields": with_tables(
         f"select date, DocumentIdentifier, "
         f"array_to_string({entities('V2Themes', 50)}, '|') as themes, "
@@ -542,6 +558,12 @@ ORACLE: dict[str, str] = {
           select m.label, e.vec_id, {distance('m.embedding', 'e.embedding')} as distance
           from means m, embeddings e))
       where r <= 10""",
+    "vector_topk_all": f"""
+      select anchor_id, vec_id, round(distance, 6) as distance, cast(r as integer) as rank from (
+        select *, row_number() over (partition by anchor_id order by distance, vec_id) as r from (
+          select a.vec_id as anchor_id, e.vec_id, {distance('a.embedding', 'e.embedding')} as distance
+          from embeddings a, embeddings e))
+      where r <= 10""",
     "similar_to_day_post": _similar_to_day(pre=False),
     "similar_to_day_pre": _similar_to_day(pre=True),
     "similar_to_text": with_tables(

@@ -148,6 +148,18 @@ def enrich_gkg_latest(spark, d):
     )
 
 
+def enrich_gkg_hot(spark, d):
+    """Enriched rows per country-day where one url has a third of the events and many graph rows.
+
+    The url's rows are events times graph rows, so the result is counted, not returned.
+    """
+    raw = ingest.ingest_events(views.hot_events_feed(spark, d), AS_OF)
+    made = ingest.enrich_events(raw, views.hot_gkg_feed(spark, d), AS_OF, pairs_per_task=20_000)
+    hot = (F.col("url") == views.HOT_URL).alias("hot")
+    sizes = (F.sum(F.size(c)).alias(f"n_{c}") for c in ("themes", "persons", "orgs"))
+    return made.groupBy("event_date", "country", hot).agg(F.count("*").alias("n_rows"), *sizes)
+
+
 def gkg_fields(spark, d):
     return _gkg_fields(spark, d, 50, 30, 30)
 
@@ -214,6 +226,14 @@ def vector_topk(spark, d):
     return found.select(F.col("anchor_id").alias("label"), "vec_id", _fine("distance", 6), "rank")
 
 
+def vector_topk_all(spark, d):
+    """The 10 nearest of every vector (itself the first), by the plans for many anchors."""
+    base = views.table(spark, d, "embeddings")
+    anchors = base.select(F.col("vec_id").alias("anchor_id"), "embedding")
+    found = topk_cosine(base, anchors, 10, id="vec_id", max_broadcast_anchors=0, max_base_bytes=0)
+    return found.select("anchor_id", "vec_id", _fine("distance", 6), "rank")
+
+
 def similar_to_day_post(spark, d):
     return _similar_to_day(spark, d, "post")
 
@@ -464,9 +484,9 @@ def country_day_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_events, enrich_gkg, enrich_gkg_latest, gkg_fields, gkg_fields_uncapped, country_topics,
+        ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, gkg_fields, gkg_fields_uncapped, country_topics,
         top_countries_latest, today_for_analogs, news_embeddings, top_entities,
-        top_entities_from_feeds, top_entities_unweighted, vector_topk, similar_to_day_post,
+        top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, similar_to_day_post,
         similar_to_day_pre, similar_to_text, analogs_flat, analogs_flat_pre, analogs_nested,
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,

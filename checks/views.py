@@ -118,6 +118,25 @@ def gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HOT_URL = "http://news.example/hot"
+
+
+def _hot(url: str, every: int) -> Column:
+    """One url in the place of every so many."""
+    number = F.substring_index(url, "/", -1).cast("bigint")
+    return F.when(number % every == 0, HOT_URL).otherwise(F.col(url))
+
+
+def hot_events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events feed with one url for a third of the events."""
+    return events_feed(spark, sf_dir).withColumn("SOURCEURL", _hot("SOURCEURL", 3))
+
+
+def hot_gkg_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph feed with that url for every 125th pair of documents."""
+    return gkg_feed(spark, sf_dir).withColumn("DocumentIdentifier", _hot("DocumentIdentifier", 125))
+
+
 def dated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as one document vector per (day, country)."""
     id = F.col("vec_id")

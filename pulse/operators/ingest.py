@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulse.config import DEFAULTS, PulseConfig
 from pulse.functions.dates import AsOf, day_of_key, first_day, first_day_key
 from pulse.functions.text import entity_list
+from pulse.operators.skew import PAIRS_PER_TASK, key_grid, spread_left_join
 
 EVENT_COLUMNS = [
     "event_date", "country", "admin1", "lat", "lon",
@@ -46,6 +47,13 @@ def recent_located(events: DataFrame, as_of: AsOf, cfg: PulseConfig) -> DataFram
     )
 
 
+def _recent_graph(gkg_feed: DataFrame, as_of: AsOf, cfg: PulseConfig) -> DataFrame:
+    return gkg_feed.where(
+        (F.col("date") >= first_day_key(as_of, cfg.recent_days) * 1_000_000)
+        & F.col("DocumentIdentifier").isNotNull()
+    )
+
+
 def graph_entities(
     gkg_feed: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS, latest_only: bool = False
 ) -> DataFrame:
@@ -53,13 +61,10 @@ def graph_entities(
 
     The long delimited fields are split and capped here, on the scan side, so
     that only the kept entries are shuffled. ``latest_only`` keeps the newest
-    row of each url; ``max_by`` is combined on the map side, so a repeated url
-    costs one row per map task.
+    row of each url, as the greatest (date, themes, persons, orgs); it is combined on
+    the map side, so a repeated url costs one row per map task.
     """
-    recent = gkg_feed.where(
-        (F.col("date") >= first_day_key(as_of, cfg.recent_days) * 1_000_000)
-        & F.col("DocumentIdentifier").isNotNull()
-    )
+    recent = _recent_graph(gkg_feed, as_of, cfg)
     arrays = recent.select(
         F.col("DocumentIdentifier").alias("url"),
         entity_list(F.col("V2Themes"), cfg.max_themes).alias("themes"),
@@ -80,25 +85,24 @@ def enrich_events(
     as_of: AsOf = None,
     cfg: PulseConfig = DEFAULTS,
     latest_only: bool = False,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Recent events LEFT JOIN knowledge graph on url, fields split to arrays.
 
     The join is many-to-many: an event is repeated for every graph row of its
-    url. It is written as inner join + rows without a partner, which is the same
-    result: a left join can be split by AQE only on its left side, an inner join
-    on both, so neither a url with a third of the events nor one with a third of
-    the graph rows ends up in one task. Both branches read the same shuffled
-    events (one exchange, reused).
+    url. Urls whose events times graph rows are more than ``pairs_per_task`` are dealt
+    over a grid of tasks, by sizes counted on the url columns alone. So neither a url
+    with a third of the events nor one with a third of the graph rows, nor one that is
+    small on both sides and large as a product, ends up in one task.
     """
     base = recent_located(events.select(*EVENT_COLUMNS), as_of, cfg)
     graph = graph_entities(gkg_feed, as_of, cfg, latest_only)
-    matched = base.join(graph, "url").select(*EVENT_COLUMNS, "themes", "persons", "orgs")
-
-    nothing = F.array().cast("array<string>")
-    unmatched = base.join(graph.select("url").distinct(), "url", "left_anti").select(
-        *EVENT_COLUMNS,
-        nothing.alias("themes"),
-        nothing.alias("persons"),
-        nothing.alias("orgs"),
+    urls = _recent_graph(gkg_feed, as_of, cfg).groupBy(F.col("DocumentIdentifier").alias("url"))
+    rows = F.lit(1).cast("bigint") if latest_only else F.count("*")
+    grid = key_grid(
+        base.groupBy("url").agg(F.count("*").alias("n")), urls.agg(rows.alias("n")), "url", pairs_per_task
     )
-    return matched.unionAll(unmatched)
+    joined = spread_left_join(base, graph, "url", grid)
+    nothing = F.array().cast("array<string>")
+    arrays = (F.coalesce(c, nothing).alias(c) for c in ("themes", "persons", "orgs"))
+    return joined.select(*EVENT_COLUMNS, *arrays)

@@ -4,12 +4,16 @@ Spark has no vector distance, so distances come from Arrow batches multiplied
 as matrices; Spark partitions, shuffles and ranks. No pair of vectors becomes a
 row: each task keeps k neighbours per anchor, and only those are shuffled.
 
-Two plans give the same rows:
+Three plans give the same rows:
 
 * few anchors (checked): they travel to every task, the base is scanned where
   it lies and is never shuffled;
-* many anchors: base and anchors are hashed into blocks and each pair of blocks
-  is multiplied in its own task, so neither side has to fit anywhere whole.
+* many anchors over a small base (checked): the base travels, the anchors are
+  scanned where they lie;
+* else the base is dealt once into blocks that fit a task, and the anchors stream
+  past each block in the sorted order of one shuffle. A task holds one block and one
+  batch of anchors, whatever their number. Only anchors beyond a million make a
+  second lane, for which the base is dealt again.
 
 Distances are rounded to 9 places before ranking and ties go by neighbour id:
 the order does not depend on how rows fell into batches.
@@ -35,8 +39,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_ANCHORS = 2048
 MAX_BROADCAST_BYTES = 64 << 20
-BASE_BLOCK = 16384
-ANCHOR_BLOCK = 2048
+# bytes of base vectors that a task holds, and anchors that pass one copy of the base
+BLOCK_BYTES = 64 << 20
+LANE_ANCHORS = 1 << 20
 PLACES = 9
 
 
@@ -53,11 +58,12 @@ def topk_cosine(
     anchor_day: str | None = None,
     payload: list[str] | None = None,
     max_broadcast_anchors: int = MAX_BROADCAST_ANCHORS,
+    max_base_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """(anchor_id, ``id``, distance, rank, *payload): the k nearest per anchor.
 
-    Ids are unique on their side. NULL, empty and zero vectors have no cosine
-    and take no part. With ``base_day`` and ``anchor_day`` only base rows of an
+    Ids are unique on their side. NULL, empty, zero and non-finite vectors have no
+    cosine and take no part. With ``base_day`` and ``anchor_day`` only base rows of an
     earlier day are candidates.
     """
     left = _prepared(base, id, vector, base_day)
@@ -77,7 +83,7 @@ def topk_cosine(
         shared = base.sparkSession.sparkContext.broadcast(_unpack(head))
         found = left.mapInArrow(partial(_scan, shared=shared, k=k, schema=_arrow(out)), out)
     else:
-        found = _blockwise(left, right, k, out)
+        found = _many(left, right, k, out, max_base_bytes)
 
     best = first_n_per_group(found, ["anchor_id"], [F.col("distance"), F.col("id")], k)
     best = best.withColumnRenamed("id", id)
@@ -102,9 +108,7 @@ def _prepared(df: DataFrame, id: str, vector: str, day: str | None) -> DataFrame
     columns = [F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector")]
     if day:
         columns.append(F.unix_date(day).alias("day"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.exists("vector", lambda x: x != 0) & finite
-    return df.select(columns).where(usable)
+    return df.select(columns).where(F.size("vector") > 0)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -114,22 +118,29 @@ def _arrow(schema: T.StructType) -> pa.Schema:
 
 
 def _unpack(table: pa.Table | pa.RecordBatch):
-    """Arrow rows -> (ids, unit vectors as a matrix, days or None)."""
+    """Arrow rows -> (ids, unit vectors as a matrix, days or None); vectors without a cosine go."""
     ids = np.asarray(table.column("id").to_pylist())
     lists = table.column("vector")
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
+    days = None
+    if "day" in table.schema.names:
+        days = table.column("day").to_numpy(zero_copy_only=False)
+    if not len(ids):
+        return ids, np.zeros((0, 0)), days
     sizes = np.asarray(lists.value_lengths())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)  # a null element becomes NaN
+    starts = np.cumsum(sizes) - sizes
+    usable = np.logical_and.reduceat(np.isfinite(flat), starts) & np.logical_or.reduceat(flat != 0, starts)
+    if not usable.all():
+        flat = flat[np.repeat(usable, sizes)]
+        ids, sizes = ids[usable], sizes[usable]
+        days = days if days is None else days[usable]
     if len(sizes) and (sizes != sizes[0]).any():
         odd = ids[int(np.argmax(sizes != sizes[0]))]
         raise ValueError(f"vectors of unequal length: {odd}")
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    matrix = flat.reshape(len(ids), -1) if len(ids) else flat.reshape(0, 0)
-    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if len(ids) else matrix
-    days = None
-    if "day" in table.schema.names:
-        days = table.column("day").to_numpy(zero_copy_only=False)
-    return ids, unit, days
+    matrix = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    return ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True), days
 
 
 class _Nearest:
@@ -192,24 +203,71 @@ def _scan(
     yield from nearest.rows(schema).to_batches()
 
 
-def _blockwise(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    """Every base block against every anchor block; ids are unique, so blocks are even."""
-    base_blocks = max(1, -(-base.count() // BASE_BLOCK))
-    anchor_blocks = max(1, -(-anchors.count() // ANCHOR_BLOCK))
-
-    def placed(df: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
-            other, F.explode(numbers)
-        )
-
-    left = placed(base, "bb", base_blocks, "ab", anchor_blocks)
-    right = placed(anchors, "ab", anchor_blocks, "bb", base_blocks)
-    schema = _arrow(out)
+def _many(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType, max_base_bytes: int) -> DataFrame:
+    """Neighbours of more anchors than travel to every task."""
+    base_bytes = 8 * (base.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    if base_bytes <= max_base_bytes:
+        shared = base.sparkSession.sparkContext.broadcast(_unpack(base.toArrow()))
+        return anchors.mapInArrow(partial(_past, shared=shared, k=k, schema=_arrow(out)), out)
+    return _streamed(base, anchors, k, out, -(-base_bytes // BLOCK_BYTES))
 
-    def block_pair(b: pa.Table, a: pa.Table) -> pa.Table:
-        nearest = _Nearest(_unpack(a), k)
-        nearest.add(_unpack(b))
-        return nearest.rows(schema)
 
-    return left.groupBy("bb", "ab").cogroup(right.groupBy("bb", "ab")).applyInArrow(block_pair, out)
+def _past(batches: Iterator[pa.RecordBatch], shared, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nearest = _Nearest(_unpack(batch), k)
+        nearest.add(shared.value)
+        yield from nearest.rows(schema).to_batches()
+
+
+def _streamed(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType, blocks: int) -> DataFrame:
+    """Anchors past blocks of the base; ids are unique, so blocks and lanes are even."""
+    lanes = max(1, -(-anchors.count() // LANE_ANCHORS))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    ids = ("base_id", "anchor_id")
+
+    def side(df: DataFrame, kind: int) -> DataFrame:
+        # both ids have a place, as they may differ in type
+        names = [F.col("id") if i == kind else F.lit(None).cast(out[1 - i].dataType) for i in range(2)]
+        cells = df.withColumn("block", every(blocks) if kind else own(blocks))
+        cells = cells.withColumn("lane", own(lanes) if kind else every(lanes))
+        return cells.select(
+            (F.col("block") * lanes + F.col("lane")).cast("int").alias("cell"), F.lit(kind).alias("kind"),
+            *(n.alias(name) for n, name in zip(names, ids, strict=True)),
+            *(c for c in df.columns if c != "id"),
+        )
+
+    rows = side(base, 0).unionByName(side(anchors, 1))
+    dealt = rows.repartitionById(blocks * lanes, "cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(partial(_stream, k=k, schema=_arrow(out)), out)
+
+
+def _stream(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of every cell first the base, which is held, then the anchors, batch by batch."""
+    cell, parts, held = None, [], None
+    for batch in batches:
+        cells = batch.column("cell").to_numpy()
+        kinds = batch.column("kind").to_numpy()
+        change = np.flatnonzero((cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for start, end in zip([0, *change.tolist()], [*change.tolist(), len(cells)], strict=True):
+            if start == end:
+                continue
+            if cells[start] != cell:
+                cell, parts, held = cells[start], [], None
+            part = batch.slice(start, end - start)
+            name = "anchor_id" if kinds[start] else "base_id"
+            names = ["id", *(c for c in batch.schema.names if c in ("vector", "day"))]
+            part = pa.RecordBatch.from_arrays([part.column(name), *(part.column(c) for c in names[1:])], names=names)
+            if not kinds[start]:
+                parts.append(_unpack(part))
+                continue
+            if held is None:
+                full = [p for p in parts if len(p[0])]
+                if len({p[1].shape[1] for p in full}) > 1:
+                    raise ValueError(f"vectors of unequal length: {full[-1][0][0]}")
+                held = tuple(None if c[0] is None else np.concatenate(c) for c in zip(*full, strict=True)) if full else ()
+                parts = []
+            if held:
+                nearest = _Nearest(_unpack(part), k)
+                nearest.add(held)
+                yield from nearest.rows(schema).to_batches()

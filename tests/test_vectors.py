@@ -50,18 +50,32 @@ def found(df):
     return rows
 
 
-@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("plan", ["few", "small base", "stream", "lanes"])
 @pytest.mark.parametrize("earlier", [False, True])
-def test_both_plans_equal_brute_force(spark, monkeypatch, few, earlier):
-    monkeypatch.setattr(knn, "BASE_BLOCK", 60)
-    monkeypatch.setattr(knn, "ANCHOR_BLOCK", 5)
+def test_all_plans_equal_brute_force(spark, monkeypatch, plan, earlier):
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(knn, "LANE_ANCHORS", 5 if plan == "lanes" else 100)
     base, anchors = vectors(200, 1), vectors(17, 2)
     b = spark.createDataFrame(base, SCHEMA).repartition(5)
     a = spark.createDataFrame(anchors, SCHEMA).withColumnRenamed("id", "anchor_id")
     days = {"base_day": "day", "anchor_day": "day"} if earlier else {}
-    made = topk_cosine(b, a, 7, max_broadcast_anchors=100 if few else 3, payload=["day"], **days)
+    sizes = {"max_broadcast_anchors": 100 if plan == "few" else 3, "max_base_bytes": 1 << 20 if plan == "small base" else 0}
+    made = topk_cosine(b, a, 7, payload=["day"], **sizes, **days)
     assert found(made) == brute_force(spark, base, anchors, 7, earlier)
-    assert ("FlatMapCoGroupsInArrow" in plan_of(made)) is not few
+    physical = plan_of(made)
+    assert ("Union" in physical) == (plan in ("stream", "lanes")) and "CoGroup" not in physical
+    # the base is dealt once, unless there are lanes
+    assert physical.count("Generate explode") == {"few": 0, "small base": 0, "stream": 2, "lanes": 2}[plan]
+
+
+def test_many_anchors_of_another_type_and_without_vectors(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(40)] + [(50, None), (51, [0.0, 0.0]), (52, [float("nan"), 1.0])]
+    b = spark.createDataFrame([(f"b{i}", v) for i, v in rows], "id string, embedding array<double>")
+    a = spark.createDataFrame(rows, "anchor_id long, embedding array<double>")
+    made = [topk_cosine(b, a, 2, max_broadcast_anchors=1, max_base_bytes=n) for n in (0, 1 << 20)]
+    got = [{r.anchor_id: r.id for r in m.where("rank = 1").collect()} for m in made]
+    assert got[0] == got[1] == {i: f"b{i}" for i in range(40)}
+    assert topk_cosine(b.limit(0), a, 2, max_broadcast_anchors=1).collect() == []
 
 
 def test_no_pair_becomes_a_row(spark):
@@ -94,6 +108,7 @@ def test_non_finite_vectors_hide_no_neighbour(spark, few):
         spark.createDataFrame([("x", [1.0, 0.0], DAY)], SCHEMA).withColumnRenamed("id", "anchor_id"),
         10,
         max_broadcast_anchors=10 if few else 0,
+        max_base_bytes=0,
     )
     assert [id for _, id in found(made)["x"]] == [f"v{i}" for i in range(7)]
 
