@@ -32,7 +32,7 @@ def main() -> None:
         store,
         as_of=args.as_of,
     )
-    for name in sorted(PARTITIONED | PARTITIONED_SORTED):
+    for name in sorted(n for n in PARTITIONED | PARTITIONED_SORTED if store.exists(n)):
         store.expire(name, args.as_of, DEFAULTS.retention_days)
     if args.feed:
         export(made["mood_map_feed"], args.feed)

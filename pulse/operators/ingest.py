@@ -16,15 +16,13 @@ EVENT_COLUMNS = [
 ]
 
 
-def ingest_events(feed: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS) -> DataFrame:
-    """Events of the last ``raw_days``, with the first known place of the three actors."""
+def event_rows(feed: DataFrame) -> DataFrame:
+    """Feed rows as events, with the first known place of the three actors."""
 
     def first_known(suffix: str):
         return F.coalesce(*(f"{who}Geo_{suffix}" for who in ("Action", "Actor1", "Actor2")))
 
-    # the bound is on the raw key, not on the derived date: it is pushed to the scan
-    recent = feed.where(F.col("SQLDATE") >= first_day_key(as_of, cfg.raw_days))
-    return recent.select(
+    return feed.select(
         day_of_key(F.col("SQLDATE")).alias("event_date"),
         first_known("CountryCode").alias("country"),
         first_known("ADM1Code").alias("admin1"),
@@ -38,6 +36,12 @@ def ingest_events(feed: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAUL
     )
 
 
+def ingest_events(feed: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS) -> DataFrame:
+    """Events of the last ``raw_days``."""
+    # the bound is on the raw key, not on the derived date: it is pushed to the scan
+    return event_rows(feed.where(F.col("SQLDATE") >= first_day_key(as_of, cfg.raw_days)))
+
+
 def recent_located(events: DataFrame, as_of: AsOf, cfg: PulseConfig) -> DataFrame:
     """Events of the last ``recent_days`` that carry a country and a url."""
     return events.where(

@@ -104,6 +104,14 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
+# kept by the streams
+STREAM_TABLES: dict[str, T.StructType] = {
+    "events_rejected": _schema(**_EVENT, reason=STRING),
+    "country_day_sums": _schema(
+        **_DAY_COUNTRY, headline_count=LONG, tone_count=LONG, tone_sum=DOUBLE, min_tone=DOUBLE, max_tone=DOUBLE
+    ),
+}
+
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select and cast the columns of ``schema``; a missing column raises."""

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pulse.config import DEFAULTS, PulseConfig
-from pulse.functions.dates import AsOf, as_of_day
-from pulse.operators.ingest import ingest_events
+from pulse.functions.dates import AsOf, as_of_day, first_day, resolved_day
+from pulse.operators.ingest import event_rows, ingest_events
 from pulse.operators.topics import DAY_COUNTRY
+from pulse.sinks.tables import TableStore
 
 DAY_TIME = "event_time"
 PART = "batch"
+RAW, REJECTED, SUMS = "events_raw", "events_rejected", "country_day_sums"
 
 
 def stream_raw_events(
@@ -96,3 +98,79 @@ def read_country_day(spark, path: str) -> DataFrame:
         .agg(F.max_by(row, PART).alias("last"))
         .select(*DAY_COUNTRY, "last.*")
     )
+
+
+def country_day_sums(events: DataFrame) -> DataFrame:
+    """Sums of events per country-day that can be added to those of other events."""
+    return events.where(F.col("country").isNotNull()).groupBy(*DAY_COUNTRY).agg(
+        F.count("*").alias("headline_count"),
+        F.count("tone").alias("tone_count"),
+        F.sum("tone").alias("tone_sum"),
+        F.min("tone").alias("min_tone"),
+        F.max("tone").alias("max_tone"),
+    )
+
+
+def added(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Sums of two sets of events from the sums of each."""
+    total = [F.sum(c).alias(c) for c in ("headline_count", "tone_count", "tone_sum")]
+    ends = [F.min("min_tone").alias("min_tone"), F.max("max_tone").alias("max_tone")]
+    return old.unionByName(new).groupBy(*DAY_COUNTRY).agg(*total, *ends)
+
+
+def stream_to_tables(
+    feed: DataFrame,
+    store: TableStore,
+    checkpoint: str,
+    as_of: AsOf = None,
+    cfg: PulseConfig = DEFAULTS,
+    stream: str = "events",
+    compact_every: int = 16,
+    keep_versions: int = 4,
+) -> StreamingQuery:
+    """The feed as tables of the store: raw events, rejected ones, and sums per country-day.
+
+    One pass over the feed. Events after ``as_of`` and before the raw window are rejected with
+    their reason, so a wrong day neither closes nor reopens another. Sums are merged into the
+    days that a batch has events of, late ones included. Every table takes a batch
+    once, by its number: a batch that is run again after a failure adds nothing. Days that
+    left the raw window are dropped; raw days are rewritten as one folder every
+    ``compact_every`` batches, and files of older versions are deleted.
+    """
+    day = resolved_day(store.spark, as_of)
+    date = F.col("event_date")
+    reason = (
+        F.when(date.isNull(), "no day").when(date > F.lit(day), "future").when(date < first_day(day, cfg.raw_days), "late")
+    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        events = batch.persist()
+        try:
+            good = events.where(F.col("reason").isNull())
+            store.append(REJECTED, events.where(F.col("reason").isNotNull()), stream, number)
+            store.append(RAW, good, stream, number)
+            store.merge(SUMS, country_day_sums(good), stream, number, added)
+        finally:
+            events.unpersist()
+        for name in (RAW, SUMS):
+            store.expire(name, day, cfg.raw_days)
+        if number % compact_every == compact_every - 1:
+            store.compact(RAW)
+            store.compact(REJECTED)
+        for name in (RAW, REJECTED, SUMS):
+            store.vacuum(name, keep_versions)
+
+    return (
+        event_rows(feed).withColumn("reason", reason)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def country_day_statistics(store: TableStore) -> DataFrame:
+    """Tone per country-day from the sums."""
+    sums = store.read(SUMS)
+    mean = F.when(F.col("tone_count") > 0, F.col("tone_sum") / F.col("tone_count"))
+    return sums.select(*DAY_COUNTRY, "headline_count", mean.alias("avg_tone"), "min_tone", "max_tone")

@@ -10,9 +10,10 @@ from pulse import __main__ as command_line
 from pulse.operators.ingest import ingest_events
 from pulse.operators.mood import mood_map_feed
 from pulse.plans.daily import run_daily
+from pulse.plans.ledger import Ledger
 from pulse.schemas import EVENTS_FEED, TABLES
 from pulse.sinks.scratch import scratch_folder
-from pulse.sinks.tables import TableStore, export, unexpired
+from pulse.sinks.tables import ConcurrentWrite, TableStore, export, unexpired
 from pulse.sources.feeds import read_events_feed, read_gkg_feed
 
 
@@ -48,13 +49,13 @@ def test_overwrite_read_expire(spark, store):
 def test_files_are_partitioned_and_sorted(spark, tmp_path):
     store = TableStore(spark, root=str(tmp_path))
     store.overwrite("events_raw", raw(spark, DAY, dt.date(2024, 1, 28)))
-    files = sorted(Path(tmp_path, "events_raw").glob("event_date=*/*.parquet"))
+    files = sorted(Path(tmp_path, "events_raw").glob("**/event_date=*/*.parquet"))
     assert {f.parent.name for f in files} == {"event_date=2024-01-28", "event_date=2024-01-29"}
     for file in files:
         countries = [r.country for r in spark.read.parquet(str(file)).collect()]
         assert countries == sorted(countries)
     store.overwrite("today_for_analogs", frame(spark, "today_for_analogs", {"event_date": DAY}))
-    assert not list(Path(tmp_path, "today_for_analogs").glob("event_date=*"))
+    assert not list(Path(tmp_path, "today_for_analogs").glob("**/event_date=*"))
 
 
 def test_a_heavy_day_is_written_by_several_tasks(spark, tmp_path):
@@ -74,7 +75,7 @@ def test_a_heavy_day_is_written_by_several_tasks(spark, tmp_path):
         made = TableStore(spark, root=str(tmp_path)).overwrite("events_raw", heavy)
     finally:
         spark.conf.unset(key)
-    files = list(Path(tmp_path, "events_raw", "event_date=2024-01-29").glob("*.parquet"))
+    files = list(Path(tmp_path, "events_raw").glob("**/event_date=2024-01-29/*.parquet"))
     assert len(files) > 2
     assert made.count() == n
 
@@ -170,3 +171,146 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert [(r.country, r.iso3) for r in feed] == [("US", "USA")]
     store = TableStore(spark, root=str(tmp_path / "t"))
     assert store.read("events_raw").count() == 2
+
+
+# --- versions ------------------------------------------------------------------------
+def days_of(df):
+    return sorted(str(r.event_date) for r in df.select("event_date").distinct().collect())
+
+
+def test_only_given_days_are_replaced(spark, store):
+    one, two, three = (dt.date(2024, 1, d) for d in (27, 28, 29))
+    store.overwrite("events_raw", raw(spark, one, two))
+    lone = raw(spark, two, three).where("country = 'A'")
+    back = store.replace_days("events_raw", lone)
+    assert [(r.event_date, r.n) for r in back.groupBy("event_date").agg(F.count("*").alias("n")).orderBy("event_date").collect()] == [
+        (one, 3), (two, 1), (three, 1)
+    ]
+    # a given day without rows is emptied
+    assert days_of(store.replace_days("events_raw", lone.where("false"), [two])) == ["2024-01-27", "2024-01-29"]
+    with pytest.raises(ValueError, match="no days"):
+        store.replace_days("today_for_analogs", lone)
+    fresh = frame(spark, "daily_mood", {"event_date": one, "country": "A"})
+    assert store.replace_days("daily_mood", fresh).count() == 1
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    return TableStore(spark, root=str(tmp_path / "tables"))
+
+
+def test_a_job_that_dies_before_the_switch_changes_nothing(spark, folder, monkeypatch):
+    folder.overwrite("events_raw", raw(spark, DAY))
+    before = folder.read("events_raw")
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    for write in (folder.overwrite, folder.replace_days):
+        with monkeypatch.context() as m:
+            m.setattr(TableStore, "_commit", dies)
+            with pytest.raises(RuntimeError, match="killed"):
+                write("events_raw", raw(spark, dt.date(2024, 1, 1)))
+        assert days_of(folder.read("events_raw")) == days_of(before) == ["2024-01-29"]
+    # the files it left behind go, the table stays
+    assert len(folder.vacuum("events_raw")) == 2
+    assert before.count() == 3
+
+
+def test_readers_keep_their_version(spark, folder):
+    first = folder.overwrite("events_raw", raw(spark, DAY))
+    folder.overwrite("events_raw", raw(spark, dt.date(2024, 1, 28)))
+    folder.expire("events_raw", AS_OF, 1)
+    assert days_of(first) == days_of(folder.read("events_raw", 1)) == ["2024-01-29"]
+    assert folder.read("events_raw").count() == 0 and folder.versions("events_raw") == [1, 2, 3]
+    assert len(folder.vacuum("events_raw", keep=2)) == 1
+    assert folder.versions("events_raw") == [2, 3] and days_of(folder.read("events_raw", 2)) == ["2024-01-28"]
+    with pytest.raises(FileNotFoundError):
+        folder.read("daily_mood")
+
+
+def test_a_writer_that_comes_second_raises(spark, folder, monkeypatch):
+    folder.overwrite("events_raw", raw(spark, DAY))
+    staged = TableStore._staged
+
+    def meanwhile(self, name, df, token=None):
+        monkeypatch.setattr(TableStore, "_staged", staged)
+        folder.overwrite("events_raw", raw(spark, dt.date(2024, 1, 28)))
+        return staged(self, name, df, token)
+
+    monkeypatch.setattr(TableStore, "_staged", meanwhile)
+    with pytest.raises(ConcurrentWrite):
+        folder.replace_days("events_raw", raw(spark, dt.date(2024, 1, 27)))
+    assert days_of(folder.read("events_raw")) == ["2024-01-28"]
+
+
+def test_batches_are_appended_once_and_compacted(spark, folder):
+    for number in (0, 1, 1, 0):
+        folder.append("events_raw", raw(spark, DAY), "s", number)
+    folder.append("events_raw", raw(spark, None), "other", 0)
+    assert folder.read("events_raw").count() == 9
+    assert folder.compact("events_raw") == ["2024-01-29"] and folder.compact("events_raw") == []
+    assert len(folder.manifest("events_raw").folders["2024-01-29"]) == 1
+    folder.append("events_raw", raw(spark, DAY), "s", 1)
+    assert folder.read("events_raw").count() == 9
+    assert folder.read("events_raw").where("event_date is null").count() == 3
+    assert folder.expire("events_raw", AS_OF, 0) == ["2024-01-29"]
+
+
+# --- runs ------------------------------------------------------------------------------
+def run_feeds(spark, tmp_path, last=30):
+    events = [
+        {"SQLDATE": 20240120 + d, "ActionGeo_CountryCode": c, "AvgTone": float(d - i), "SOURCEURL": f"http://n.e/{c}{d}"}
+        for d in range(last - 19) for i, c in enumerate(["US", "DE"]) for _ in range(i + 1)
+    ]
+    graph = [
+        {"DocumentIdentifier": f"http://n.e/{c}{d}", "V2Themes": "TAX_X,1", "V2Persons": "Ann Lee,1", "date": (20240120 + d) * 1000000}
+        for d in range(last - 19) for c in ["US", "DE"]
+    ]
+    made = []
+    for name, df in (("e", events_feed(spark, *events)), ("g", gkg_feed(spark, *graph))):
+        path = str(tmp_path / f"{name}{last}")
+        df.write.parquet(path)
+        made.append(spark.read.schema(df.schema).parquet(path))
+    return made
+
+
+def table_rows(made):
+    return {n: sorted(map(str, df.collect())) for n, df in made.items()}
+
+
+def test_two_days_equal_one_run(spark, store, tmp_path):
+    yesterday, today = run_feeds(spark, tmp_path, 29), run_feeds(spark, tmp_path)
+    run_daily(*yesterday, store, dt.date(2024, 1, 29))
+    two = run_daily(*today, store, AS_OF, since=AS_OF)
+    one = run_daily(*today, TableStore(spark, root=str(tmp_path / "one")), AS_OF)
+    assert table_rows(two) == table_rows(one)
+
+
+def test_a_run_goes_on_where_it_stopped(spark, folder, tmp_path):
+    feeds = run_feeds(spark, tmp_path)
+
+    class Broken:
+        def generate(self, *_, **__):
+            raise RuntimeError("no model")
+
+        def score(self, *_, **__):
+            raise RuntimeError("no model")
+
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        run_daily(*feeds, folder, AS_OF, text=Broken(), ledger=Ledger(folder))
+    topics_version = folder.manifest("daily_country_topics").number
+    second = Ledger(folder)
+    made = run_daily(*feeds, folder, AS_OF, ledger=second)
+    assert second.ran == ["daily_briefings", "daily_mood"]
+    assert folder.manifest("daily_country_topics").number == topics_version
+    plain = run_daily(*feeds, TableStore(spark, root=str(tmp_path / "plain")), AS_OF)
+    assert table_rows(made) == table_rows(plain)
+    # a changed feed runs what depends on it; nothing changed, nothing runs
+    third, fourth = Ledger(folder), Ledger(folder)
+    run_daily(*feeds, folder, AS_OF, ledger=third)
+    assert third.ran == []
+    run_daily(feeds[0], feeds[1].limit(0), folder, AS_OF, ledger=fourth, feeds="new")
+    assert "daily_top_entities" in fourth.ran and "daily_briefings" in fourth.ran
+    with pytest.raises(ValueError, match="root"):
+        Ledger(TableStore(spark, database="x"))

@@ -3,7 +3,10 @@ from pulse.operators.ingest import ingest_events
 from pulse.operators.topics import country_topics
 from pulse.config import PulseConfig
 from pulse.schemas import EVENTS_FEED
+from pulse.sinks.tables import TableStore
 from pulse.streaming.country_day import (
+    country_day_statistics,
+    stream_to_tables,
     read_country_day,
     stream_country_day,
     stream_future_events,
@@ -82,3 +85,41 @@ def test_a_future_day_drops_no_later_event(spark, tmp_path):
     rejects = str(tmp_path / "rejects")
     stream_future_events(feed(), rejects, str(tmp_path / "state2"), AS_OF).awaitTermination()
     assert [str(r.event_date) for r in spark.read.parquet(rejects).collect()] == ["2099-12-31"]
+
+
+def test_tables_of_a_stream(spark, tmp_path):
+    """Late and future days are rejected, each batch counts once, folders stay few, expiry reads."""
+    source, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    store = TableStore(spark, root=str(tmp_path / "tables"))
+    feed = lambda: spark.readStream.schema(EVENTS_FEED).parquet(source)
+    first, second = batches(spark)
+    odd = events_feed(spark, {"SQLDATE": 20991231, "ActionGeo_CountryCode": "F"}, {"SQLDATE": None, "ActionGeo_CountryCode": "N"})
+    for part in (first.unionAll(odd), second):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream_to_tables(feed(), store, state, AS_OF).awaitTermination()
+    stream_to_tables(feed(), store, state, AS_OF).awaitTermination()
+    batch = country_topics(ingest_events(first.unionAll(second), AS_OF), AS_OF, PulseConfig(recent_days=60))
+    assert rows(country_day_statistics(store)) == rows(batch)
+    rejected = {(str(r.event_date), r.reason) for r in store.read("events_rejected").collect()}
+    assert rejected == {("2099-12-31", "future"), ("None", "no day"), ("2023-11-01", "late")}
+    assert store.read("events_raw").count() == 6
+    # a lost checkpoint: the batches come again and add nothing
+    stream_to_tables(feed(), store, str(tmp_path / "other"), AS_OF).awaitTermination()
+    assert rows(country_day_statistics(store)) == rows(batch)
+    assert store.expire("events_raw", AS_OF, 1) == ["2023-12-15", "2024-01-28"]
+    assert store.read("events_raw").count() == 3
+
+
+def test_folders_of_a_long_stream(spark, tmp_path):
+    source, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    store = TableStore(spark, root=str(tmp_path / "tables"))
+    for k in range(7):
+        events_feed(spark, {"AvgTone": float(k)}).coalesce(1).write.mode("append").parquet(source)
+        feed = spark.readStream.schema(EVENTS_FEED).parquet(source)
+        stream_to_tables(feed, store, state, AS_OF, compact_every=3, keep_versions=2).awaitTermination()
+    (row,) = country_day_statistics(store).collect()
+    assert (row.headline_count, row.avg_tone, row.max_tone) == (7, 3.0, 6.0)
+    assert store.read("events_raw").count() == 7
+    assert len(list((tmp_path / "tables" / "country_day_sums" / "data").glob("version=*"))) <= 4
+    assert len(store.manifest("events_raw").folders["2024-01-29"]) <= 3
+    assert len(list((tmp_path / "tables" / "events_raw" / "data").glob("version=*"))) <= 5
