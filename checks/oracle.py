@@ -564,6 +564,9 @@ ORACLE: dict[str, str] = {
           select a.vec_id as anchor_id, e.vec_id, {distance('a.embedding', 'e.embedding')} as distance
           from embeddings a, embeddings e))
       where r <= 10""",
+    "vector_topk_approx": """
+      select label, count(*) as anchors, true as recall_reached, true as part_ranked
+      from embeddings where vec_id % 100 = 0 group by label""",
     "similar_to_day_post": _similar_to_day(pre=False),
     "similar_to_day_pre": _similar_to_day(pre=True),
     "similar_to_text": with_tables(
@@ -684,6 +687,8 @@ ORACLE: dict[str, str] = {
         "placed",
     ),
     "full_run": with_tables("select * from feed", "feed"),
+    "full_run_two_days": with_tables("select * from feed", "feed"),
+    "full_run_resumed": with_tables("select * from feed", "feed"),
     "retention": with_tables(
         f"select {_EVENT}, round(tone, 10) as tone from raw "
         "where event_date >= date '2024-01-30' - 20",
@@ -710,4 +715,17 @@ ORACLE: dict[str, str] = {
         "group by event_date, country)",
         "raw",
     ),
+    "country_day_stream_two_batches": with_tables(
+        """
+        select kind, event_date, country, count(*) as headline_count, round(avg(tone), 8) as avg_tone,
+          round(min(tone), 10) as min_tone, round(max(tone), 10) as max_tone
+        from (
+          select case n when 3 then 'future' when 4 then 'late' else 'kept' end as kind, country, tone,
+            cast(make_date(year(event_date) + case n when 3 then 100 when 4 then -100 else 0 end,
+              month(event_date), day(event_date)) as date) as event_date
+          from (select *, coalesce(cast(split_part(url, '/', 5) as bigint) % 50, 0) as n from raw))
+        where kind <> 'kept' or country is not null
+        group by kind, event_date, country""",
+        "raw",
+    ),
 }

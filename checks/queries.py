@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,20 @@ from pulse.functions.text import (
     snippet,
 )
 from pulse.models.local import HashedTerms, TemplateText
-from pulse.operators import briefings, entities, ingest, mood, topics, trends, vectors
+from pulse.operators import annindex, briefings, entities, ingest, mood, topics, trends, vectors
 from pulse.operators.knn import topk_cosine
 from pulse.plans.daily import run_daily
-from pulse.schemas import TABLES
+from pulse.plans.ledger import Ledger
+from pulse.schemas import EVENTS_FEED, TABLES
 from pulse.sinks.scratch import scratch_folder
 from pulse.sinks.tables import TableStore, export, unexpired
 from pulse.sources.feeds import read_events_feed
-from pulse.streaming.country_day import read_country_day, stream_country_day
+from pulse.streaming.country_day import (
+    country_day_statistics,
+    read_country_day,
+    stream_country_day,
+    stream_to_tables,
+)
 
 QUERY_TEXT = "Headlines about error and purchase in NATION_7"
 SIMILAR_COUNTRY, SIMILAR_DAY = "C3", "2024-01-20"
@@ -234,6 +241,30 @@ def vector_topk_all(spark, d):
     return found.select("anchor_id", "vec_id", _fine("distance", 6), "rank")
 
 
+def vector_topk_approx(spark, d):
+    """Per label: whether the index finds 0.9 of the 10 nearest of every 100th vector, and ranks
+    less than 0.85 of the base for that.
+
+    The given vectors have no clusters, so three quarters of the cells are probed.
+    """
+    base = views.table(spark, d, "embeddings")
+    anchors = base.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("anchor_id"), "label", "embedding")
+    index = annindex.build_index(base, scratch_folder(spark, "index"), id="vec_id")
+    probes = max(1, round(len(index.centroids) * 0.75))
+    near = annindex.search_index(index, anchors, 10, probes=probes, id="vec_id").select("anchor_id", "vec_id", "distance")
+    exact = topk_cosine(base, anchors, 10, id="vec_id").select("anchor_id", "vec_id", "distance")
+    hits = exact.join(near.select("anchor_id", "vec_id", F.lit(1).alias("hit")), ["anchor_id", "vec_id"], "left")
+    hits = hits.groupBy("anchor_id").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"))
+    scored = annindex.scored_rows(index, anchors, probes)
+    all_rows = float(index.sizes.sum())
+    each = anchors.select("anchor_id", "label").join(hits, "anchor_id").join(scored, "anchor_id")
+    return each.groupBy("label").agg(
+        F.count("*").alias("anchors"),
+        (F.sum("hits") / F.sum("n") >= 0.9).alias("recall_reached"),
+        (F.avg("rows") / all_rows < 0.85).alias("part_ranked"),
+    )
+
+
 def similar_to_day_post(spark, d):
     return _similar_to_day(spark, d, "post")
 
@@ -432,6 +463,43 @@ def full_run(spark, d):
     return _pairs(made["mood_map_feed"], top_themes="theme")
 
 
+def full_run_two_days(spark, d):
+    """A run of the day before, then one that reads only the last day anew; equals one run."""
+    store = TableStore(spark, root=scratch_folder(spark, "two-days"))
+    before = AS_OF - dt.timedelta(days=1)
+    events, graph, key = views.events_feed(spark, d), views.gkg_feed(spark, d), int(f"{AS_OF:%Y%m%d}")
+    options = {"embedding": EMBEDDING, "text": TEXT, "country_dim": views.country_dim(spark, d)}
+    known = events.where(F.col("SQLDATE") < key), graph.where(F.col("date") < key * 1_000_000)
+    run_daily(*known, store, as_of=before, **options)
+    made = run_daily(events, graph, store, as_of=AS_OF, since=AS_OF, **options)
+    return _pairs(made["mood_map_feed"], top_themes="theme")
+
+
+class _NoModel:
+    """A text model that is down."""
+
+    def generate(self, *_, **__):
+        raise ConnectionError("the model is down")
+
+    score = generate
+
+
+def full_run_resumed(spark, d):
+    """A run that stops at the text model, and a second one that goes on from there."""
+    store = TableStore(spark, root=scratch_folder(spark, "resumed"))
+    feeds = views.events_feed(spark, d), views.gkg_feed(spark, d)
+    options = {"as_of": AS_OF, "embedding": EMBEDDING, "country_dim": views.country_dim(spark, d)}
+    try:
+        run_daily(*feeds, store, text=_NoModel(), ledger=Ledger(store), **options)
+    except ConnectionError:
+        pass
+    again = Ledger(store)
+    made = run_daily(*feeds, store, text=TEXT, ledger=again, **options)
+    if again.ran != ["daily_briefings", "daily_mood"]:
+        raise RuntimeError(f"steps were run twice: {again.ran}")
+    return _pairs(made["mood_map_feed"], top_themes="theme")
+
+
 def retention(spark, d):
     """Raw events that a 20-day retention keeps."""
     return unexpired(_raw(spark, d), AS_OF, 20).select(
@@ -481,17 +549,37 @@ def country_day_stream(spark, d):
     )
 
 
+def country_day_stream_two_batches(spark, d):
+    """Tone per country-day and rejected events of a feed that comes in two batches."""
+    root = scratch_folder(spark, "batches")
+    feed = views.shifted_events_feed(spark, d)
+    store = TableStore(spark, root=f"{root}/tables")
+    even = F.coalesce(F.crc32("SOURCEURL") % 2 == 0, F.lit(True))
+    for part in (even, ~even):
+        feed.where(part).write.mode("append").parquet(f"{root}/feed")
+        stream = spark.readStream.schema(EVENTS_FEED).parquet(f"{root}/feed")
+        stream_to_tables(stream, store, f"{root}/state", AS_OF).awaitTermination()
+    kept = country_day_statistics(store).select(F.lit("kept").alias("kind"), "*")
+    rejected = store.read("events_rejected").groupBy(F.col("reason").alias("kind"), "event_date", "country").agg(
+        F.count("*").alias("headline_count"), F.avg("tone").alias("avg_tone"),
+        F.min("tone").alias("min_tone"), F.max("tone").alias("max_tone"),
+    )
+    return kept.unionByName(rejected).select(
+        "kind", "event_date", "country", "headline_count", _fine("avg_tone", 8), _fine("min_tone"), _fine("max_tone")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, gkg_fields, gkg_fields_uncapped, country_topics,
         top_countries_latest, today_for_analogs, news_embeddings, top_entities,
-        top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, similar_to_day_post,
+        top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, vector_topk_approx, similar_to_day_post,
         similar_to_day_pre, similar_to_text, analogs_flat, analogs_flat_pre, analogs_nested,
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
         mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
-        mood_trend, mood_shift, region_rollup, full_run, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
-        country_day_stream,
+        mood_trend, mood_shift, region_rollup, full_run, full_run_two_days, full_run_resumed, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
+        country_day_stream, country_day_stream_two_batches,
     )
 }

@@ -224,21 +224,33 @@ def _streamed(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType, bl
     lanes = max(1, -(-anchors.count() // LANE_ANCHORS))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    ids = ("base_id", "anchor_id")
+
+    def dealt(df: DataFrame, block, lane) -> DataFrame:
+        placed = df.withColumn("block", block).withColumn("lane", lane)
+        cell = (F.col("block") * lanes + F.col("lane")).cast("int")
+        return placed.withColumn("cell", cell).drop("block", "lane")
+
+    held = dealt(base, own(blocks), every(lanes))
+    return met(held, dealt(anchors, every(blocks), own(lanes)), blocks * lanes, k, out)
+
+
+def met(base: DataFrame, anchors: DataFrame, cells: int, k: int, out: T.StructType) -> DataFrame:
+    """The k nearest per anchor and cell: anchors stream past the base rows of their cell.
+
+    Both sides have ``id, vector``, perhaps ``day``, and ``cell``, a number below ``cells``.
+    """
 
     def side(df: DataFrame, kind: int) -> DataFrame:
         # both ids have a place, as they may differ in type
         names = [F.col("id") if i == kind else F.lit(None).cast(out[1 - i].dataType) for i in range(2)]
-        cells = df.withColumn("block", every(blocks) if kind else own(blocks))
-        cells = cells.withColumn("lane", own(lanes) if kind else every(lanes))
-        return cells.select(
-            (F.col("block") * lanes + F.col("lane")).cast("int").alias("cell"), F.lit(kind).alias("kind"),
-            *(n.alias(name) for n, name in zip(names, ids, strict=True)),
-            *(c for c in df.columns if c != "id"),
+        return df.select(
+            "cell", F.lit(kind).alias("kind"),
+            *(n.alias(name) for n, name in zip(names, ("base_id", "anchor_id"), strict=True)),
+            *(c for c in df.columns if c not in ("id", "cell")),
         )
 
     rows = side(base, 0).unionByName(side(anchors, 1))
-    dealt = rows.repartitionById(blocks * lanes, "cell").sortWithinPartitions("cell", "kind")
+    dealt = rows.repartitionById(cells, "cell").sortWithinPartitions("cell", "kind")
     return dealt.mapInArrow(partial(_stream, k=k, schema=_arrow(out)), out)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from frames import DAY, frame, plan_of
 from pulse.config import PulseConfig
 from pulse.models.local import HashedTerms
-from pulse.operators import knn
+from pulse.operators import annindex, knn
 from pulse.operators.knn import cosine_distance, topk_cosine
 from pulse.operators.vectors import (
     embed_topics,
@@ -239,3 +239,41 @@ def test_configured_sizes(spark):
     today = frame(spark, "today_for_analogs", {"event_date": dt.date(2024, 1, 20), "country": "A"})
     made = find_analogs(base, today, PulseConfig(vector_top_k=4, analog_topk=2, analog_snip_chars=3))
     assert [r.snippet for r in made.orderBy("distance").collect()] == ["A19", "A18"]
+
+
+# --- approximate search ----------------------------------------------------------------
+def clustered(n, seed, groups=20, dims=8):
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-1, 1) for _ in range(dims)] for _ in range(groups)]
+    rows = [(f"v{i:04d}", [c + rng.gauss(0, 0.05) for c in centres[i % groups]], DAY) for i in range(n)]
+    return [*rows, ("null", None, DAY), ("zero", [0.0] * dims, DAY), ("nan", [float("nan")] * dims, DAY)]
+
+
+@pytest.mark.parametrize("part_rows", [100_000, 10])
+def test_index_finds_the_neighbours(spark, tmp_path, monkeypatch, part_rows):
+    monkeypatch.setattr(annindex, "PART_ROWS", part_rows)
+    rows = clustered(600, 3)
+    base = spark.createDataFrame(rows, SCHEMA)
+    anchors = spark.createDataFrame(rows[:40] + rows[-3:], SCHEMA).withColumnRenamed("id", "anchor_id")
+    index = annindex.build_index(base, str(tmp_path / "i"))
+    assert index.sizes.sum() == 600 and len(index.centroids) == 25
+    again = annindex.open_index(spark, str(tmp_path / "i"))
+    assert (again.centroids == index.centroids).all() and (again.sizes == index.sizes).all()
+    exact = found(topk_cosine(base, anchors, 5))
+    near = found(annindex.search_index(again, anchors, 5, probes=3))
+    hits = sum(len(set(exact[a]) & set(near.get(a, []))) for a in exact)
+    assert len(exact) == 40 and hits >= 0.9 * 5 * 40
+    scored = {r.anchor_id: r["rows"] for r in annindex.scored_rows(again, anchors, 3).collect()}
+    assert len(scored) == 40 and sum(scored.values()) < 0.3 * 600 * 40
+    # all cells: the exact search
+    assert found(annindex.search_index(again, anchors, 5, probes=25)) == exact
+
+
+def test_index_of_equal_vectors_and_of_nothing(spark, tmp_path):
+    rows = [(f"v{i}", [1.0, 0.0], DAY) for i in range(30)]
+    base = spark.createDataFrame(rows, SCHEMA)
+    index = annindex.build_index(base, str(tmp_path / "i"), cells=4)
+    anchors = base.limit(1).withColumnRenamed("id", "anchor_id")
+    assert [id for _, id in found(annindex.search_index(index, anchors, 3, probes=4))["v0"]] == ["v0", "v1", "v10"]
+    empty = annindex.build_index(base.limit(0), str(tmp_path / "e"))
+    assert annindex.search_index(empty, anchors, 3).collect() == []
