@@ -213,6 +213,8 @@ CTES: dict[str, str] = {
         select * from (select *, row_number() over (partition by url
           order by date desc, themes desc, persons desc, orgs desc) as r from graph)
         where r = 1) g on r.url = g.url""",
+    "marked": """
+      select *, coalesce(cast(split_part(url, '/', 5) as bigint) % 50, 0) as k from raw""",
     "pairs": """
       select event_date, country, lower(split_part(t, ',', 1)) as theme,
         lower(split_part(p, ',', 1)) as person
@@ -385,6 +387,7 @@ CTES |= {
 NEEDS: dict[str, list[str]] = {
     "graph": ["gkg_feed"],
     "recent": ["raw"],
+    "marked": ["raw"],
     "enriched": ["recent", "graph"],
     "enriched_latest": ["recent", "graph"],
     "pairs": ["enriched"],
@@ -529,6 +532,10 @@ ORACLE: dict[str, str] = {
         f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from topics",
         "topics",
     ),
+    "country_topics_from_states": with_tables(
+        f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from topics",
+        "topics",
+    ),
     "top_countries_latest": with_tables(
         f"select event_date, country, headline_count, {_TONES}, {_TOPIC_ARRAYS}, topic_doc from top",
         "top",
@@ -728,4 +735,27 @@ ORACLE: dict[str, str] = {
         group by kind, event_date, country""",
         "raw",
     ),
+    "delimited_feed_dirty": with_tables(
+        """
+        select event_date, country, '' as reason, count(*) as n, round(avg(tone), 8) as avg_tone
+        from marked where k not in (3, 4, 5) group by event_date, country
+        union all
+        select null, null, reason, count(*), null from (
+          select case k when 3 then 'impossible day' when 4 then 'bad AvgTone' else 'bad line' end as reason
+          from marked where k in (3, 4, 5)) group by reason""",
+        "marked",
+    ),
+    "graph_feed_dirty": with_tables(
+        """
+        select date, '' as reason, count(*) as n, cast(sum(length(nullif(V2Themes, ''))) as bigint) as theme_chars
+        from (select *, (doc % 50) as k from (
+          select *, cast(split_part(DocumentIdentifier, '/', 5) as bigint) as doc from gkg_feed))
+        where k not in (3, 4, 5) group by date
+        union all
+        select null, reason, count(*), null from (
+          select case k when 3 then 'impossible day' when 4 then 'bad date' else 'bad line' end as reason
+          from (select cast(split_part(DocumentIdentifier, '/', 5) as bigint) % 50 as k from gkg_feed)
+          where k in (3, 4, 5)) group by reason""",
+        "gkg_feed",
+    ),
 }

@@ -28,7 +28,7 @@ from pulse.plans.ledger import Ledger
 from pulse.schemas import EVENTS_FEED, TABLES
 from pulse.sinks.scratch import scratch_folder
 from pulse.sinks.tables import TableStore, export, unexpired
-from pulse.sources.feeds import read_events_feed
+from pulse.sources.feeds import read_dirty_events_feed, read_dirty_gkg_feed, read_events_feed
 from pulse.streaming.country_day import (
     country_day_statistics,
     read_country_day,
@@ -191,6 +191,15 @@ def country_topics(spark, d):
     return _topic_rows(_topics(spark, d))
 
 
+def country_topics_from_states(spark, d):
+    """Topics from the states of three parts of the events, none of which is read again."""
+    raw = _raw(spark, d).where(F.col("event_date") >= F.lit(AS_OF - dt.timedelta(days=7)))
+    part = F.coalesce(F.crc32("url") % 3, F.lit(0))
+    states = [topics.topic_states(raw.where(part == k)) for k in range(3)]
+    merged = topics.merged_states(states[0].unionAll(states[1]).unionAll(states[2]))
+    return _topic_rows(topics.topics_of_states(merged))
+
+
 def top_countries_latest(spark, d):
     return _topic_rows(topics.top_countries(_topics(spark, d)))
 
@@ -536,6 +545,48 @@ def delimited_feed(spark, d):
     return raw.select(*(c for c in ingest.EVENT_COLUMNS if c != "tone"), _fine("tone"))
 
 
+def _dirty_lines(feed: DataFrame, path: str, number: Column, key: str, day: str, value: str) -> None:
+    """The feed as tab-separated lines; of every 50 one has an impossible day, one a bad number, one
+    stops early."""
+    names = feed.columns
+    text = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[\t\r\n]", " ").alias(c) for c in names]
+    kind = F.coalesce(number % 50, F.lit(0)).alias("kind")
+    rows = feed.select(kind, *text)
+    rows = rows.withColumn(key, F.when(F.col("kind") == 3, day).otherwise(F.col(key)))
+    rows = rows.withColumn(value, F.when(F.col("kind") == 4, "x1").otherwise(F.col(value)))
+    line = F.concat_ws("\t", *names)
+    line = F.when(F.col("kind") == 5, F.concat_ws("\t", *names[:3])).otherwise(line)
+    rows.select(line.alias("value")).write.text(path)
+
+
+def delimited_feed_dirty(spark, d):
+    """Events per day and country, and rejected lines by reason, of a feed with bad lines."""
+    path = scratch_folder(spark, "dirty")
+    number = F.substring_index("SOURCEURL", "/", -1).cast("bigint")
+    feed = views.events_feed(spark, d)
+    _dirty_lines(feed, path, number, "SQLDATE", "20240231", "AvgTone")
+    good, rejected = read_dirty_events_feed(spark, path, columns=feed.columns)
+    kept = ingest.ingest_events(good, AS_OF).groupBy("event_date", "country").agg(
+        F.count("*").alias("n"), F.avg("tone").alias("avg_tone")
+    )
+    lost = rejected.groupBy("reason").agg(F.count("*").alias("n"))
+    return kept.withColumn("reason", F.lit("")).unionByName(lost, allowMissingColumns=True).withColumn(
+        "avg_tone", F.round("avg_tone", 8)
+    )
+
+
+def graph_feed_dirty(spark, d):
+    """Graph rows per day and length of their themes, and rejected lines by reason."""
+    path = scratch_folder(spark, "dirty")
+    feed = views.gkg_feed(spark, d).select("DocumentIdentifier", "date", "V2Persons", "V2Organizations", "V2Themes")
+    number = F.substring_index("DocumentIdentifier", "/", -1).cast("bigint")
+    _dirty_lines(feed, path, number, "date", "20240231000000", "date")
+    good, rejected = read_dirty_gkg_feed(spark, path, columns=feed.columns)
+    kept = good.groupBy("date").agg(F.count("*").alias("n"), F.sum(F.length("V2Themes")).alias("theme_chars"))
+    lost = rejected.groupBy("reason").agg(F.count("*").alias("n"))
+    return kept.withColumn("reason", F.lit("")).unionByName(lost, allowMissingColumns=True)
+
+
 def country_day_stream(spark, d):
     """Tone per country-day from a stream that has read the whole events table."""
     stream = spark.readStream.schema(views.SCHEMAS["events"]).parquet(f"{d}/events*.parquet")
@@ -573,6 +624,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, gkg_fields, gkg_fields_uncapped, country_topics,
+        country_topics_from_states,
         top_countries_latest, today_for_analogs, news_embeddings, top_entities,
         top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, vector_topk_approx, similar_to_day_post,
         similar_to_day_pre, similar_to_text, analogs_flat, analogs_flat_pre, analogs_nested,
@@ -580,6 +632,7 @@ QUERIES = {
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
         mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
         mood_trend, mood_shift, region_rollup, full_run, full_run_two_days, full_run_resumed, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
+        delimited_feed_dirty, graph_feed_dirty,
         country_day_stream, country_day_stream_two_batches,
     )
 }

@@ -9,37 +9,84 @@ from pulse import fixed
 from pulse.config import DEFAULTS, PulseConfig
 from pulse.functions.dates import AsOf, first_day
 from pulse.functions.text import fill, plain_number
-from pulse.operators.ranking import distinct_values, latest_day
+from pulse.operators.ranking import first_n_per_group, latest_day
 
 DAY_COUNTRY = ["event_date", "country"]
+STATE = [*DAY_COUNTRY, "kind", "value"]
 
 
-def country_topics(events: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS) -> DataFrame:
-    """Count, tone, event codes, sample urls and a text document per country-day.
+# kinds of a state: the day's numbers, an event code, a url
+FACTS, CODE, URL = 0, 1, 2
 
-    Three passes over disjoint columns (tone, code, url) next to the two keys, which
-    read about as much as one pass over all of them. Each is reduced on the map side:
-    tone to one row per country-day, codes and urls to distinct values cut by rank.
-    So a country-day with a third of all events shuffles no more than any other, and
-    the last joins run on rows that are already partitioned by country-day.
 
-    Arrays hold the smallest values, so the text is the same on every run. If a
-    country-day has no url, no code or no tone, its ``topic_doc`` is NULL.
+def topic_states(events: DataFrame, cfg: PulseConfig = DEFAULTS) -> DataFrame:
+    """What a country-day's topic is made of, as rows that add up: ``kind, value`` and numbers.
+
+    One pass over the events. Each event becomes up to three rows, which are combined on
+    the map side by (day, country, kind, value), so a country-day with a third of all
+    events has no group of its own in the shuffle. Of codes and urls the smallest are kept
+    by rank, on both sides of the shuffle.
     """
-    recent = events.where(
-        F.col("country").isNotNull()
-        & (F.col("event_date") >= first_day(as_of, cfg.recent_days))
+    state = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    known = lambda kind, column: F.when(F.col(column).isNotNull(), state(kind, F.col(column)))
+    rows = F.array(
+        state(FACTS, F.lit(None).cast("string")), known(CODE, "EventRootCode"), known(URL, "url")
+    )
+    unrolled = events.where(F.col("country").isNotNull()).select(
+        *DAY_COUNTRY, "tone", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("state")
     )
-    tone = recent.groupBy(*DAY_COUNTRY).agg(
-        F.count("*").alias("headline_count"),
-        F.avg("tone").alias("avg_tone"),
+    unrolled = unrolled.select(*DAY_COUNTRY, "state.*", F.when(F.col("state.kind") == FACTS, F.col("tone")).alias("tone"))
+    summed = unrolled.groupBy(*STATE).agg(
+        F.count("*").alias("n"),
+        F.count("tone").alias("tone_count"),
+        F.sum("tone").alias("tone_sum"),
         F.min("tone").alias("min_tone"),
         F.max("tone").alias("max_tone"),
     )
-    codes = distinct_values(recent, DAY_COUNTRY, "EventRootCode", cfg.max_codes, "top_event_types")
-    urls = distinct_values(recent, DAY_COUNTRY, "url", cfg.max_urls, "sample_urls")
-    joined = tone.join(codes, DAY_COUNTRY, "left").join(urls, DAY_COUNTRY, "left")
-    return joined.withColumn("topic_doc", topic_doc())
+    return _kept(summed, cfg)
+
+
+def merged_states(states: DataFrame, cfg: PulseConfig = DEFAULTS) -> DataFrame:
+    """States of several sets of events as those of all: no event is read again."""
+    total = [F.sum(c).alias(c) for c in ("n", "tone_count", "tone_sum")]
+    ends = [F.min("min_tone").alias("min_tone"), F.max("max_tone").alias("max_tone")]
+    return _kept(states.groupBy(*STATE).agg(*total, *ends), cfg)
+
+
+def _kept(states: DataFrame, cfg: PulseConfig) -> DataFrame:
+    most = max(cfg.max_codes, cfg.max_urls)
+    ranked = first_n_per_group(states, [*DAY_COUNTRY, "kind"], [F.col("value")], most)
+    cap = F.when(F.col("kind") == CODE, cfg.max_codes).otherwise(cfg.max_urls)
+    return ranked.where((F.col("kind") == FACTS) | (F.col("rank") <= cap)).drop("rank")
+
+
+def topics_of_states(states: DataFrame) -> DataFrame:
+    """One row per country-day from its states, with the text document."""
+    fact = lambda c: F.max(F.when(F.col("kind") == FACTS, F.col(c)))
+
+    def values(kind: int):
+        found = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
+        return F.when(F.size(found) > 0, found)
+
+    made = states.groupBy(*DAY_COUNTRY).agg(
+        fact("n").alias("headline_count"),
+        (fact("tone_sum") / F.nullif(fact("tone_count"), F.lit(0))).alias("avg_tone"),
+        fact("min_tone").alias("min_tone"),
+        fact("max_tone").alias("max_tone"),
+        values(CODE).alias("top_event_types"),
+        values(URL).alias("sample_urls"),
+    )
+    return made.withColumn("topic_doc", topic_doc())
+
+
+def country_topics(events: DataFrame, as_of: AsOf = None, cfg: PulseConfig = DEFAULTS) -> DataFrame:
+    """Count, tone, event codes, sample urls and a text document per country-day.
+
+    Arrays hold the smallest values, so the text is the same on every run. If a
+    country-day has no url, no code or no tone, its ``topic_doc`` is NULL.
+    """
+    recent = events.where(F.col("event_date") >= first_day(as_of, cfg.recent_days))
+    return topics_of_states(topic_states(recent, cfg))
 
 
 def topic_doc():

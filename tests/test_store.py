@@ -14,7 +14,7 @@ from pulse.plans.ledger import Ledger
 from pulse.schemas import EVENTS_FEED, TABLES
 from pulse.sinks.scratch import scratch_folder
 from pulse.sinks.tables import ConcurrentWrite, TableStore, export, unexpired
-from pulse.sources.feeds import read_events_feed, read_gkg_feed
+from pulse.sources.feeds import read_dirty_events_feed, read_dirty_gkg_feed, read_events_feed, read_gkg_feed
 
 
 @pytest.fixture(params=["root", "database"])
@@ -173,6 +173,33 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert store.read("events_raw").count() == 2
 
 
+def test_dirty_feeds(spark, tmp_path):
+    header = "\t".join(["extra", *reversed(EVENTS_FEED.fieldNames())])
+
+    def line(**given):
+        row = feed_event(**given)
+        return "\t".join(["e", *("" if row[c] is None else str(row[c]) for c in reversed(EVENTS_FEED.fieldNames()))])
+
+    lines = [
+        line(), line(SQLDATE=None), line(SQLDATE=20240230), line(SQLDATE="2024x"), line(AvgTone="warm"), "a\tb", line() + "\tmore",
+        "", line(SQLDATE=99), line(AvgTone=None),
+    ]
+    for k, part in enumerate((lines[:5], lines[5:])):
+        (tmp_path / f"f{k}.tsv").write_text("\n".join([header, *part]) + "\n")
+    good, rejected = read_dirty_events_feed(spark, str(tmp_path))
+    assert good.schema == EVENTS_FEED and good.count() == 3
+    reasons = sorted(r.reason for r in rejected.collect())
+    assert reasons == ["bad AvgTone", "bad SQLDATE", "bad line", "bad line", "impossible day", "impossible day"]
+    assert {r.line for r in rejected.where("reason = 'bad line'").collect()} == {"a\tb", line() + "\tmore"}
+    assert rejected.count() == 6
+    (tmp_path / "g.csv").write_text("date,DocumentIdentifier,V2Themes,V2Persons,V2Organizations\n20241301000000,u,a,b,c\n20240101000000,u,a,,c\n")
+    good, rejected = read_dirty_gkg_feed(spark, str(tmp_path / "g.csv"), "csv")
+    assert [(r.V2Themes, r.V2Persons) for r in good.collect()] == [("a", None)]
+    assert [r.reason for r in rejected.collect()] == ["impossible day"]
+    with pytest.raises(ValueError, match="missing columns"):
+        read_dirty_gkg_feed(spark, str(tmp_path / "f0.tsv"))
+
+
 # --- versions ------------------------------------------------------------------------
 def days_of(df):
     return sorted(str(r.event_date) for r in df.select("event_date").distinct().collect())

@@ -2,10 +2,18 @@ import datetime as dt
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from frames import AS_OF, DAY, frame, plan_of
 from pulse.config import PulseConfig
-from pulse.operators.topics import country_topics, today_for_analogs, top_countries
+from pulse.operators.topics import (
+    country_topics,
+    merged_states,
+    today_for_analogs,
+    top_countries,
+    topic_states,
+    topics_of_states,
+)
 from pulse.schemas import TABLES
 
 
@@ -84,9 +92,23 @@ def test_plan(spark, tmp_path):
     frame(spark, "events_raw", event()).write.partitionBy("event_date").parquet(path)
     made = country_topics(spark.read.schema(TABLES["events_raw"]).parquet(path), AS_OF)
     plan = plan_of(made)
-    assert plan.count("WindowGroupLimit") == 4  # codes and urls, both sides of the shuffle
+    assert plan.count("WindowGroupLimit") == 2  # both sides of the shuffle
+    assert plan.count("FileScan") == 1
     assert "Python" not in plan
     assert "event_date" in plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
     top = plan_of(top_countries(spark.read.schema(made.schema).parquet(path)))
     assert "TakeOrderedAndProject" in top
     assert "Subquery" in top.split("PartitionFilters: [", 1)[1]
+
+
+def test_states_of_parts_add_up(spark):
+    events = frame(
+        spark, "events_raw", event(country=None), event(tone=None), event(url=None, EventRootCode=None),
+        *(event(url=f"u{i:02d}", EventRootCode=f"{i:02d}", tone=i / 4, country="AB"[i % 2]) for i in range(90)),
+    )
+    parts = [topic_states(events.where(F.coalesce(F.crc32("url") % 3, F.lit(0)) == k)) for k in range(3)]
+    states = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    merged = topics_of_states(merged_states(states))
+    assert sorted(merged.collect()) == sorted(country_topics(events, AS_OF).collect())
+    # bounded: the numbers, 20 codes and 30 urls of each country-day
+    assert merged_states(states).count() == 2 * (1 + 20 + 30)
