@@ -42,6 +42,7 @@ MAX_BROADCAST_BYTES = 64 << 20
 # bytes of base vectors that a task holds, and anchors that pass one copy of the base
 BLOCK_BYTES = 64 << 20
 LANE_ANCHORS = 1 << 20
+BLOCK_ROWS = 4096
 PLACES = 9
 
 
@@ -205,11 +206,15 @@ def _scan(
 
 def _many(base: DataFrame, anchors: DataFrame, k: int, out: T.StructType, max_base_bytes: int) -> DataFrame:
     """Neighbours of more anchors than travel to every task."""
-    base_bytes = 8 * (base.agg(F.sum(F.size("vector"))).first()[0] or 0)
+    count, elements = base.agg(F.count("*"), F.sum(F.size("vector"))).first()
+    base_bytes = 8 * (elements or 0)
     if base_bytes <= max_base_bytes:
         shared = base.sparkSession.sparkContext.broadcast(_unpack(base.toArrow()))
         return anchors.mapInArrow(partial(_past, shared=shared, k=k, schema=_arrow(out)), out)
-    return _streamed(base, anchors, k, out, -(-base_bytes // BLOCK_BYTES))
+    # a block a core at least, unless blocks get so small that only copies of anchors are added
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-base_bytes // BLOCK_BYTES), min(cores, -(-count // BLOCK_ROWS)), 1)
+    return _streamed(base, anchors, k, out, blocks)
 
 
 def _past(batches: Iterator[pa.RecordBatch], shared, k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
