@@ -3,9 +3,10 @@
 An assistant message may hold ``{"tool_calls": [{"id", "name", "arguments", "needs"}]}``; a
 message of role ``tool`` holds ``{"tool_call_id", "content"}``. Calls and results are joined
 by conversation and identifier. A call comes after the calls it needs: its level is one more
-than the highest of theirs, found in rounds over all conversations at once (a round settles
-the calls whose needs are settled), so that no conversation is gathered in a task. Arguments
-are validated against the schema of the tool, and each call is written as canonical JSON:
+than the highest of theirs. Stretches of turns are contracted to the calls that other
+stretches need, then wider ones over what is left, and settled in the other order, so that the
+tables grow with the logarithm of a conversation. A task holds one stretch at a time: the calls
+of ``WIDTH`` turns, later the border calls of wider ones. Arguments are validated against the schema of the tool, and each call is written as canonical JSON:
 sorted keys, no spaces, text as it is.
 
 Defined cases: of repeated messages (equal conversation and turn) the least counts; of calls
@@ -20,9 +21,11 @@ part. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulse.llm.common import stored
@@ -37,6 +40,14 @@ SCHEMAS = {
 _TYPES = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict,
 }
+#: Turns of the narrowest stretch, and how many times wider the next ones are.
+WIDTH = 1024
+#: Parts of the calls of a chunk above which a contraction would not make it shorter.
+MOST_PARTS = 2_000_000
+#: Rows that a task reads before it works on the complete stretches among them.
+CHUNK = 50_000
+#: ``dist`` of a row that says that another stretch needs the call.
+WANTED = -1
 _CALLS = "tool_calls array<struct<id:string,name:string,arguments:string,needs:array<string>>>"
 _RESULT = "tool_call_id string, content string"
 
@@ -69,30 +80,151 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of calls given with their ``needs``; -1 in or after a cycle."""
-    known = calls.select("conv_id", F.col("call_id").alias("need"))
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    edges = stored(edges.join(known, ["conv_id", "need"], "left_semi"), "needs")
-    waiting = edges.select("conv_id", "call_id").distinct()
-    settled = stored(
-        calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)),
-        "levels",
-    )
-    fresh, left = settled, edges
-    while True:
-        met = left.join(fresh.select("conv_id", F.col("call_id").alias("need"), F.col("level").alias("below")), ["conv_id", "need"], "left")
-        # a need that is settled stays as a row that only carries its level
-        met = met.withColumn("done", F.greatest(F.col("below"), F.col("done")) if "done" in left.columns else F.col("below"))
-        met = stored(met.select("conv_id", "call_id", "need", "done"), "needs")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("done").alias("m"), F.max("done").alias("top"))
-        ready = ready.filter("n = m").select("conv_id", "call_id", (F.col("top") + 1).alias("level"))
-        fresh = stored(ready, "levels")
-        if not fresh.limit(1).count():
-            rest = met.select("conv_id", "call_id").distinct().withColumn("level", F.lit(-1))
-            return settled.unionByName(rest)
-        settled = settled.unionByName(fresh)
-        left = stored(met.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "needs")
+def _stretch(turn, width: int):
+    """First turn of the stretch of a turn; works on columns and numbers."""
+    return turn - (F.pmod(turn, F.lit(width)) if isinstance(turn, Column) else turn % width)
+
+
+def _forms(rows: pa.Table, width: int) -> tuple[dict, list, dict]:
+    """Calls of complete stretches in the order of their needs.
+
+    Returns the parts of each call (``None`` or a need, its turn, and a distance), the calls
+    that wait for no cycle inside their stretch, needs first, and the turn of each call. A
+    need in another stretch is a part like a settled level: nothing here waits for it.
+    """
+    parts: dict[tuple, list] = {}
+    turns: dict[tuple, int] = {}
+    columns = [rows.column(c).to_pylist() for c in ("conv_id", "call_id", "turn", "need", "need_turn", "dist")]
+    for conv, call, turn, need, need_turn, dist in zip(*columns, strict=True):
+        turns[conv, call] = turn
+        parts.setdefault((conv, call), []).append((need, need_turn, dist))
+    waits, open_needs = {}, {}
+    for (conv, call), own in parts.items():
+        inner = {n for n, t, _ in own if n is not None and _stretch(t, width) == _stretch(turns[conv, call], width)}
+        open_needs[conv, call] = len(inner)
+        for n in inner:
+            waits.setdefault((conv, n), []).append((conv, call))
+    order = [x for x, n in open_needs.items() if not n]
+    for x in order:  # grows while it is read
+        for y in waits.get(x, ()):
+            open_needs[y] -= 1
+            if not open_needs[y]:
+                order.append(y)
+    return parts, order, turns
+
+
+def _contract(rows: pa.Table, width: int, most_parts: int) -> list[tuple]:
+    """The wanted calls of complete stretches by levels outside their stretch only.
+
+    Where that would be longer than ``most_parts`` parts, the rows stay as they are.
+    """
+    wanted = rows.filter(pa.compute.fill_null(pa.compute.equal(rows.column("dist"), WANTED), False))
+    plain = rows.filter(pa.compute.fill_null(pa.compute.not_equal(rows.column("dist"), WANTED), True))
+    parts, order, turns = _forms(plain, width)
+    reduced: dict[tuple, dict] = {}
+    size = 0
+    for x in order:
+        own: dict = {}
+        for need, need_turn, dist in parts[x]:
+            inner = need is not None and _stretch(need_turn, width) == _stretch(turns[x], width)
+            for (n, t), d in reduced[x[0], need].items() if inner else [((need, need_turn), 0)]:
+                have = own.get((n, t), 0)
+                own[n, t] = None if d is None or dist is None or have is None else max(have, d + dist)
+        reduced[x] = own if own.get((None, None), 0) is not None else {(None, None): None}
+        size += len(reduced[x])
+        if size > most_parts:
+            return list(zip(*[plain.column(c).to_pylist() for c in plain.column_names], strict=True))
+    out = []
+    for conv, call in zip(wanted.column("conv_id").to_pylist(), wanted.column("call_id").to_pylist(), strict=True):
+        for (need, need_turn), dist in reduced.get((conv, call), {(None, None): None}).items():
+            out.append((conv, call, turns[conv, call], need, need_turn, dist))
+    return out
+
+
+def _settle(rows: pa.Table, width: int) -> list[tuple]:
+    """``conv_id, call_id, level`` of complete stretches whose needs are all inside."""
+    parts, order, _ = _forms(rows, width)
+    level = dict.fromkeys(parts, -1)
+    for x in order:
+        own = [dist if need is None else None if level[x[0], need] < 0 else level[x[0], need] + dist for need, _, dist in parts[x]]
+        level[x] = -1 if None in own else max(own)
+    return [(conv, call, n) for (conv, call), n in level.items()]
+
+
+def _by_stretch(rows: DataFrame, width: int, solve, schema: str) -> DataFrame:
+    """``solve`` on chunks of complete stretches, which lie in one task and follow each other."""
+    key = ["conv_id", _stretch(F.col("turn"), width)]
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
+        held, size, kind = [], 0, None
+
+        def answer(table):
+            found = solve(table, width)
+            return [pa.array(x, kind.field(c).type if c in kind.names else pa.int64()) for c, x in zip(names, zip(*found, strict=True), strict=True)] if found else None
+
+        for batch in batches:
+            kind = batch.schema
+            held.append(batch)
+            size += batch.num_rows
+            if size < CHUNK:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            conv, turn = table.column("conv_id").to_pylist(), table.column("turn").to_pylist()
+            last = (conv[-1], _stretch(turn[-1], width))
+            cut = size
+            while cut and (conv[cut - 1], _stretch(turn[cut - 1], width)) == last:
+                cut -= 1
+            if cut:
+                arrays = answer(table.slice(0, cut))
+                if arrays:
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+            held, size = table.slice(cut).to_batches(), size - cut
+        if size:
+            arrays = answer(pa.Table.from_batches(held))
+            if arrays:
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
+def levels(calls: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``conv_id, call_id, level`` of calls given with ``turn`` and ``needs``; -1 in or after a cycle.
+
+    A call is at 0 or at the highest ``level(need) + dist`` of its rows. Stretches of ``width``
+    turns are contracted to the calls that others need, written by needs in other stretches;
+    then stretches ``width`` times as wide, until no need leaves its stretch. The widest are
+    settled, and the narrower ones after them with the levels of what they need.
+    Tables grow with the logarithm of the longest conversation, at most two a width.
+    """
+    own = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"))
+    needs = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), F.explode(F.array_distinct("needs")).alias("need"))
+    needs = needs.join(own.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn")), ["conv_id", "need"])
+    base = own.withColumns({"need": F.lit(None).cast("string"), "need_turn": F.lit(None).cast("long"), "dist": F.lit(0).cast("long")})
+    rows = stored(base.unionByName(needs.withColumn("dist", F.lit(1).cast("long"))), "needs")
+    row_schema = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
+    level_schema = f"{row_schema.split(', ')[0]}, call_id string, level long"
+
+    def leaving(rows: DataFrame, width: int) -> DataFrame:
+        return rows.filter(_stretch(F.col("need_turn"), width) != _stretch(F.col("turn"), width))
+
+    steps = [(rows, width)]
+    while leaving(rows, width).limit(1).count():
+        asked = leaving(rows, width).select("conv_id", F.col("need").alias("call_id"), F.col("need_turn").alias("turn")).distinct()
+        asked = asked.withColumns({"need": F.lit(None).cast("string"), "need_turn": F.lit(None).cast("long"), "dist": F.lit(WANTED).cast("long")})
+        rows = stored(_by_stretch(rows.unionByName(asked), width, partial(_contract, most_parts=MOST_PARTS), row_schema), "needs")
+        width *= steps[0][1]
+        steps.append((rows, width))
+    found = None
+    for rows, width in reversed(steps):
+        if found is not None:
+            away = leaving(rows, width).join(found.select("conv_id", F.col("call_id").alias("need"), "level"), ["conv_id", "need"])
+            away = away.withColumn("dist", F.when(F.col("level") >= 0, F.col("level") + F.col("dist")))
+            away = away.withColumns({"need": F.lit(None).cast("string"), "need_turn": F.lit(None).cast("long")}).drop("level")
+            inside = rows.filter(F.col("need").isNull() | (_stretch(F.col("need_turn"), width) == _stretch(F.col("turn"), width)))
+            rows = inside.unionByName(away)
+        found = stored(_by_stretch(rows, width, _settle, level_schema), "levels")
+    return found
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:

@@ -487,3 +487,36 @@ def test_toxicity_on_awkward_rows(spark, awkward):
     got = by_id(found, "score", "predicted")
     assert got[3] == got[4]
     assert toxicity.score_toxicity(awkward.limit(0), toxicity.learn_lexicon(awkward, labels.limit(0))).count() == 0
+
+
+def test_levels_of_long_conversations(spark, monkeypatch):
+    """A chain of 2000 calls, branches, cycles and far needs against a plain worklist, at bounded tables."""
+    rng = np.random.default_rng(8)
+    needs = {(1, f"c{i}"): (i, [f"c{i - 2}"] if i > 1 else []) for i in range(2000)}
+    for i in range(600):
+        near = [f"b{max(0, i - int(x))}" for x in rng.integers(1, 9, 2)] if i else []
+        far = [f"b{int(rng.integers(0, i))}"] if i and i % 50 == 0 else []
+        needs[2, f"b{i}"] = (i // 2, [*near, *far, "nobody"])
+    needs |= {(3, f"d{i}"): (i * 7, [f"d{i + 1}"] if i < 99 else []) for i in range(100)}
+    needs |= {(4, f"e{i}"): (i * 9, [f"e{(i + 1) % 60}"] if i < 60 else [f"e{i - 30}"] if i < 80 else []) for i in range(100)}
+    needs |= {(5, "x"): (3, ["x"]), (5, "y"): (-40, ["x"]), (5, "z"): (10**12, [])}
+    expected, left = {}, {k: {n for n in own if (k[0], n) in needs} for k, (_, own) in needs.items()}
+    while True:
+        ready = [k for k, own in left.items() if all((k[0], n) in expected for n in own)]
+        if not ready:
+            break
+        for k in ready:
+            expected[k] = max((expected[k[0], n] + 1 for n in left.pop(k)), default=0)
+    expected |= dict.fromkeys(left, -1)
+    rows = [(conv, call, turn, own) for (conv, call), (turn, own) in needs.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, needs array<string>").repartition(5)
+    written = []
+    whole = toolcalls.stored
+    monkeypatch.setattr(toolcalls, "stored", lambda df, label: written.append(label) or whole(df, label))
+    for width in (16, 1024):
+        written.clear()
+        found = {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(calls, width).collect()}
+        assert found == expected and len(written) < 24
+    monkeypatch.setattr(toolcalls, "CHUNK", 10)
+    monkeypatch.setattr(toolcalls, "MOST_PARTS", 50)
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(calls, 16).collect()} == expected
