@@ -81,8 +81,12 @@ def canonical(value: object) -> str:
 
 
 def _stretch(turn, width: int):
-    """First turn of the stretch of a turn; works on columns and numbers."""
-    return turn - (F.pmod(turn, F.lit(width)) if isinstance(turn, Column) else turn % width)
+    """First turn of the stretch of a turn; works on columns and numbers.
+
+    Turn 0 is in the middle of a stretch, so that wide ones hold turns of both signs.
+    """
+    place = turn + width // 2
+    return turn - (F.pmod(place, F.lit(width)) if isinstance(turn, Column) else place % width)
 
 
 def _forms(rows: pa.Table, width: int) -> tuple[dict, list, dict]:
@@ -195,7 +199,8 @@ def levels(calls: DataFrame, width: int = WIDTH) -> DataFrame:
     turns are contracted to the calls that others need, written by needs in other stretches;
     then stretches ``width`` times as wide, until no need leaves its stretch. The widest are
     settled, and the narrower ones after them with the levels of what they need.
-    Tables grow with the logarithm of the longest conversation, at most two a width.
+    Tables grow with the logarithm of the longest conversation, at most two a width. Turns
+    are taken to be between -2**60 and 2**60.
     """
     own = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"))
     needs = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), F.explode(F.array_distinct("needs")).alias("need"))
@@ -213,7 +218,7 @@ def levels(calls: DataFrame, width: int = WIDTH) -> DataFrame:
         asked = leaving(rows, width).select("conv_id", F.col("need").alias("call_id"), F.col("need_turn").alias("turn")).distinct()
         asked = asked.withColumns({"need": F.lit(None).cast("string"), "need_turn": F.lit(None).cast("long"), "dist": F.lit(WANTED).cast("long")})
         rows = stored(_by_stretch(rows.unionByName(asked), width, partial(_contract, most_parts=MOST_PARTS), row_schema), "needs")
-        width *= steps[0][1]
+        width = min(width * steps[0][1], 1 << 62)
         steps.append((rows, width))
     found = None
     for rows, width in reversed(steps):
