@@ -22,7 +22,10 @@ def _like(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts whose language cannot be determined (null, empty, without a letter)."""
+    """Drops texts whose language cannot be determined (null, empty, without a letter).
+
+    Each row is judged by its text alone, so repeated rows and null ids are kept or dropped alike.
+    """
     found = identify_languages(docs, learn_languages(docs))
     return _like(docs, found.filter(F.col("lang_pred") != UNDETERMINED))
 
@@ -30,28 +33,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class of near duplicates.
 
-    Rows with a null id belong to no class and stay.
+    Rows with a null id belong to no class and stay. Of rows with equal id and text the least
+    one by its columns stays, also of those with a null id; rows with equal ids and texts
+    of different classes are different documents.
     """
     found = with_classes(docs)
-    return _like(docs, found.filter(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id"))))
+    kept = _like(docs, found.filter(F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id"))))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1")
+    if not repeated.limit(1).count():
+        return kept
+    rows = kept.groupBy("doc_id", F.sha2("text", 256).alias("__text")).agg(F.min(F.struct(*[f"`{c}`" for c in docs.columns])).alias("row"))
+    return rows.select("row.*")
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that repeat an earlier document; texts with nothing left go."""
+    """Cuts passages that repeat an earlier document; texts with nothing but white space left go.
+
+    Null and empty texts have nothing to cut and stay. Rows with equal ids do not cut each other.
+    """
     found = repeated_bytes(docs)
     kept = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.col("kept_text"))
     found = found.withColumn("text", kept).withColumn("n_chars", F.length("text").cast("long"))
-    return _like(docs, found.filter((F.col("n_removed") == 0) | (F.trim("text") != "")))
+    return _like(docs, found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\s]")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item.
+
+    Each row is judged by its text; null and empty texts hold none and stay, as do null ids without one.
+    """
     found = phrase_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _like(docs, found.filter(~F.col("contaminated")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates that move the domains to their target weights; documents with no copy go."""
+    """Rates that move the domains to their target weights; documents with no copy go.
+
+    Every row has its own rate; rows with equal texts have equal rates, null ids included.
+    """
     found = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.filter(F.col("copies") > 0).select(*[f"`{c}`" for c in docs.columns], "n_tokens", "rate", "copies")
 
