@@ -10,16 +10,16 @@ corpus. It is fitted on at most about ``PER_LANGUAGE`` rows of each language, ch
 hash of the id; prediction covers every row and its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything where
-there are no labelled rows. Rows with a null id are never learned from. Extra columns pass
+there are no labelled rows. Rows with a null id are never learned from and not held out. Repeated
+rows are each predicted; equal proportions go to the language first in order of text. Extra columns pass
 through; columns named as a result column are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +34,8 @@ STEPS = 12
 #: Grams overlap, so a letter is counted GRAM times; likelihoods are weighed accordingly.
 PENALTY = 2.0
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Digits, fractions, circled and Roman numerals are no letters.
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def gram_buckets(column) -> tuple[list[np.ndarray], np.ndarray]:
@@ -191,5 +192,5 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
     model = learn_languages(docs)
     found = identify_languages(docs.select("doc_id", "text"), model)
     return found.select(
-        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "lang_mix"
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "lang_mix"
     )

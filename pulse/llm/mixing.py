@@ -113,17 +113,19 @@ def _fit(texts: list[bytes], y: np.ndarray) -> DomainModel:
 def learn_domains(
     docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", most=MOST_LABELLED
 ) -> DomainModel:
-    """Fits the classifier on labelled rows."""
+    """Fits the classifier on labelled rows: an id counts once, with its worst label and least text."""
     good, toxic = F.col("quality").cast("int"), F.col("toxic").cast("int")
     marks = labels.select(
         F.col(id_col).alias("id"), F.when(toxic == 1, 2).when(good == 0, 1).when(good == 1, 0).alias("y")
     ).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
+    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
     n = marks.count()
     if not n:
         return DomainModel()
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(1 << 20)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = marks.filter(place < min(1.0, most / n)).join(texts, "id").orderBy("id", "text").select("text", "y")
+    sample = marks.filter(place < min(1.0, most / n)).join(texts, "id")
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("id").select("text", "y")
     rows = sample.mapInArrow(_sample_features, "y int, features binary").toArrow()
     if not rows.num_rows:
         return DomainModel()

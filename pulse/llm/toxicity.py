@@ -7,8 +7,9 @@ with its heaviest term, unless an exception phrase covers it. The sum and the su
 in words give the score through a logistic function.
 
 The terms, their weights, the exceptions and the logistic function are learned from at most
-about ``MOST_LABELLED`` labelled rows, chosen by a hash of the text, copies once; scoring
-covers every row and its whole text. Null and empty texts have no words and get the score
+about ``MOST_LABELLED`` labelled rows, chosen by a hash of the text, copies once. At most
+``MOST_TERMS`` terms, those with the greatest count times weight, and as many exceptions, the most
+frequent, are kept (equal ones: least text first); that bounds the model, not the texts. Scoring covers every row and its whole text. Null and empty texts have no words and get the score
 of a text without a match. Rows with a null label or id are not learned from. Without rows
 of both labels every score is the share of label 1 (0 if there is none). Extra columns pass
 through; columns named as a result column are replaced.
@@ -272,8 +273,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") ->
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from four of five id folds."""
+    """Toxicity of every document, learned from four of five id folds; a null id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_toxicity(docs, learn_lexicon(docs, labels))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_hits")
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")

@@ -80,6 +80,37 @@ def test_language_mixtures():
     assert [n for n, _ in model.infer(draw(2, 500))[0]] == ["c"]
 
 
+def test_signs_and_null_ids(spark, monkeypatch):
+    """Fractions and numerals are no letters; a null id is not held out."""
+    model = languages.MixtureModel(["a"], np.ones((1, languages.BUCKETS)))
+    texts = ["½ ² ①", "Ⅷ", "½ a", "一", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in languages.identify_languages(docs, model).collect()}
+    assert found == {0: "und", 1: "und", 2: "a", 3: "a", 4: "und", 5: "und"}
+    rows = spark.createDataFrame([(None, "word"), (1, "word")], "doc_id long, text string")
+    for module, learn, query in ((languages, "learn_languages", "op1_language_id"), (toxicity, "learn_lexicon", "op10_toxicity")):
+        fitted = model if module is languages else toxicity.Lexicon({}, (), (0.0, 0.0, 0.0))
+        monkeypatch.setattr(module, learn, lambda *a, fitted=fitted, **k: fitted)
+
+        class Session:
+            class read:  # noqa: N801
+                parquet = staticmethod(lambda path: rows)
+
+        assert {r.held_out for r in getattr(module, query)(Session, "").collect()} <= {True, False}
+
+
+def test_domain_sample_takes_an_id_once(spark):
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("some text").alias("text"))
+    labels = spark.createDataFrame([(1, 1, 0)] * 50, "doc_id long, quality int, toxic int")
+    sent = []
+    whole, mixing._fit = mixing._fit, lambda features, y: sent.append(len(features)) or mixing.DomainModel()
+    try:
+        mixing.learn_domains(docs, labels)
+    finally:
+        mixing._fit = whole
+    assert sent == [1]
+
+
 def test_languages_on_awkward_rows(awkward):
     model = languages.learn_languages(awkward)
     found = languages.identify_languages(awkward, model)

@@ -28,3 +28,12 @@ def test_awkward_documents(spark):
             docs = stored(stage(spark, docs, sf), "stage")
         ids = {r.doc_id for r in docs.collect()}
         assert not rows or (1 in ids and not ids & {3, 4, 6, 9})
+
+
+def test_repeated_rows_stay_once(spark):
+    text = "a passage of some words that is long enough to be told from any other"
+    rows = [(1, text, "en", "b", 3)] * 3 + [(1, text, "en", "a", 3), (2, "other words altogether in this one", "en", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(tuple(r) for r in found) == [rows[3], rows[4]]
+    assert [f.name for f in corpus_pipeline.near_dedup(spark, docs, "").schema] == docs.columns
