@@ -759,3 +759,23 @@ ORACLE: dict[str, str] = {
         "gkg_feed",
     ),
 }
+for _name in ("similar_to_day_post", "similar_to_day_pre", "similar_to_text"):
+    ORACLE[f"sql_{_name}"] = ORACLE[_name]
+ORACLE["regions_dated"] = with_tables(
+    """
+    select event_date, region, cast(sum(n) as bigint) as n,
+      cast(sum(case when known then n else 0 end) as bigint) as known
+    from (
+      select event_date, country, n, max_by(region, valid_from) as region, count(code) > 0 as known
+      from (select event_date, country, count(*) as n from raw group by event_date, country)
+      left join (
+        select n_name as code, r_name as region, date '2024-01-05' as valid_from, true as first
+        from nation join region on n_regionkey = r_regionkey
+        union all
+        select n_name, 'NEW ' || r_name, date '2024-01-15', false
+        from nation join region on n_regionkey = r_regionkey where n_nationkey % 2 = 0)
+      on code = country and (first or valid_from <= event_date)
+      group by event_date, country, n)
+    group by event_date, region""",
+    "raw",
+)

@@ -12,6 +12,7 @@ from checks import views
 from checks.views import AS_OF
 from pulse import fixed
 from pulse.functions.responses import blend_mood, parse_score, response_text
+from pulse.functions.searches import register_searches
 from pulse.functions.text import (
     capitalise,
     entity_list,
@@ -22,6 +23,7 @@ from pulse.functions.text import (
 )
 from pulse.models.local import HashedTerms, TemplateText
 from pulse.operators import annindex, briefings, entities, ingest, mood, topics, trends, vectors
+from pulse.operators.dimension import with_country
 from pulse.operators.knn import topk_cosine
 from pulse.plans.daily import run_daily
 from pulse.plans.ledger import Ledger
@@ -293,6 +295,29 @@ def similar_to_text(spark, d):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+def _searched_in_sql(spark, embeddings, call, mode="post"):
+    """Rows of a table function over a view of the embeddings."""
+    embeddings.createOrReplaceTempView("searched_embeddings")
+    EMBEDDING.sql_function(spark, "embed_text")
+    register_searches(spark, "searched_embeddings", "embed_text", mode=mode)
+    found = spark.sql(f"SELECT * FROM {call}")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def sql_similar_to_day_post(spark, d):
+    call = f"similar_to_day('{SIMILAR_COUNTRY}', DATE '{SIMILAR_DAY}')"
+    return _searched_in_sql(spark, views.dated_vectors(spark, d), call)
+
+
+def sql_similar_to_day_pre(spark, d):
+    call = f"similar_to_day('{SIMILAR_COUNTRY}', DATE '{SIMILAR_DAY}')"
+    return _searched_in_sql(spark, views.dated_vectors(spark, d), call, "pre")
+
+
+def sql_similar_to_text(spark, d):
+    return _searched_in_sql(spark, _Tables(spark, d).embeddings, f"similar_to_text('{QUERY_TEXT}')")
+
+
 def analogs_flat(spark, d):
     return _dated_analogs(spark, d).withColumn("distance", F.round("distance", 6))
 
@@ -457,6 +482,12 @@ def region_rollup(spark, d):
     return rolled.withColumn("mood", F.round("mood", 10))
 
 
+def regions_dated(spark, d):
+    """Events per day and region of their country on that day."""
+    rows = with_country(_raw(spark, d), views.dated_country_dim(spark, d), region="region", iso3="iso3")
+    return rows.groupBy("event_date", "region").agg(F.count("*").alias("n"), F.count("iso3").alias("known"))
+
+
 def full_run(spark, d):
     """Every table of the daily run, written and read back; the feed is the result."""
     store = TableStore(spark, root=scratch_folder(spark, "daily"))
@@ -627,7 +658,8 @@ QUERIES = {
         country_topics_from_states,
         top_countries_latest, today_for_analogs, news_embeddings, top_entities,
         top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, vector_topk_approx, similar_to_day_post,
-        similar_to_day_pre, similar_to_text, analogs_flat, analogs_flat_pre, analogs_nested,
+        similar_to_day_pre, similar_to_text, sql_similar_to_day_post, sql_similar_to_day_pre, sql_similar_to_text,
+        regions_dated, analogs_flat, analogs_flat_pre, analogs_nested,
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
         mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,

@@ -172,3 +172,12 @@ def country_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("name"),
         F.col("r_name").alias("region"),
     )
+
+
+def dated_country_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dimension with days: on January 15th every other nation comes to a new region."""
+    dim = country_dim(spark, sf_dir)
+    moved = dim.where(F.col("iso2").cast("int") % 2 == 0)
+    return dim.withColumn("valid_from", F.lit("2024-01-05")).unionByName(
+        moved.withColumns({"region": F.concat(F.lit("NEW "), "region"), "valid_from": F.lit("2024-01-15")})
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.binding import bind
@@ -47,6 +47,17 @@ class HashedTerms:
         unit = bind(places, lambda p: bind(self._counts(p), _unit))
         return F.when(text.isNotNull(), unit)
 
+    def sql_function(self, spark: SparkSession, name: str = "embed_text") -> None:
+        """The same vector as a temporary SQL function of a text."""
+        spark.sql(rf"""
+            CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS ARRAY<FLOAT> RETURN
+            SELECT CASE WHEN t IS NOT NULL THEN transform(counts, x -> CAST(x / greatest(
+                     sqrt(aggregate(counts, 0D, (total, y) -> total + y * y)), 1D) AS FLOAT)) END
+            FROM (SELECT transform(sequence(0, {self.dims} - 1), d ->
+                    CAST(size(filter(places, p -> p = d)) AS DOUBLE)) AS counts
+              FROM (SELECT transform(filter(split(lower(t), r'[^\p{{L}}\p{{N}}]+'), w -> w <> ''), w ->
+                      CAST(conv(substring(md5(w), 1, 8), 16, 10) AS BIGINT) % {self.dims}) AS places))""")
+
     def _place(self, term: Column) -> Column:
         return F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint") % self.dims
 

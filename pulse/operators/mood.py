@@ -11,6 +11,7 @@ from pulse.functions.responses import blend_mood, parse_score
 from pulse.functions.text import fill, readable_themes
 from pulse.models.contracts import GenerationOptions, TextModel
 from pulse.operators.briefings import ask, spread_for_inference
+from pulse.operators.dimension import with_country
 from pulse.operators.ranking import latest_day
 from pulse.operators.topics import DAY_COUNTRY
 
@@ -89,13 +90,10 @@ def mood_map_feed(
     """Latest mood per country with the map's codes, colour range and hover text.
 
     ``country_dim`` is (code, iso2, iso3, name, region), where ``code`` is what
-    ``country`` holds (ISO-2 or FIPS). An unknown code keeps its row with NULL
+    ``country`` holds (ISO-2 or FIPS); with ``valid_from`` it is matched by day. An unknown code keeps its row with NULL
     iso3. The join side is picked by size, so a small table is broadcast.
     """
-    dim = country_dim.select(
-        F.col("code").alias("country"), "iso3", F.col("name").alias("country_name"), "region"
-    )
-    joined = latest_day(mood).join(dim, "country", "left")
+    joined = with_country(latest_day(mood), country_dim, iso3="iso3", country_name="name", region="region")
     low, high = F.lit(cfg.mood_low), F.lit(cfg.mood_high)
     return joined.select(
         *DAY_COUNTRY,

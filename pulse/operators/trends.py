@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.operators.dimension import with_country
+
 FLAT = 1e-9  # a deviation below this is rounding of equal values
 
 
@@ -62,8 +64,7 @@ def region_rollup(
     that ``country_dim`` does not know has a NULL region of its own. Sums are combined on
     the map side, and rows are at most three times the country-days.
     """
-    dim = country_dim.select(F.col("code").alias("country"), "region")
-    rows = scores.join(dim, "country", "left").withColumn(
+    rows = with_country(scores, country_dim, region="region").withColumn(
         "__weight", F.when(F.col(score).isNotNull(), F.col(weight))
     )
     grouped = rows.groupingSets(

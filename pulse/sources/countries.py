@@ -27,3 +27,21 @@ def fips_countries(iso: DataFrame, fips_codes: DataFrame) -> DataFrame:
     Use this in place of ``iso_countries`` to read them as what they are.
     """
     return iso.drop("code").join(fips_codes.select(F.col("fips").alias("code"), "iso2"), "iso2")
+
+
+def dated_countries(iso: DataFrame, codes: DataFrame) -> DataFrame:
+    """The dimension keyed by the codes of a feed, with regions and the days they hold from.
+
+    ``codes`` is (code, iso2, region, valid_from); a code that came to mean another country
+    has several rows. An iso2 that ``iso`` does not know keeps its region, with NULL iso3 and name.
+    """
+    known = codes.select("code", "iso2", "region", F.to_date("valid_from").alias("valid_from"))
+    return known.join(iso.drop("code", "region"), "iso2", "left").select(
+        "code", "iso2", "iso3", "name", "region", "valid_from"
+    )
+
+
+def read_countries(spark: SparkSession, location: str) -> DataFrame:
+    """``dated_countries`` from a CSV file with the header code, iso2, region, valid_from."""
+    codes = spark.read.option("header", True).csv(location)
+    return dated_countries(iso_countries(spark), codes)

@@ -164,3 +164,26 @@ def test_country_dimensions(spark):
     fips = spark.createDataFrame([("GM", "DE"), ("GA", "GM")], "fips string, iso2 string")
     dim = {r.code: r.iso3 for r in fips_countries(iso, fips).collect()}
     assert dim == {"GM": "DEU", "GA": "GMB"}
+
+
+def test_countries_of_the_day(spark, tmp_path):
+    """An entry holds until the next one, the first before that too; ties and nulls are defined."""
+    import datetime as dt
+
+    from pulse.operators.dimension import with_country
+    from pulse.sources.countries import read_countries
+
+    lines = ["code,iso2,region,valid_from", "GM,DE,Europe,2020-01-01", "GM,GM,Africa,2024-01-10", "GM,ZZ,Zone,2024-01-10"]
+    lines += ["UK,GB,Europe,", ",FR,Europe,2020-01-01"]
+    path = tmp_path / "codes.csv"
+    path.write_text("\n".join(lines))
+    dim = read_countries(spark, str(path))
+    day = lambda n: dt.date(2024, 1, n)
+    rows = [("GM", day(9)), ("GM", day(10)), ("GM", dt.date(1990, 1, 1)), ("UK", day(1)), ("UK", None), ("GM", None), ("XX", day(1)), (None, day(1))]
+    found = with_country(spark.createDataFrame(rows * 2, "country string, event_date date"), dim, region="region", iso3="iso3").collect()
+    assert len(found) == 16
+    assert {(r.country, r.event_date): (r.region, r.iso3) for r in found} == {
+        ("GM", day(9)): ("Europe", "DEU"), ("GM", day(10)): ("Africa", "GMB"), ("GM", dt.date(1990, 1, 1)): ("Europe", "DEU"),
+        ("UK", day(1)): ("Europe", "GBR"), ("UK", None): ("Europe", "GBR"), ("GM", None): (None, None),
+        ("XX", day(1)): (None, None), (None, day(1)): (None, None),
+    }

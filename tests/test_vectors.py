@@ -277,3 +277,39 @@ def test_index_of_equal_vectors_and_of_nothing(spark, tmp_path):
     assert [id for _, id in found(annindex.search_index(index, anchors, 3, probes=4))["v0"]] == ["v0", "v1", "v10"]
     empty = annindex.build_index(base.limit(0), str(tmp_path / "e"))
     assert annindex.search_index(empty, anchors, 3).collect() == []
+
+
+def test_searches_as_sql_table_functions(spark):
+    """The same rows as the functions of DataFrames, planned without Python; odd vectors take no part."""
+    from pulse.functions.searches import register_searches
+    from pulse.models.local import HashedTerms
+    from pulse.operators.vectors import similar_to_day, similar_to_text
+
+    model = HashedTerms(8)
+    texts = ["war and peace", "peace deal", "Élan über alles", "", "war", "peace and war, peace"]
+    rows = [(dt.date(2024, 1, 1 + i % 3), f"C{i % 4}", f"{t} {i}" if t else "", f"id{i}") for i, t in enumerate(texts * 4)]
+    base = spark.createDataFrame(rows, "event_date date, country string, topic_doc string, id string")
+    base = base.withColumn("embedding", model.embed(F.col("topic_doc")))
+    odd = spark.createDataFrame(
+        [(dt.date(2024, 1, 2), "C9", "odd", f"odd{i}", v) for i, v in enumerate([None, [], [float("nan")] * 8, [0.0] * 8])],
+        "event_date date, country string, topic_doc string, id string, embedding array<float>",
+    )
+    table = base.unionByName(odd).cache()
+    table.createOrReplaceTempView("test_embeddings")
+    model.sql_function(spark, "test_embed")
+    embedded = base.select(F.col("embedding").alias("a"), F.expr("test_embed(topic_doc)").alias("b"))
+    assert embedded.where("not a <=> b").count() == 0
+    plain = lambda df: sorted((r.id, round(r.distance, 6)) for r in df.collect())
+    for mode in ("post", "pre"):
+        register_searches(spark, "test_embeddings", "test_embed", k=7, mode=mode)
+        found = spark.sql("SELECT * FROM similar_to_day('C1', DATE '2024-01-02')")
+        assert found.columns == ["event_date", "country", "topic_doc", "distance", "id"]
+        assert plain(found) == plain(similar_to_day(table, "C1", "2024-01-02", 7, mode)) != []
+    asked = spark.sql("SELECT * FROM similar_to_text('peace in our time')")
+    assert plain(asked) == plain(similar_to_text(table, "peace in our time", model, 7)) != []
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Python" not in plan and "MapInArrow" not in plan
+    for call in ("similar_to_text(NULL)", "similar_to_text('')", "similar_to_day('none', DATE '2024-01-02')"):
+        assert spark.sql(f"SELECT * FROM {call}").count() == 0
+    with pytest.raises(ValueError):
+        register_searches(spark, mode="other")
