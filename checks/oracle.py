@@ -453,6 +453,20 @@ _REPLY = """
   from events"""
 
 
+_BRIEFING_PROMPT = fill(
+    fixed.BRIEFING_PROMPT,
+    country="country",
+    themes="themes_nice",
+    people="people_nice",
+    context="ctx",
+    analogs="analogs_txt",
+)
+
+
+def _refused(text: str) -> str:
+    return f"(case when left(md5({text}), 1) in ('0', '1', '2') then 'ValueError: refused' end)"
+
+
 def _similar_to_day(pre: bool) -> str:
     other = f"event_date <> date '{SIMILAR_DAY}'"
     return with_tables(
@@ -547,6 +561,15 @@ ORACLE: dict[str, str] = {
         "from embedded",
         "embedded",
     ),
+    "news_embeddings_batched": with_tables(
+        f"""select event_date, country, topic_doc, id, {_refused('topic_doc')} as error,
+          case when topic_doc is not null and {_refused('topic_doc')} is null then array_to_string(list_transform(v, lambda x:
+            cast(round(cast(cast(x / sqrt(list_dot_product(v, v)) as float) as double) * 1000000) as bigint)), ',')
+          end as embedding
+        from (select *, [length(topic_doc), length(topic_doc) - length(replace(topic_doc, 'e', '')),
+            length(topic_doc) - length(replace(topic_doc, '7', '')), 1]::double[] as v from embedded)""",
+        "embedded",
+    ),
     "top_entities": with_tables(f"select {_ENTITY_PAIRS} from entities", "entities"),
     "top_entities_from_feeds": with_tables(f"select {_ENTITY_PAIRS} from entities", "entities"),
     "top_entities_unweighted": with_tables(
@@ -622,17 +645,7 @@ ORACLE: dict[str, str] = {
     "number_text": f"select event_id, {number('value - 100')} as value_text from events",
     "briefing_context": with_tables("select * from context", "context"),
     "briefing_prompt": with_tables(
-        "select event_date, country, "
-        + fill(
-            fixed.BRIEFING_PROMPT,
-            country="country",
-            themes="themes_nice",
-            people="people_nice",
-            context="ctx",
-            analogs="analogs_txt",
-        )
-        + " as prompt from context",
-        "context",
+        f"select event_date, country, {_BRIEFING_PROMPT} as prompt from context", "context"
     ),
     "response_normalise": f"""
       select conv_id, turn, coalesce(case when turn % 6 = 0 then text end, {_json('raw')}) as reply
@@ -643,6 +656,12 @@ ORACLE: dict[str, str] = {
     "mood_blend": f"select event_id, {blend(score('reply'), '((50 - value) / 10)')} as mood_score "
     f"from ({_REPLY})",
     "daily_briefings": with_tables("select * from briefings", "briefings"),
+    "daily_briefings_batched": with_tables(
+        f"""select event_date, country, 'briefing: ' || {_refused('prompt')} as error,
+          case when {_refused('prompt')} is null then '300 ' || md5(prompt) end as briefing_text
+        from (select *, {_BRIEFING_PROMPT} as prompt from context)""",
+        "context",
+    ),
     "sentiment_prompt": with_tables(
         "select event_date, country, "
         + fill(fixed.SENTIMENT_PROMPT, briefing="briefing_text")

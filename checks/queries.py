@@ -21,6 +21,7 @@ from pulse.functions.text import (
     readable_themes,
     snippet,
 )
+from pulse.models.batch import BatchEmbedding, BatchText, Calls
 from pulse.models.local import HashedTerms, TemplateText
 from pulse.operators import annindex, briefings, entities, ingest, mood, topics, trends, vectors
 from pulse.operators.dimension import with_country
@@ -63,6 +64,31 @@ def _entities(spark, d):
     return entities.top_entities_from_feeds(_raw(spark, d), views.gkg_feed(spark, d), AS_OF)
 
 
+def _unreliable():
+    """Raises for texts whose digest begins with 0, 1 or 2, and once for those with d, e or f.
+
+    A closure, so that it travels to the executors by value.
+    """
+
+    def check():
+        from hashlib import md5
+
+        failed = set()
+
+        def checked(texts):
+            for text in texts:
+                first = md5(text.encode()).hexdigest()[0]
+                if first in "012":
+                    raise ValueError("refused")
+                if first in "def" and text not in failed:
+                    failed.add(text)
+                    raise ConnectionError("busy")
+
+        return checked
+
+    return check
+
+
 class _Tables:
     """The tables of one daily run; those that are read more than once are stored."""
 
@@ -212,7 +238,27 @@ def today_for_analogs(spark, d):
 
 def news_embeddings(spark, d):
     text = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
-    made = vectors.embed_topics(_topics(spark, d), EMBEDDING)
+    made = vectors.embed_topics(_Tables(spark, d).topics, EMBEDDING)
+    return made.withColumn("embedding", F.array_join(text.cast("array<string>"), ","))
+
+
+def news_embeddings_batched(spark, d):
+    """Vectors of a model in Python, which fails on some documents for good and on some once."""
+    text = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
+
+    unreliable = _unreliable()
+
+    def load():
+        check = unreliable()
+
+        def infer(texts):
+            check(texts)
+            return [[len(t), t.count("e"), t.count("7"), 1] for t in texts]
+
+        return infer
+
+    model = BatchEmbedding(load, batch_size=32, calls=Calls(attempts=2, pause_seconds=0.0))
+    made = vectors.embedding_replies(_Tables(spark, d).topics, model)
     return made.withColumn("embedding", F.array_join(text.cast("array<string>"), ","))
 
 
@@ -435,6 +481,26 @@ def daily_briefings(spark, d):
     return _Tables(spark, d).briefings
 
 
+def daily_briefings_batched(spark, d):
+    """Replies of a model in Python, which fails on some prompts for good and on some once."""
+    unreliable = _unreliable()
+
+    def load(task, options):
+        from hashlib import md5
+
+        check = unreliable()
+
+        def infer(prompts):
+            check(prompts)
+            return [f"{options.max_output_tokens} {md5(p.encode()).hexdigest()}" for p in prompts]
+
+        return infer
+
+    tables = _Tables(spark, d)
+    model = BatchText(load, calls=Calls(attempts=2, pause_seconds=0.0))
+    return briefings.briefing_replies(tables.topics, tables.entities, tables.analogs, model)
+
+
 def sentiment_prompt(spark, d):
     return _Tables(spark, d).briefings.select(
         "event_date", "country", mood.sentiment_prompt().alias("prompt")
@@ -656,13 +722,13 @@ QUERIES = {
     for f in (
         ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, gkg_fields, gkg_fields_uncapped, country_topics,
         country_topics_from_states,
-        top_countries_latest, today_for_analogs, news_embeddings, top_entities,
+        top_countries_latest, today_for_analogs, news_embeddings, news_embeddings_batched, top_entities,
         top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, vector_topk_approx, similar_to_day_post,
         similar_to_day_pre, similar_to_text, sql_similar_to_day_post, sql_similar_to_day_pre, sql_similar_to_text,
         regions_dated, analogs_flat, analogs_flat_pre, analogs_nested,
         topic_analogs, theme_clean, people_clean, capitalised, url_free_text, number_text,
         briefing_context, briefing_prompt, response_normalise, score_parse, score_parse_lenient,
-        mood_blend, daily_briefings, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
+        mood_blend, daily_briefings, daily_briefings_batched, sentiment_prompt, summary_prompt, daily_mood, mood_map_feed,
         mood_trend, mood_shift, region_rollup, full_run, full_run_two_days, full_run_resumed, retention, stored_topics, expired_partitions, exported_topics, delimited_feed,
         delimited_feed_dirty, graph_feed_dirty,
         country_day_stream, country_day_stream_two_batches,

@@ -31,7 +31,9 @@ class PulseConfig:
     max_tokens: int = 300
     summary_tokens: int = 60
     temperature: float = 0.2
-    inference_partitions: int = 8
+    # rows that one task asks a model about
+    text_rows_per_task: int = 10
+    embed_rows_per_task: int = 4096
     # map
     mood_low: float = -1.0
     mood_high: float = 1.0

@@ -25,7 +25,8 @@ class EmbeddingModel(Protocol):
     def embed(self, text: Column) -> Column:
         """text -> array<float> of unit length; NULL text -> NULL.
 
-        Documents and queries must go through the same model.
+        Documents and queries must go through the same model. A model that can fail on
+        a text also has ``attempted``: text -> struct<reply: array<float>, error: string>.
         """
         ...
 
@@ -37,7 +38,8 @@ class TextModel(Protocol):
         """prompt -> struct<text: string, raw: string>, both nullable.
 
         ``text`` is a flat reply, ``raw`` a JSON response to look into when there
-        is none. ``task`` is ``briefing``, ``sentiment`` or ``summary``. ``facts``
+        is none. A model that can fail on a prompt adds ``error: string``, set where it
+        did. ``task`` is ``briefing``, ``sentiment`` or ``summary``. ``facts``
         are the columns the prompt was made of, for models that do not read prose.
         """
         ...

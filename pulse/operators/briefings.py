@@ -7,36 +7,12 @@ from pyspark.sql import functions as F
 
 from pulse import fixed
 from pulse.config import DEFAULTS, PulseConfig
-from pulse.functions.responses import response_text
 from pulse.functions.text import fill, readable_people, readable_themes, snippet
 from pulse.models.contracts import GenerationOptions, TextModel
+from pulse.operators.inference import ERROR, ask, spread_for_inference
 from pulse.operators.topics import DAY_COUNTRY, top_countries
 
 
-def ask(
-    rows: DataFrame,
-    model: TextModel,
-    task: str,
-    prompt,
-    facts,
-    options: GenerationOptions,
-    out: str,
-) -> DataFrame:
-    """Add the model's reply to ``prompt`` as column ``out``."""
-    replied = rows.withColumn("_reply", model.generate(task, prompt, facts, options))
-    text = response_text(F.col("_reply.text"), F.col("_reply.raw"))
-    return replied.withColumn(out, text).drop("_reply")
-
-
-def spread_for_inference(rows: DataFrame, cfg: PulseConfig) -> DataFrame:
-    """Barrier before a model: exactly the rows above it, over several tasks.
-
-    Without it a limit would be applied per partition below a Python model and
-    again above it, so the model would see rows that are then thrown away.
-    """
-    return rows.repartition(cfg.inference_partitions, *DAY_COUNTRY)
-
-
 def briefing_context(
     topics: DataFrame, entities: DataFrame, analogs: DataFrame, cfg: PulseConfig = DEFAULTS
 ) -> DataFrame:
@@ -83,15 +59,16 @@ def briefing_prompt():
     )
 
 
-def daily_briefings(
+def briefing_replies(
     topics: DataFrame,
     entities: DataFrame,
     analogs: DataFrame,
     model: TextModel,
     cfg: PulseConfig = DEFAULTS,
 ) -> DataFrame:
-    """(event_date, country, briefing_text); countries without a reply are left out."""
-    rows = spread_for_inference(briefing_context(topics, entities, analogs, cfg), cfg)
+    """(event_date, country, briefing_text, error), a row for every country that was asked about."""
+    context = briefing_context(topics, entities, analogs, cfg)
+    rows = spread_for_inference(context, DAY_COUNTRY, cfg.text_rows_per_task, at_most=cfg.top_n)
     facts = {
         "country": F.col("country"),
         "headline_count": F.col("headline_count"),
@@ -102,4 +79,16 @@ def daily_briefings(
     }
     options = GenerationOptions(cfg.temperature, cfg.max_tokens)
     replied = ask(rows, model, "briefing", briefing_prompt(), facts, options, "briefing_text")
-    return replied.select(*DAY_COUNTRY, "briefing_text").where(F.col("briefing_text").isNotNull())
+    return replied.select(*DAY_COUNTRY, "briefing_text", ERROR)
+
+
+def daily_briefings(
+    topics: DataFrame,
+    entities: DataFrame,
+    analogs: DataFrame,
+    model: TextModel,
+    cfg: PulseConfig = DEFAULTS,
+) -> DataFrame:
+    """(event_date, country, briefing_text); countries without a reply are left out."""
+    replied = briefing_replies(topics, entities, analogs, model, cfg).drop(ERROR)
+    return replied.where(F.col("briefing_text").isNotNull())

@@ -10,8 +10,8 @@ from pulse.config import DEFAULTS, PulseConfig
 from pulse.functions.responses import blend_mood, parse_score
 from pulse.functions.text import fill, readable_themes
 from pulse.models.contracts import GenerationOptions, TextModel
-from pulse.operators.briefings import ask, spread_for_inference
 from pulse.operators.dimension import with_country
+from pulse.operators.inference import ask, spread_for_inference
 from pulse.operators.ranking import latest_day
 from pulse.operators.topics import DAY_COUNTRY
 
@@ -51,7 +51,8 @@ def daily_mood(
     Rows without a score are dropped before the summary is asked for: the result
     is the same and no reply is paid for and thrown away.
     """
-    rows = spread_for_inference(mood_context(briefings, topics, entities), cfg)
+    context = mood_context(briefings, topics, entities)
+    rows = spread_for_inference(context, DAY_COUNTRY, cfg.text_rows_per_task, at_most=cfg.top_n)
     scored = ask(
         rows,
         model,

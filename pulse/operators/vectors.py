@@ -11,6 +11,7 @@ from pulse import fixed
 from pulse.config import DEFAULTS, PulseConfig
 from pulse.functions.text import fill, snippet
 from pulse.models.contracts import EmbeddingModel
+from pulse.operators.inference import ERROR, embed, spread_for_inference
 from pulse.operators.knn import topk_cosine
 from pulse.operators.ranking import first_n_per_group
 from pulse.operators.topics import DAY_COUNTRY
@@ -18,21 +19,33 @@ from pulse.operators.topics import DAY_COUNTRY
 FOUND = ["event_date", "country", "topic_doc", "distance", "id"]
 
 
-def embed_topics(
+def embedding_replies(
     topics: DataFrame, model: EmbeddingModel, cfg: PulseConfig = DEFAULTS
 ) -> DataFrame:
-    """One vector per country-day from the first ``embed_chars`` characters."""
+    """The rows of ``embed_topics`` with ``error``: why a document has no vector."""
     documents = topics.select(
         *DAY_COUNTRY, F.substring("topic_doc", 1, cfg.embed_chars).alias("topic_doc")
     )
-    return documents.select(
+    spread = spread_for_inference(documents, DAY_COUNTRY, cfg.embed_rows_per_task)
+    return embed(spread, model, "topic_doc").select(
         *DAY_COUNTRY,
         "topic_doc",
-        model.embed(F.col("topic_doc")).alias("embedding"),
+        "embedding",
         F.concat("country", F.lit("-"), F.col("event_date").cast("string")).alias("id"),
+        ERROR,
     )
 
 
+def embed_topics(
+    topics: DataFrame, model: EmbeddingModel, cfg: PulseConfig = DEFAULTS
+) -> DataFrame:
+    """One vector per country-day from the first ``embed_chars`` characters.
+
+    A document on which the model fails has a NULL vector, which no search finds.
+    """
+    return embedding_replies(topics, model, cfg).drop(ERROR)
+
+
 def similar_to_text(
     embeddings: DataFrame,
     query_text: str,

@@ -1,18 +1,20 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from frames import DAY, frame, plan_of
 from pulse.config import PulseConfig
-from pulse.models.batch import BatchEmbedding, BatchText
+from pulse.models.batch import BatchEmbedding, BatchText, Calls
 from pulse.models.local import TemplateText
-from pulse.operators.briefings import briefing_context, daily_briefings
+from pulse.operators.briefings import briefing_context, briefing_replies, daily_briefings
+from pulse.operators.inference import spread_for_inference
 from pulse.operators.mood import daily_mood, mood_map_feed
 from pulse.schemas import COUNTRY_DIM, TABLES
 from pulse.sources.countries import fips_countries, iso_countries
 
-CFG = PulseConfig(top_n=3, inference_partitions=2)
+CFG = PulseConfig(top_n=3, text_rows_per_task=2)
 
 
 def tables(spark, n=5, entities=True):
@@ -137,6 +139,63 @@ def test_wrong_number_of_replies_is_an_error(spark):
         daily_briefings(*tables(spark), model, CFG).collect()
 
 
+def test_calls_hold_texts_of_about_one_length():
+    calls = Calls(batch_size=3, batch_chars=100)
+    lengths = np.array([90, 1, 40, 2, 3, 41, 500, 4, 0])
+    cut = [lengths[places].tolist() for places in calls.cut(lengths)]
+    assert cut == [[0, 1, 2], [3, 4], [40, 41], [90], [500]]
+    assert sum(cut, []) == sorted(lengths)
+    assert list(calls.cut(lengths[:0])) == []
+
+
+def test_failed_calls_are_repeated_then_halved():
+    asked = []
+
+    def infer(texts):
+        asked.append(list(texts))
+        if "bad" in texts:
+            raise RuntimeError("no")
+        if asked.count(texts) == 1:
+            raise ConnectionError("busy")
+        return [t.upper() for t in texts]
+
+    made = list(Calls(attempts=2, pause_seconds=0).replies(infer, ["a", "b", "bad", "c"]))
+    assert made == [("A", None), ("B", None), (None, "RuntimeError: no"), ("C", None)]
+    assert [len(a) for a in asked] == [4, 4, 2, 2, 2, 2, 1, 1, 1, 1]
+    with pytest.raises(ValueError, match="another number"):
+        list(Calls().replies(lambda texts: [], ["a"]))
+
+
+def test_errors_are_reported(spark):
+    def load(task, options):
+        def infer(prompts):
+            if any("code C1." in p for p in prompts):
+                raise ValueError("refused")
+            return ["fine"] * len(prompts)
+
+        return infer
+
+    model = BatchText(load, calls=Calls(attempts=1, pause_seconds=0))
+    made = briefing_replies(*tables(spark), model, CFG)
+    rows = {r.country: (r.briefing_text, r.error) for r in made.collect()}
+    assert rows == {
+        "C0": ("fine", None), "C1": (None, "briefing: ValueError: refused"), "C2": ("fine", None)
+    }
+    assert sorted(r.country for r in daily_briefings(*tables(spark), model, CFG).collect()) == ["C0", "C2"]
+    local = briefing_replies(*tables(spark), TemplateText(), CFG)
+    assert {r.error for r in local.collect()} == {None}
+
+
+def test_the_barrier_is_sized_by_rows(spark):
+    keys = ["event_date", "country"]
+    rows = spark.range(95).selectExpr("date'2024-01-01' as event_date", "cast(id as string) as country").coalesce(1)
+    # AQE would join small partitions; the number asked for is in the plan
+    plan = lambda **how: plan_of(spread_for_inference(rows, keys, 10, **how))
+    assert "REPARTITION_BY_NUM" in plan() and ", 10)" in plan() and ", 3)" in plan(at_most=25)
+    assert spread_for_inference(rows, keys, 10).count() == 95
+    assert spread_for_inference(rows.limit(0), keys, 10).count() == 0
+
+
 def mood_rows(spark):
     row = lambda c, m, day=DAY: {"event_date": day, "country": c, "mood_score": m}
     return frame(
