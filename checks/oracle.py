@@ -51,6 +51,47 @@ def capitalise(x: str) -> str:
     )
 
 
+def url_key(x: str) -> str:
+    """Patterns and lists are written out here, not taken from the code under test."""
+    parts = r"^[ \t\r\n]*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+    part = lambda i: f"regexp_extract({x}, {lit(parts)}, {i})"
+    host = f"regexp_replace(lower({part(2)}), '^.*@', '')"
+    host = f"regexp_replace(regexp_replace({host}, '[.]?(:(80|443)?)?$', ''), '^www[.]', '')"
+    asked = (
+        f"list_sort(list_filter(string_split(trim({part(4)}), '&'), lambda p: p <> '' and not "
+        "regexp_matches(p, '^(utm_[^=]*|fbclid|gclid|ref)(=|$)')))"
+    )
+    return (
+        f"case when {part(1)} = '' then trim({x}) else "
+        f"case when lower({part(1)}) in ('http', 'https') then '' else lower({part(1)}) || '://' end || {host} || "
+        f"regexp_replace(trim({part(3)}), '/+$', '') || "
+        f"case when len({asked}) > 0 then '?' || array_to_string({asked}, '&') else '' end end"
+    )
+
+
+def page_text(x: str) -> str:
+    text = f"regexp_replace({x}, '(?s)<!--.*?(-->|\\z)', ' ', 'g')"
+    for name in "script style head nav header footer aside form noscript h[1-6]".split():
+        text = f"regexp_replace({text}, '(?is)<{name}\\b.*?(</{name}\\s*>|\\z)', ' ', 'g')"
+    article = "regexp_extract(t, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|\\z)', 1)"
+    text = f"(select case when {article} = '' then t else {article} end from (select {text} as t))"
+    inline = "a|abbr|b|big|cite|code|em|font|i|mark|q|s|small|span|strong|sub|sup|u"
+    text = f"regexp_replace({text}, '(?i)</?({inline})\\b[^<>]*>', '', 'g')"
+    text = f"regexp_replace({text}, '<[^<>]*>', ' ', 'g')"
+    characters = (
+        "nbsp= lt=< gt=> quot=\" #39=' apos=' copy=© middot=· hellip=… ndash=– mdash=— lsquo=‘ rsquo=’ ldquo=“ rdquo=” amp=&"
+    )
+    for name, character in (entry.split("=", 1) for entry in characters.split(" ")):
+        text = f"replace({text}, '&{name};', {lit(character or ' ')})"
+    return f"trim(regexp_replace({text}, '[\\x09-\\x0D\\x20]+', ' ', 'g'))"
+
+
+def opening(text: str, chars: int) -> str:
+    words = f"regexp_extract(left({text}, {chars + 1}), '(?s)^(.*) ', 1)"
+    short = f"case when {words} = '' then left({text}, {chars}) else {words} end"
+    return f"nullif(case when length({text}) <= {chars} then {text} else {short} end, '')"
+
+
 def themes_nice(x: str) -> str:
     text = f"lower(coalesce({x}, ''))"
     for pattern, replacement in fixed.THEME_REWRITES:
@@ -188,6 +229,22 @@ CTES: dict[str, str] = {
       from events join customer on user_id = c_custkey
       join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
       where cast(ts as date) >= date '2024-01-30' - 60""",
+    "spelled": r"""
+      select page_id, case page_id % 4
+        when 1 then regexp_replace(url, '^https?://', 'HTTPS://WWW.')
+        when 2 then regexp_replace(url, '#.*$', '') || case when contains(regexp_replace(url, '#.*$', ''), '?')
+          then '&' else '?' end || 'utm_source=feed'
+        when 3 then regexp_replace(url, '^(https?://[^/?#]+)', '\1:443')
+        else url end as url from pages""",
+    "paged": f"""
+      select event_date, country, {url_key('u')} as url_key from (
+        select r.event_date, r.country, coalesce(s.url, r.url) as u
+        from raw r left join spelled s on r.url = 'http://news.example/d/' || s.page_id)""",
+    "page_snippets": f"""
+      select url_key, min(snippet) as snippet from (
+        select {url_key('url')} as url_key, {opening('w', 300)} as snippet
+        from (select url, {page_text('html')} as w from pages))
+      where snippet is not null group by url_key""",
     "gkg_feed": f"""
       select (20240101 + doc_id % 30) * 1000000 + doc_id % 24 * 10000 as date,
         'http://news.example/d/' || (doc_id // 2) as DocumentIdentifier,
@@ -385,6 +442,7 @@ CTES |= {
 }
 
 NEEDS: dict[str, list[str]] = {
+    "paged": ["raw", "spelled"],
     "graph": ["gkg_feed"],
     "recent": ["raw"],
     "marked": ["raw"],
@@ -535,6 +593,24 @@ ORACLE: dict[str, str] = {
         f"array_to_string({entities('V2Organizations', 30)}, '|') as orgs from gkg_feed",
         "gkg_feed",
     ),
+    "canonical_urls": f"select page_id, url, {url_key('url')} as url_key from pages",
+    "page_openings": f"""select page_id, {opening('w', 300)} as snippet, md5(nullif(w, '')) as whole
+      from (select page_id, {page_text('html')} as w from pages)""",
+    "event_snippets": with_tables(
+        "select event_date, country, p.url_key, snippet, count(*) as n "
+        "from paged p left join page_snippets s on p.url_key = s.url_key group by all",
+        "paged",
+        "page_snippets",
+    ),
+    "country_snippets": with_tables(
+        """select event_date, country, string_agg(snippet, ' | ' order by r) as snippets from (
+          select *, row_number() over (partition by event_date, country order by n desc, snippet) as r from (
+            select event_date, country, snippet, count(*) as n
+            from paged join page_snippets using (url_key) group by all))
+        where r <= 3 group by all""",
+        "paged",
+        "page_snippets",
+    ),
     "gkg_fields_uncapped": with_tables(
         f"select date, DocumentIdentifier, "
         f"array_to_string({entities('V2Themes')}, '|') as themes, "

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from checks import views
 from checks.views import AS_OF
 from pulse import fixed
+from pulse.functions.pages import canonical_url, opening_words
 from pulse.functions.responses import blend_mood, parse_score, response_text
 from pulse.functions.searches import register_searches
 from pulse.functions.text import (
@@ -23,7 +24,7 @@ from pulse.functions.text import (
 )
 from pulse.models.batch import BatchEmbedding, BatchText, Calls
 from pulse.models.local import HashedTerms, TemplateText
-from pulse.operators import annindex, briefings, entities, ingest, mood, topics, trends, vectors
+from pulse.operators import annindex, briefings, entities, ingest, mood, snippets, topics, trends, vectors
 from pulse.operators.dimension import with_country
 from pulse.operators.knn import topk_cosine
 from pulse.plans.daily import run_daily
@@ -195,6 +196,33 @@ def enrich_gkg_hot(spark, d):
     return made.groupBy("event_date", "country", hot).agg(F.count("*").alias("n_rows"), *sizes)
 
 
+def canonical_urls(spark, d):
+    pages = views.table(spark, d, "pages")
+    return pages.select("page_id", "url", canonical_url(F.col("url")).alias("url_key"))
+
+
+def page_openings(spark, d):
+    """The first 300 characters of every page, and all that it says."""
+    pages = views.table(spark, d, "pages")
+    words = lambda chars: opening_words(F.col("html"), chars)
+    return pages.select("page_id", words(300).alias("snippet"), F.md5(words(None).cast("binary")).alias("whole"))
+
+
+def _with_snippets(spark, d):
+    raw = ingest.ingest_events(views.paged_events_feed(spark, d), AS_OF)
+    return snippets.with_snippets(raw, views.table(spark, d, "pages"))
+
+
+def event_snippets(spark, d):
+    """Events per day, country and address, with what its page says."""
+    events = _with_snippets(spark, d)
+    return events.groupBy("event_date", "country", "url_key", "snippet").agg(F.count("*").alias("n"))
+
+
+def country_snippets(spark, d):
+    return snippets.country_snippets(_with_snippets(spark, d))
+
+
 def gkg_fields(spark, d):
     return _gkg_fields(spark, d, 50, 30, 30)
 
@@ -720,7 +748,7 @@ def country_day_stream_two_batches(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, gkg_fields, gkg_fields_uncapped, country_topics,
+        ingest_events, enrich_gkg, enrich_gkg_latest, enrich_gkg_hot, canonical_urls, page_openings, event_snippets, country_snippets, gkg_fields, gkg_fields_uncapped, country_topics,
         country_topics_from_states,
         top_countries_latest, today_for_analogs, news_embeddings, news_embeddings_batched, top_entities,
         top_entities_from_feeds, top_entities_unweighted, vector_topk, vector_topk_all, vector_topk_approx, similar_to_day_post,

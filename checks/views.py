@@ -181,3 +181,19 @@ def dated_country_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dim.withColumn("valid_from", F.lit("2024-01-05")).unionByName(
         moved.withColumns({"region": F.concat(F.lit("NEW "), "region"), "valid_from": F.lit("2024-01-15")})
     )
+
+
+def paged_events_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events feed; urls with the number of a page become the page's, spelled in four ways."""
+    feed = events_feed(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
+    bare = F.regexp_replace("page_url", "#.*$", "")
+    spelled = (
+        F.when(F.col("page_id") % 4 == 1, F.regexp_replace("page_url", "^https?://", "HTTPS://WWW."))
+        .when(F.col("page_id") % 4 == 2, F.concat(bare, F.when(bare.contains("?"), "&").otherwise("?"), F.lit("utm_source=feed")))
+        .when(F.col("page_id") % 4 == 3, F.regexp_replace("page_url", "^(https?://[^/?#]+)", "$1:443"))
+        .otherwise(F.col("page_url"))
+    )
+    number = F.substring_index("SOURCEURL", "/", -1).cast("bigint")
+    joined = feed.join(pages.select("page_id", spelled.alias("page_url")), number == F.col("page_id"), "left")
+    return joined.withColumn("SOURCEURL", F.coalesce("page_url", "SOURCEURL")).drop("page_id", "page_url")

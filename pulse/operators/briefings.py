@@ -14,10 +14,17 @@ from pulse.operators.topics import DAY_COUNTRY, top_countries
 
 
 def briefing_context(
-    topics: DataFrame, entities: DataFrame, analogs: DataFrame, cfg: PulseConfig = DEFAULTS
+    topics: DataFrame,
+    entities: DataFrame,
+    analogs: DataFrame,
+    cfg: PulseConfig = DEFAULTS,
+    snippets: DataFrame | None = None,
 ) -> DataFrame:
     """Text inputs of a briefing, one row per top country of the latest day.
 
+    ``snippets`` (``operators.snippets.country_snippets``) follow the headlines in the
+    context, where there are some.
+
     Entities and analogs hold one row per country-day, so the left joins change
     no row count and the top-n cut can come first; only n rows are joined. The
     day is repeated on the other two tables, where it prunes partitions.
@@ -35,6 +42,9 @@ def briefing_context(
     joined = top.join(on_newest(entities, "top_themes", "top_people"), DAY_COUNTRY, "left").join(
         on_newest(analogs, "analogs_txt"), DAY_COUNTRY, "left"
     )
+    if snippets is not None:
+        joined = joined.join(on_newest(snippets, "snippets"), DAY_COUNTRY, "left")
+        joined = joined.withColumn("ctx", F.concat_ws("\n", "ctx", "snippets")).drop("snippets")
     themes = F.array_join("top_themes.theme", fixed.ENTITY_SEPARATOR)
     people = F.array_join("top_people.person", fixed.ENTITY_SEPARATOR)
     return joined.select(
@@ -65,9 +75,10 @@ def briefing_replies(
     analogs: DataFrame,
     model: TextModel,
     cfg: PulseConfig = DEFAULTS,
+    snippets: DataFrame | None = None,
 ) -> DataFrame:
     """(event_date, country, briefing_text, error), a row for every country that was asked about."""
-    context = briefing_context(topics, entities, analogs, cfg)
+    context = briefing_context(topics, entities, analogs, cfg, snippets)
     rows = spread_for_inference(context, DAY_COUNTRY, cfg.text_rows_per_task, at_most=cfg.top_n)
     facts = {
         "country": F.col("country"),
@@ -88,7 +99,8 @@ def daily_briefings(
     analogs: DataFrame,
     model: TextModel,
     cfg: PulseConfig = DEFAULTS,
+    snippets: DataFrame | None = None,
 ) -> DataFrame:
     """(event_date, country, briefing_text); countries without a reply are left out."""
-    replied = briefing_replies(topics, entities, analogs, model, cfg).drop(ERROR)
+    replied = briefing_replies(topics, entities, analogs, model, cfg, snippets).drop(ERROR)
     return replied.where(F.col("briefing_text").isNotNull())
