@@ -7,8 +7,9 @@ A page is cut into text blocks (its lines), each with what the markup says about
 * marked as something else: menus, headers and footers of the page, sidebars, adverts, forms,
   by element or role, or hidden; it goes;
 * open: neither. A class or id that names a part as something else (a whole token, not of
-  html, body, article, main or headings) only proposes that it goes: a named part inside an
-  article is open, one outside goes if the page has an article, else it is open.
+  html, body, article, main or headings; a number at its end does not count) only proposes that it
+  goes: a named part inside an article is open, but adverts, reader comments, sidebars and notices
+  of the site go; one outside goes if the page has an article, else it is open.
 
 Differencing settles the open lines. Pages of a host are put in order of the URL's path; the
 lines of a page are aligned with those of the pages before and after it by the longest common
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from hashlib import blake2b
 
@@ -44,6 +45,7 @@ from pyspark.sql import types as T
 from pulse.llm.common import slices, stored, without
 
 MANY = 1000
+FEW_PAIRS = 8  # pairs of equal lines per line up to which pages are aligned by them
 HOT_SHARE = 5000  # a host with more than one page in so many, and MANY, is cut
 
 # Elements and names of the parts of a page.
@@ -67,24 +69,31 @@ DROPPED_NAMES = frozenset(
     "recommended newsletter subscribe subscription signup login search pagination pager skip".split()
 )
 
+# Names of parts that are no article even inside one: adverts, reader comments, notices of the site, sidebars.
+FOREIGN_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup "
+    "modal sidebar comment comments commentlist respond replies disqus newsletter".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NUMBER = re.compile(r"[-_]?\d+$")  # comment-17 names a comment
 DROP, KEEP, OPEN, NAMED = 0, 1, 2, 3
 
 
-def _marked(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes mark something else, name something else, mark the article."""
+def _marked(attributes: str) -> tuple[bool, frozenset | set, bool]:
+    """Whether the attributes mark something else, the names of something else, whether they mark the article."""
     if not attributes.strip(" /"):
-        return False, False, False
+        return False, frozenset(), False
     found = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     roles = found.get("role", "").split()
-    names = set(found.get("class", "").split()) | set(found.get("id", "").split())
+    names = {_NUMBER.sub("", x) for x in (found.get("class", "") + " " + found.get("id", "")).split()}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return hidden or bool(DROPPED_ROLES & set(roles)), bool(names & DROPPED_NAMES), "main" in roles
+    return hidden or bool(DROPPED_ROLES & set(roles)), names & DROPPED_NAMES, "main" in roles
 
 
 def page_lines(html: str | None) -> list[tuple[str, int]]:
@@ -94,6 +103,7 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # element, inside a dropped part, the article, a named part
+    opened: dict[str, int] = defaultdict(int)  # elements of a name on the stack
     dropped = article = named = 0
     at, any_article = 0, False
 
@@ -120,13 +130,14 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         if close:
             if name in BLOCK_ELEMENTS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][1:] != (dropped, article, named):
-                        flush()
-                    _, dropped, article, named = stack[k]
-                    del stack[k:]
-                    break
+            if opened[name]:  # a closing tag without an opening one closes nothing
+                inner, before = None, (dropped, article, named)
+                while inner != name:
+                    inner, *state = stack.pop()
+                    opened[inner] -= 1
+                if tuple(state) != before:
+                    flush()
+                dropped, article, named = state
             continue
         if name in RAW_ELEMENTS:  # no markup inside
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
@@ -137,14 +148,18 @@ def page_lines(html: str | None) -> list[tuple[str, int]]:
         if name in VOID_ELEMENTS or attributes.rstrip().endswith("/"):
             continue
         away, other, is_main = _marked(attributes)
-        other = other and name not in UNNAMED_ELEMENTS and not is_main
+        if is_main or (name in UNNAMED_ELEMENTS and not (article and name == "article")):
+            other = frozenset()  # an article inside an article may be a comment on it
+        if article and other & FOREIGN_NAMES:
+            away = True
         if name in DROPPED_ELEMENTS or (name == "header" and not article):
             away = True
         starts = (name in ARTICLE_ELEMENTS or is_main) and not away and not dropped and not named
         if (away and not dropped) or (starts and not article) or (other and not named):
             flush()
         stack.append((name, dropped, article, named))
-        dropped, article, named = dropped or int(away), article or int(starts), named or int(other)
+        opened[name] += 1
+        dropped, article, named = dropped or int(away), article or int(starts), named or int(bool(other))
         any_article = any_article or starts
     flush()
     return [(t, (DROP if any_article else OPEN) if kind == NAMED else kind) for t, kind in lines]
@@ -160,8 +175,34 @@ def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row
 
 
+def _by_matches(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of ``x`` in a longest common subsequence with ``y``, from the pairs of equal lines (Hunt-Szymanski)."""
+    where = defaultdict(list)
+    for j in range(len(y) - 1, -1, -1):
+        where[int(y[j])].append(j)
+    ends: list[int] = []  # of the subsequences of each length, the least end in y
+    last: list[int] = []
+    place: list[int] = []
+    link: list[int] = []
+    for i, line in enumerate(x.tolist()):
+        for j in where[line]:
+            k = bisect_left(ends, j)
+            place.append(i)
+            link.append(last[k - 1] if k else -1)
+            ends[k : k + 1], last[k : k + 1] = [j], [len(place) - 1]
+    out, at = [], last[-1] if last else -1
+    while at >= 0:
+        out.append(place[at])
+        at = link[at]
+    return out[::-1]
+
+
 def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of ``a`` that a longest common subsequence with ``b`` keeps (Hirschberg)."""
+    """Places of ``a`` that a longest common subsequence with ``b`` keeps.
+
+    Pages whose lines seldom repeat are aligned by their pairs of equal lines, in time that hardly exceeds the
+    number of lines; others by Hirschberg, in the product of the numbers of lines.
+    """
     lo, ends = 0, (len(a), len(b))
     while lo < min(ends) and a[lo] == b[lo]:
         lo += 1
@@ -172,6 +213,9 @@ def common_lines(a: np.ndarray, b: np.ndarray) -> list[int]:
     a, b = a[lo : len(a) - tail], b[lo : len(b) - tail]
     ia, ib = np.flatnonzero(np.isin(a, b)), np.flatnonzero(np.isin(b, a))  # others align with nothing
     x, y = a[ia], b[ib]
+    lines, often = np.unique(y, return_counts=True)
+    if len(y) and often[np.searchsorted(lines, x)].sum() <= FEW_PAIRS * (len(x) + len(y)):
+        return out + [lo + int(ia[f]) for f in _by_matches(x, y)] + last
     todo = [(0, len(x), 0, len(y))]
     found: list[int] = []
     while todo:

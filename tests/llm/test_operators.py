@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -172,6 +173,38 @@ def test_names_only_propose():
     assert kept("<div class=ad>buy</div><article>own</article>", pages.DROP) == ["buy"]
 
 
+def test_comments_and_adverts_inside_an_article_go():
+    found = pages.page_lines(
+        "<article><p>text</p><div class=ad-3>buy</div><section class='comments'><p>Nice!</p><div class=ad>more</div></section>"
+        "<div id='comment-1'>hey</div><article class='comment even'>you</article><p>end</p><aside>s</aside></article>after"
+    )
+    assert [t for t, kind in found if kind == pages.KEEP] == ["text", "end"]
+    assert [t for t, kind in found if kind == pages.OPEN] == ["after"]
+
+
+def test_long_and_broken_pages():
+    broken = "<article>" + "<b>x</i>" * 60_000 + "</article>y" + "</p></b>" * 60_000 + "<div>" * 60_000 + "z"
+    started = time.process_time()
+    kinds = {t: kind for t, kind in pages.page_lines(broken)}
+    assert kinds == {"x" * 60_000: pages.KEEP, "y": pages.OPEN, "z": pages.OPEN}
+    a = np.arange(200_000)
+    b = np.concatenate([a[1::2], a[::2]])  # no common end, every line in both
+    assert len(pages.common_lines(a, b)) == 100_000
+    assert time.process_time() - started < 20
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_both_ways_of_aligning_are_longest(monkeypatch, few):
+    monkeypatch.setattr(pages, "FEW_PAIRS", few)
+    rng = np.random.default_rng(few)
+    for _ in range(200):
+        a, b = (rng.integers(0, 9, rng.integers(0, 40)) for _ in range(2))
+        kept = pages.common_lines(a, b)
+        assert len(kept) == pages._row(a, b)[-1] and kept == sorted(set(kept))
+        rest = iter(b.tolist())
+        assert all(x in rest for x in a[kept].tolist())
+
+
 @pytest.mark.parametrize("many", [1, 3, 1000])
 def test_neighbours_at_every_size(spark, monkeypatch, many):
     monkeypatch.setattr(pages, "MANY", many)
