@@ -358,19 +358,26 @@ def repeated_bytes(
             np.minimum.at(least, cls, own.ids[rows[which]])
             yield int(shard[which[0]]), which, head, cls, least, matrix, rows, first
 
+    def in_order(table: pa.Table) -> pa.Table:
+        """The rows of a batch in an order that does not depend on how they came."""
+        return table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+
     def sends_texts(key, table, notes):
         if not table.num_rows or not notes.num_rows:
             return _notes([])
         batch = table.column(BATCH)[0].as_py()
-        own = _Anchors(table, id_col, text_col)
+        own = _Anchors(in_order(table), id_col, text_col)
         pack = zstandard.ZstdCompressor(level=1)
-        out = [
-            (shard, batch, pack.compress(_bytes(matrix[which[head]])), _bytes(least))
-            for shard, which, head, _, least, matrix, *_ in by_shard(own, notes)
-        ]
-        # what this batch was told comes back to it with the answers of the shards
-        told = zip(*(notes.column(c).to_pylist() for c in ("part", "a", "b")), strict=True)
-        return _notes(out + [(-1 - p * (1 << 32) - batch, batch, a, b) for p, a, b in told])
+        out = []
+        for shard, which, head, cls, least, matrix, rows, first in by_shard(own, notes):
+            out.append((shard, batch, pack.compress(_bytes(matrix[which[head]])), _bytes(least)))
+            # where the answers go comes back to this batch with them, so that no window is sought twice
+            # (an Arrow string column holds less than 2**31 bytes)
+            windows = matrix[which, _WIDTH] - np.uint8(SPAN - 1)
+            later = own.ids[rows[which]] > least[cls]
+            places = [x.tobytes() for x in (first[which].astype(np.uint32), cls.astype(np.uint32), windows, later)]
+            out.append((-1 - batch, batch, pack.compress(b"".join(places)), shard.to_bytes(8, "little")))
+        return _notes(out)
 
     def settles(key, table):
         if key[0].as_py() < 0:
@@ -401,30 +408,33 @@ def repeated_bytes(
     columns = docs.columns
 
     def removes(key, table, notes):
-        own = _Anchors(table, id_col, text_col)
-        change = np.zeros(len(own.data) + 1, np.int32)
-        answers, told = {}, []
+        table = in_order(table)
+        data, starts = utf8(table.column(text_col))
+        change = np.zeros(len(data) + 1, np.int32)
+        unpack = zstandard.ZstdDecompressor()
+        answers, sent = {}, []
         for part, a, b in zip(*(notes.column(c).to_pylist() for c in ("part", "a", "b")), strict=True):
             if part >= 0:
                 answers[part] = np.frombuffer(a, np.uint32)
             else:
-                told.append(((-1 - part) >> 32, None, a, b))
-        for shard, which, _, cls, least, matrix, rows, first in by_shard(own, _notes(told)):
-            n = matrix[which, _WIDTH].astype(np.int64) - SPAN + 1
-            later = own.ids[rows[which]] > least[cls]
+                sent.append((int.from_bytes(b, "little"), unpack.decompress(a)))
+        for shard, places in sent:
+            count = len(places) // 10
+            first, cls = np.frombuffer(places, np.uint32, 2 * count).reshape(2, count).astype(np.int64)
+            n, later = np.frombuffer(places, np.uint8, offset=8 * count).reshape(2, count)
             masks = np.where(later, np.uint32(0xFFFFFFFF), answers[shard][cls])
             for k in range(int(n.max())):
                 hit = (k < n) & ((masks >> np.uint32(k)) & 1).astype(bool)
-                s = first[which[hit]] + k
+                s = first[hit] + k
                 np.add.at(change, s, 1)
                 np.add.at(change, s + SPAN, -1)
         gone = np.cumsum(change[:-1]) > 0
         size, removed, spans, sha, kept = [], [], [], [], []
-        for lo, hi in zip(own.starts[:-1], own.starts[1:], strict=True):
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             mark = gone[lo:hi]
             size.append(int(hi - lo))
             removed.append(int(mark.sum()))
-            rest = own.data[lo:hi]
+            rest = data[lo:hi]
             if removed[-1]:
                 spans.append(int(mark[0]) + int((mark[1:] & ~mark[:-1]).sum()))
                 rest = rest[~mark]
