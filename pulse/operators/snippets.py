@@ -30,11 +30,12 @@ def page_snippets(
     order = F.col(version) if version else F.lit(0)
     short = pages.select(
         canonical_url(F.col(url)).alias("url_key"), opening_words(F.col(html), chars).alias("snippet"), order.alias("v")
-    ).where(F.col("url_key").isNotNull() & F.col("snippet").isNotNull())
+    ).where(F.col("url_key").isNotNull())
+    # pages without text go after they were combined: a filter before would read each page twice
+    versions = short.groupBy("url_key", "v").agg(F.min("snippet").alias("snippet")).where(F.col("snippet").isNotNull())
     if not version:
-        return short.groupBy("url_key").agg(F.min("snippet").alias("snippet"))
-    newest = short.groupBy("url_key", "v").agg(F.min("snippet").alias("snippet"))
-    rows = newest.groupBy("url_key").agg(F.max(F.struct("v", "snippet")).alias("row"))
+        return versions.drop("v")
+    rows = versions.groupBy("url_key").agg(F.max(F.struct("v", "snippet")).alias("row"))
     return rows.select("url_key", "row.snippet")
 
 
