@@ -642,8 +642,8 @@ ORACLE: dict[str, str] = {
           case when topic_doc is not null and {_refused('topic_doc')} is null then array_to_string(list_transform(v, lambda x:
             cast(round(cast(cast(x / sqrt(list_dot_product(v, v)) as float) as double) * 1000000) as bigint)), ',')
           end as embedding
-        from (select *, [length(topic_doc), length(topic_doc) - length(replace(topic_doc, 'e', '')),
-            length(topic_doc) - length(replace(topic_doc, '7', '')), 1]::double[] as v from embedded)""",
+        from (select *, [length(d), length(d) - length(replace(d, 'e', '')), length(d) - length(replace(d, '7', '')),
+            1]::double[] as v from (select *, coalesce(topic_doc, '') as d from embedded))""",
         "embedded",
     ),
     "top_entities": with_tables(f"select {_ENTITY_PAIRS} from entities", "entities"),
