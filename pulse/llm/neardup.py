@@ -43,6 +43,8 @@ BANDS = 32
 #: Times that members apart from the largest component of a key meet one more of it.
 ROUNDS = 3
 _PLACES = ROWS * BANDS
+#: Rows of keys, pairs and labels that one task writes.
+TASK_ROWS = 1 << 18
 
 
 def shingles(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,19 +213,32 @@ def _similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "a long, b long, sim double")
 
 
+def _narrow(df: DataFrame, label: str, rows: int) -> DataFrame:
+    """``stored`` for at most ``rows`` rows of a few numbers, by no more tasks than they need.
+
+    A file per shuffle partition costs more than its rows where a table is small, and each
+    later stage would read all of them.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return stored(df.coalesce(tasks), label)
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """Least id of the component of every linked id: (id, class_id).
 
     Every round moves each label to the least label among the neighbours' and then to that
     label's own label; rounds end when nothing changes, each is a written table.
     """
-    edges = stored(
+    ends = 2 * links.count()
+    edges = _narrow(
         links.select(F.col("a").alias("x"), F.col("b").alias("y"))
         .unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y")))
         .distinct(),
         label,
+        ends,
     )
-    labels = stored(edges.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("class_id")), label)
+    least = edges.groupBy(F.col("x").alias("id")).agg(F.least("id", F.min("y")).alias("class_id"))
+    labels = _narrow(least, label, ends)
     while True:
         near = (
             edges.join(labels.select(F.col("id").alias("y"), "class_id"), "y")
@@ -232,14 +247,26 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         )
         moved = labels.join(near, "id").select("id", F.least("class_id", "near").alias("to"), F.col("class_id").alias("was"))
         jump = labels.select(F.col("id").alias("to"), F.col("class_id").alias("further"))
-        moved = stored(
-            moved.join(jump, "to").select("id", F.least("to", "further").alias("class_id"), "was"), label
-        )
+        moved = moved.join(jump, "to").select("id", F.least("to", "further").alias("class_id"), "was")
+        moved = _narrow(moved, label, ends)
         labels = moved.select("id", "class_id")
         if not moved.filter(F.col("class_id") != F.col("was")).limit(1).count():
             return labels
 
 
+def merged(labels: DataFrame, new: DataFrame, label: str = "components") -> DataFrame:
+    """The labels of ``components`` after the stored links ``new``: only their components are labelled again."""
+    n = 2 * new.count()
+    ends = new.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left")
+    ends = _narrow(ends.select("id", F.coalesce("class_id", "id").alias("class_id")), label, n)
+    joined = new.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b")
+    joined = _narrow(joined.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), label, n)
+    onto = components(joined, label).toDF("class_id", "least")
+    known = labels.unionByName(ends).distinct().join(onto, "class_id", "left")
+    known = known.select("id", F.coalesce("least", "class_id").alias("class_id"))
+    return _narrow(known, label, labels.count() + n)
+
+
 def near_classes(
     docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY
 ) -> DataFrame:
@@ -259,20 +286,23 @@ def near_classes(
     )
     keys = one.select("copy", "size", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.min(F.struct("copy", "size")).alias("pivot"), F.count("*").alias("n"))
-    full = stored(full.filter("n > 1").select("key", "pivot"), "keys")
-    members = stored(keys.join(full, "key"), "members")
+    n_texts = one.count()
+    n_keys = BANDS * n_texts
+    full = _narrow(full.filter("n > 1").select("key", "pivot"), "keys", n_keys)
+    members = _narrow(keys.join(full, "key"), "members", n_keys)
+    n_members = members.count()
 
     def fits(a, b):
         return F.least(a, b) >= similarity * F.greatest(a, b)
 
     apart = (F.col("copy") != F.col("pivot.copy")) & fits(F.col("size"), F.col("pivot.size"))
     pairs = members.filter(apart).select(F.col("copy").alias("a"), F.col("pivot.copy").alias("b"))
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = _narrow(pairs.distinct(), "pairs", n_members)
     wanted = one.join(members.select("copy").distinct(), "copy", "left_semi").select(F.col("rep").alias("id"))
     bags = texts.join(wanted, "id", "left_semi").mapInArrow(_bags, "copy long, h binary, n binary")
     bags = stored(bags, "bags")
     tested = _similarities(pairs, bags).groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    tested = stored(tested, "tested")
+    tested = _narrow(tested, "tested", n_members)
     links = tested.filter(F.col("sim") >= similarity).select("a", "b")
     labels = components(links)
 
@@ -281,14 +311,14 @@ def near_classes(
         own = members.join(labels.withColumnRenamed("id", "copy"), "copy", "left").select(
             "key", "copy", "size", F.col("pivot.copy").alias("pivot"), F.coalesce("class_id", "copy").alias("class_id")
         )
-        own = stored(own, "own")
+        own = _narrow(own, "own", n_members)
         split = own.groupBy("key").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"))
-        split = stored(split.filter("lo < hi").select("key"), "split")
-        return stored(own.join(split, "key"), "apart")
+        split = _narrow(split.filter("lo < hi").select("key"), "split", n_members)
+        return _narrow(own.join(split, "key"), "apart", n_members)
 
     def untested(found: DataFrame) -> DataFrame:
         ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return stored(ordered.join(seen, ["a", "b"], "left_anti"), "pairs")
+        return ordered.join(seen, ["a", "b"], "left_anti")
 
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for again in range(ROUNDS):
@@ -298,28 +328,31 @@ def near_classes(
             F.count("*").alias("n"), F.min(F.struct(F.xxhash64("copy", "key", F.lit(again)), "copy", "size")).alias("p")
         )
         most = crowd.groupBy("key").agg(F.max(F.struct("n", "class_id", "p")).alias("m"))
-        most = stored(most.select("key", F.col("m.class_id").alias("within"), "m.p.copy", "m.p.size").toDF("key", "within", "other", "other_size"), "most")
+        most = most.select("key", F.col("m.class_id").alias("within"), "m.p.copy", "m.p.size").toDF("key", "within", "other", "other_size")
+        most = _narrow(most, "most", n_members)
         met = own.join(most, "key").filter((F.col("class_id") != F.col("within")) & fits(F.col("size"), F.col("other_size")))
-        fresh = _similarities(untested(met.select(F.col("copy").alias("a"), F.col("other").alias("b"))), bags)
-        fresh = stored(fresh.groupBy("a", "b").agg(F.max("sim").alias("sim")), "tested")
-        seen = stored(seen.unionByName(fresh.select("a", "b")), "seen")
-        new = fresh.filter(F.col("sim") >= similarity).select("a", "b")
+        met = untested(met.select(F.col("copy").alias("a"), F.col("other").alias("b")))
+        fresh = _similarities(_narrow(met, "pairs", n_members), bags)
+        fresh = _narrow(fresh.groupBy("a", "b").agg(F.max("sim").alias("sim")), "tested", n_members)
+        seen = _narrow(seen.unionByName(fresh.select("a", "b")), "seen", (again + 2) * n_members)
+        new = _narrow(fresh.filter(F.col("sim") >= similarity).select("a", "b"), "new", n_members)
         if not new.limit(1).count():
             break
-        links = stored(links.unionByName(new), "links")
-        labels = components(links)
+        links = _narrow(links.unionByName(new), "links", (again + 2) * n_members)
+        labels = merged(labels, new)
 
     # what is apart now meets by its rarest shingles, which misses no pair
-    left = stored(still_apart(labels).select("copy", "size", "class_id").distinct(), "left")
+    left = _narrow(still_apart(labels).select("copy", "size", "class_id").distinct(), "left", n_members)
     single = bags.join(left.select("copy"), "copy", "left_semi").mapInArrow(_elements, "copy long, e long").distinct()
     single = stored(single, "elements")
-    rarity = stored(single.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "rarity")
+    n_elements = single.count()
+    rarity = _narrow(single.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1"), "rarity", n_elements)
     ranked = single.join(rarity, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     place = F.row_number().over(Window.partitionBy("copy").orderBy("df", "e"))
     prefix = ranked.withColumn("place", place).join(left, "copy").filter(
         (F.col("df") > 1) & (F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1)
     )
-    prefix = stored(prefix.select("e", "copy", "size", "class_id", "place"), "prefix")
+    prefix = _narrow(prefix.select("e", "copy", "size", "class_id", "place"), "prefix", n_elements)
     x, y = prefix.alias("x"), prefix.alias("y")
     # where the first shared shingle stands bounds what can still be shared from there on
     most_shared = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
@@ -332,16 +365,16 @@ def near_classes(
         & fits(F.col("x.size"), F.col("y.size"))
         & (most_shared >= shared),
     )
-    rest = untested(rest.select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b")))
-    more = _similarities(rest, bags).filter(F.col("sim") >= similarity).select("a", "b")
+    rest = stored(untested(rest.select(F.col("x.copy").alias("a"), F.col("y.copy").alias("b"))), "pairs")
+    more = stored(_similarities(rest, bags).filter(F.col("sim") >= similarity).select("a", "b").distinct(), "new")
     links = stored(links.unionByName(more).distinct(), "links")
-    labels = components(links)
+    labels = merged(labels, more)
     degree = links.select(F.explode(F.array("a", "b")).alias("copy")).groupBy("copy").agg(F.count("*").alias("n_links"))
     named = one.select("copy", "rep").join(labels.withColumnRenamed("id", "copy"), "copy", "left")
     named = named.join(degree, "copy", "left").withColumn("label", F.coalesce("class_id", "copy"))
-    least = stored(named.groupBy("label").agg(F.min("rep").alias("class_id")), "classes")
-    named = stored(named.drop("class_id"), "named")
-    named = stored(named.join(least, "label").select("copy", "rep", "class_id", "n_links"), "named")
+    least = _narrow(named.groupBy("label").agg(F.min("rep").alias("class_id")), "classes", n_texts)
+    named = _narrow(named.drop("class_id"), "named", n_texts)
+    named = _narrow(named.join(least, "label").select("copy", "rep", "class_id", "n_links"), "named", n_texts)
     found = rows.select("id", "copy").join(named, "copy")
     return found.groupBy("id").agg(
         F.min("rep").alias("rep"), F.min("class_id").alias("class_id"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links")

@@ -361,6 +361,41 @@ def test_near_duplicates_on_awkward_rows(awkward):
     assert neardup.with_classes(awkward.limit(0)).count() == 0
 
 
+def test_merged_labels_equal_those_of_all_links(spark):
+    rng = np.random.default_rng(3)
+    links = [tuple(map(int, p)) for p in rng.integers(0, 120, (90, 2)) if p[0] != p[1]]
+    frame = [spark.createDataFrame(x, "a long, b long") for x in (links[:60], links[60:], links)]
+    got, wanted = neardup.merged(neardup.components(frame[0]), frame[1]), neardup.components(frame[2])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    same = neardup.merged(wanted, frame[1].limit(0))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_near_duplicates_write_few_files(spark, documents, monkeypatch):
+    """Tables of a few numbers have a file per core, not one per shuffle partition."""
+    real, files = neardup.stored, collections.defaultdict(int)
+
+    def counted(df, label):
+        out = real(df, label)
+        files[label] = max(files[label], len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardup, "stored", counted)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = documents.select("doc_id", "text")
+        got = {i: c for i, (c,) in by_id(neardup.with_classes(docs), "class_id").items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == classes([tuple(r) for r in docs.collect()])
+    cores = spark.sparkContext.defaultParallelism
+    assert all(files[x] <= cores for x in ("components", "members", "own", "apart", "rarity", "prefix", "named")), files
+
+
 def test_mixing_reaches_targets(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = mixing.mix(documents, labels).collect()
