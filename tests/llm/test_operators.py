@@ -371,6 +371,16 @@ def test_merged_labels_equal_those_of_all_links(spark):
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_long_texts_leave_no_long_tables_of_powers():
+    from pulse.llm import common
+
+    data = np.random.default_rng(0).integers(0, 256, (1 << 22) + 9, np.uint8)
+    data[-9:] = data[:9]
+    hashes = common.SpanHashes(data).spans(np.array([0, len(data) - 9]), np.array([9, len(data)]))
+    assert hashes[0] == hashes[1]
+    assert max(len(x) for x in common._powers.values()) <= 1 << 22
+
+
 def test_near_duplicates_write_few_files(spark, documents, monkeypatch):
     """Tables of a few numbers have a file per core, not one per shuffle partition."""
     real, files = neardup.stored, collections.defaultdict(int)
