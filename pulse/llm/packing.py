@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,8 @@ def _pair_flags() -> np.ndarray:
 _FLAGS = _pair_flags()
 # what follows a letter and cannot be a mark that joins it: ASCII, or a letter of Latin-1
 _SAFE = np.where((np.arange(256) < 128) | (np.arange(256) == 0xC3), _CAPITAL, 0).astype(np.uint8)
+# letters of ASCII, and the first byte of the letters of Latin-1
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), 0xC3])
 
 
 class WordIds:
@@ -99,37 +102,49 @@ class WordIds:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 12, np.int64)
 
-    def _learn(self, words: list[bytes]) -> np.ndarray:
+    def _learn(self, words: pa.Array) -> np.ndarray:
         """The slot of every word."""
-        slots = list(map(self.slots.get, words))
-        fresh = [w for w, slot in zip(words, slots, strict=True) if slot is None]
+        listed = _listed(words)
+        slots = np.fromiter(map(self.slots.get, listed, repeat(-1)), np.int64, len(listed))
+        fresh = np.flatnonzero(slots < 0)
         if len(self.slots) + len(fresh) > KEPT_WORDS:
             self._clear()
-            fresh, slots = words, [None] * len(words)
-        if not fresh:
-            return np.array(slots, np.int64)
-        texts = [w.decode() for w in fresh]
-        letters = [text.isalpha() and max(text) < "\u0100" for text in texts]
-        plain = [k for k, only in enumerate(letters) if only]
-        joined = [" ".join(texts[k] for k in plain[a : a + JOINED]) for a in range(0, len(plain), JOINED)]
-        ids = [i for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in x.ids]
-        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist() if ids else []
-        found = [()] * len(fresh)
-        for k, a, b in zip(plain, [0, *ends], ends, strict=False):
-            found[k] = ids[a:b]
-        other = [k for k, only in enumerate(letters) if not only]
-        for k, x in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
-            found[k] = x.ids
+            fresh = np.arange(len(listed))
+        if not len(fresh):
+            return slots
+        letters = _letters_only(words.take(pa.array(fresh)))
+        plain, other = fresh[letters], fresh[~letters]
+        ids, sizes = self._joined_ids(words.take(pa.array(plain)))
+        if len(sizes) != len(plain):  # a vocabulary without some letter: word by word
+            plain, other = plain[:0], fresh
+            ids, sizes = ids[:0], sizes[:0]
+        if len(other):
+            found = self.tokenizer.encode_batch_fast([listed[k].decode() for k in other.tolist()], add_special_tokens=False)
+            found = [x.ids for x in found]
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+            sizes = np.concatenate([sizes, np.fromiter(map(len, found), np.int64, len(found))])
         first = len(self.slots)
         start = int(self.ends[first])
-        sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-        self.ends = _grown(self.ends, first + len(found) + 1)
-        self.ends[first + 1 : first + len(found) + 1] = start + np.cumsum(sizes)
-        self.ids = _grown(self.ids, start + int(sizes.sum()))
-        self.ids[start : start + int(sizes.sum())] = [i for x in found for i in x]
-        self.slots.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-        new = iter(range(first, first + len(fresh)))
-        return np.array([next(new) if slot is None else slot for slot in slots], np.int64)
+        self.ends = _grown(self.ends, first + len(sizes) + 1)
+        self.ends[first + 1 : first + len(sizes) + 1] = start + np.cumsum(sizes)
+        self.ids = _grown(self.ids, start + len(ids))
+        self.ids[start : start + len(ids)] = ids
+        order = np.concatenate([plain, other])
+        self.slots.update(zip(map(listed.__getitem__, order.tolist()), range(first, first + len(order)), strict=True))
+        slots[order] = np.arange(first, first + len(order))
+        return slots
+
+    def _joined_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters in a row, and their number per word."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cuts = pa.array([*range(0, len(words), JOINED), len(words)], pa.int32())
+        lists = pa.ListArray.from_arrays(cuts, words.cast(pa.large_string()))
+        joined = pa.compute.binary_join(lists, pa.scalar(" ", pa.large_string())).to_pylist()
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        return ids, np.diff(ends, prepend=0)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text starts (n + 1)."""
@@ -155,12 +170,10 @@ class WordIds:
         words = pa.Array.from_buffers(
             pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kept))]
         ).dictionary_encode()
-        slots = self._learn(_listed(words.dictionary))[words.indices.to_numpy()]
+        slots = self._learn(words.dictionary)[words.indices.to_numpy()]
         sizes = self.ends[slots + 1] - self.ends[slots]
         ids = self.ids[spread(self.ends[slots], sizes)]
-        row = np.searchsorted(starts, begin, side="right") - 1
-        counts = np.bincount(row, weights=sizes, minlength=len(starts) - 1).astype(np.int64)
-        places = np.concatenate([[0], np.cumsum(counts)])
+        places = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begin, starts)]
         odd = [k for k, text in enumerate(pa.compute.match_substring(texts, "<|").to_pylist()) if text]
         if odd:
             parts = [ids[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
@@ -171,6 +184,15 @@ class WordIds:
         return ids, places
 
 
+def _letters_only(words: pa.Array) -> np.ndarray:
+    """Which words are nothing but letters of ASCII and those of Latin-1 from U+00C0 on."""
+    data, starts = utf8(words)
+    before = np.concatenate([[0], data[:-1]])
+    second = (before == 0xC3) & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    strange = np.concatenate([[0], np.cumsum(~(_LETTER[data] | second))])
+    return strange[starts[1:]] == strange[starts[:-1]]
+
+
 def _listed(words: pa.Array) -> list[bytes]:
     """The words as bytes; much faster than ``to_pylist``."""
     if not len(words):
@@ -354,7 +376,7 @@ def fill(units: list[np.ndarray], stats: Frequencies, window: int = WINDOW) -> l
         place = int(shard.sizes[seed]) - start
         pieces.append((seed, start, place, number, 0))
         if left and place < window:
-            if 2 * left < indexed:
+            if 4 * left < 3 * indexed:
                 shard.keep(unused)
                 indexed = left
             for unit in neighbours(shard.scores(seed), unused.copy()):

@@ -44,6 +44,20 @@ def test_word_ids_equal_whole_encoding():
         assert ids[places[k] : places[k + 1]].tolist() == encoded(tokenizer, text)[:-1], repr(text)
 
 
+def test_word_ids_without_some_letters():
+    """A word whose last letter the vocabulary lacks moves no ids to the words beside it."""
+    from tokenizers import models, pre_tokenizers
+
+    vocabulary = {t: k for k, t in enumerate(["[U]", "\x01", "a", "b", "a</w>", "b</w>", "ab</w>"])}
+    tokenizer = Tokenizer(models.BPE(vocabulary, [("a", "b</w>")], end_of_word_suffix="</w>"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    encoder = packing.WordIds(tokenizer.to_str())
+    texts = ["ab axc b", "a cab é ba", "b"]
+    ids, places = encoder(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[places[k] : places[k + 1]].tolist() == encoded(tokenizer, text)[:-1], text
+
+
 def checked(rows, pieces, tokenizer):
     """Every id in one piece, checksums, gapless sequences, little padding; returns the padding."""
     texts = {}
